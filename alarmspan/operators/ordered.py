@@ -19,11 +19,11 @@ _SCAN_RANGE = 600.0
 _FORGET = 100.0
 
 
-def with_position(df: DataFrame, lay: Layout, pos: str = "pos", n: str = "n") -> DataFrame:
-    """Zero-based row position inside the series by time, and the row count of the series."""
+def with_position(df: DataFrame, lay: Layout, pos: str = "pos", n: str = "n", tie: Sequence[str] = ()) -> DataFrame:
+    """Zero-based row position inside the series by time (then ``tie``), and the row count of the series."""
     keys = list(lay.keys)
     if lay.whole:
-        by_time = Window.partitionBy(*keys).orderBy(lay.order)
+        by_time = Window.partitionBy(*keys).orderBy(lay.order, *tie)
         return (df.withColumn(pos, (F.row_number().over(by_time) - 1).cast("long"))
                   .withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
     cell = F.floor(F.unix_micros(F.col(lay.order)) / F.lit(lay.cell_us))
@@ -34,7 +34,7 @@ def with_position(df: DataFrame, lay: Layout, pos: str = "pos", n: str = "n") ->
         *keys, "_cell",
         (F.sum("_in_cell").over(so_far) - F.col("_in_cell")).alias("_offset"),
         F.sum("_in_cell").over(Window.partitionBy(*keys)).alias(n))
-    in_cell = Window.partitionBy(*keys, "_cell").orderBy(lay.order)
+    in_cell = Window.partitionBy(*keys, "_cell").orderBy(lay.order, *tie)
     return (celled.join(offsets, [*keys, "_cell"])
                   .withColumn(pos, (F.col("_offset") + F.row_number().over(in_cell) - 1).cast("long"))
                   .drop("_cell", "_offset"))
@@ -171,8 +171,17 @@ def run_length(df: DataFrame, lay: Layout, hit: Column, out: str, pos: str = "po
                                       .otherwise(F.lit(0)).cast("long"))
                     .drop("_hit", "_island"))
     miss_at = F.when(~F.col("_hit"), F.col(pos))
-    base = with_totals(base, lay, {"_rows": F.max(F.col(pos)) + 1})
+    base = with_totals(base, lay, {"_rows": F.max(F.col(pos) + 1)})
     base = carry(base, lay, {"_before": miss_at}, {"_after": miss_at}, pos)
     length = F.coalesce(F.col("_after"), F.col("_rows")) - F.coalesce(F.col("_before"), F.lit(-1)) - 1
     return (base.withColumn(out, F.when(F.col("_hit"), length).otherwise(F.lit(0)).cast("long"))
                 .drop("_hit", "_before", "_after", "_rows"))
+
+
+def settle(df: DataFrame, lay: Layout, label: str = "rows") -> DataFrame:
+    """Block plans read their input twice (rows and summaries); write it once so that chains do not multiply.
+
+    The whole layout has no such second reading and stays lazy.
+    """
+    from alarmspan.session import cut_lineage
+    return df if lay.whole else cut_lineage(df, label)

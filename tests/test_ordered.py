@@ -33,12 +33,13 @@ def _pdf(df):
 def test_blocks_equal_whole(frame, lay):
     df, pdf = frame
     def run(lay):
-        d = ordered.with_position(df, lay)
+        d = ordered.settle(ordered.with_position(df, lay), lay)
         d = ordered.rolling(d, lay, 9, 4, [
             {"m": lambda w: F.avg("v").over(w.rowsBetween(-9, 0))},
             {"x": lambda w: F.max("m").over(w.rowsBetween(0, 4))}])
         d = ordered.carry(d, lay, {"p": F.col("gap")}, {"f": F.col("gap")})
         d = ordered.run_length(d, lay, F.col("v") > 0, "run")
+        d = ordered.settle(d, lay)
         d = ordered.ewma(d, lay, F.col("v"), 0.2, F.lit(1.5), "e")
         d = ordered.ewma(d, lay, F.col("v"), 0.003, F.lit(1.5), "slow")
         d = quantile.with_quantiles(d, lay, F.col("v"), {"q1": .25, "q9": .975})
