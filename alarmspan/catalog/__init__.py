@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lead_time",)
+MODULES = ("lead_time", "preparation")
 
 
 def load_catalog():

@@ -24,7 +24,7 @@ def resample_mean(df: DataFrame, lay: Layout, cols: list[str], minutes: Column |
 
     Only min(ts) needs the whole series; the bins themselves are aggregated with map-side combine.
     """
-    width = (F.lit(minutes) if not isinstance(minutes, Column) else minutes) * F.lit(MINUTE_US)
+    width = (minutes if isinstance(minutes, Column) else F.lit(float(minutes))).cast("double") * F.lit(float(MINUTE_US))
     first = with_totals(df, lay, {"_first": F.min(lay.order)})
     binned = first.withColumn("_bin", bin_start(F.col(lay.order), F.col("_first"), width.cast("long")))
     grid = binned.groupBy(*lay.keys, *carry, F.col("_bin").alias(lay.order)).agg(*[F.avg(c).alias(c) for c in cols])
