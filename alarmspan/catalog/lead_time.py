@@ -149,10 +149,8 @@ def threshold_ewma(spark, sf):
 
 @query("threshold_evt")
 def threshold_evt(spark, sf):
-    df, lay = v.readings(spark, sf)
-    event_scores = v.table(spark, sf, "events").select(
-        (F.col("user_id") % 5).alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"))
-    return thresholds.compute_threshold(event_scores, v.measured(spark, sf, "by_machine", event_scores), "evt")
+    df, lay = v.machine_log(spark, sf)
+    return thresholds.compute_threshold(df.withColumn("score", F.col("value")), lay, "evt")
 
 
 @query("dynamic_threshold", v.with_ctes(*SCORED, f"""

@@ -34,6 +34,14 @@ def readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Layout]:
     return df, measured(spark, sf_dir, "readings", df)
 
 
+def machine_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Layout]:
+    """One dense series per machine (user_id % 5): the long-series counterpart of the readings."""
+    events = table(spark, sf_dir, "events")
+    df = events.select((F.col("user_id") % 5).alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value",
+                       F.lit(FAILURE_TIME).cast("timestamp").alias("failure_time"))
+    return df, measured(spark, sf_dir, "machine_log", df)
+
+
 def panel(spark: SparkSession, sf_dir: str, hours: int = 12) -> tuple[DataFrame, Layout]:
     """Five machines with one channel per event type: mean value per slot of ``hours``; empty cells are null."""
     events = table(spark, sf_dir, "events")
@@ -59,6 +67,9 @@ SQL_FAIL = f"TIMESTAMP '{FAILURE_TIME}'"
 SQL_READINGS = f"readings AS (SELECT user_id AS series_id, ts, value, {SQL_FAIL} AS failure_time FROM events)"
 
 
+SQL_MACHINE_LOG = f"readings AS (SELECT user_id % 5 AS series_id, ts, value, {SQL_FAIL} AS failure_time FROM events)"
+
+
 def sql_panel(hours: int = 12, name: str = "panel") -> str:
     width = hours * 3_600_000_000
     cols = ", ".join(f"avg(value) FILTER (event_type = '{c}') AS \"{c}\"" for c in CHANNELS)
@@ -66,9 +77,9 @@ def sql_panel(hours: int = 12, name: str = "panel") -> str:
             f"{cols} FROM events GROUP BY ALL)")
 
 
-def sql_pos(source: str, name: str = "p") -> str:
-    return (f"{name} AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, "
-            f"count(*) OVER (PARTITION BY series_id) AS n FROM {source})")
+def sql_pos(source: str, name: str = "p", keys: str = "series_id", order: str = "ts") -> str:
+    return (f"{name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS pos, "
+            f"count(*) OVER (PARTITION BY {keys}) AS n FROM {source})")
 
 
 def sql_split(source: str = "p", name: str = "s", train: float = 0.5, cal: float = 0.1) -> str:
