@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lead_time", "preparation", "windows", "assets")
+MODULES = ("lead_time", "preparation", "windows", "assets", "models")
 
 
 def load_catalog():

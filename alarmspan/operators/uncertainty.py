@@ -38,10 +38,11 @@ def bootstrap_weights(train: DataFrame, lay: Layout, n_bootstraps: int = 30, see
 
 
 def bootstrap_rows(train: DataFrame, lay: Layout, n_bootstraps: int = 30, seed: int = 42) -> DataFrame:
-    """Training rows repeated by resample, for detectors that need the rows themselves; keyed with ``b``."""
-    weights = bootstrap_weights(train, lay, n_bootstraps, seed)
-    rows = train.join(weights, [*lay.keys, "split_pos"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("_copy", "weight")
+    """Resampled training rows for detectors that need the rows themselves: keyed with ``b``, ``pos`` is the draw."""
+    b = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bootstraps - 1).cast("long"))).alias("b")
+    draws = train.select(*lay.keys, F.col("split_pos").alias("_i"), F.col("split_n").alias("_m"), b)
+    drawn = draws.select(*lay.keys, "b", "_i", integer_draw(F.col("b"), F.col("_i"), F.col("_m"), seed).alias("split_pos"))
+    return train.join(drawn, [*lay.keys, "split_pos"]).withColumn("pos", F.col("_i")).drop("_i")
 
 
 def bootstrap_fit(detector: Detector, train: DataFrame, lay: Layout, n_bootstraps: int = 30, seed: int = 42) -> DataFrame:
