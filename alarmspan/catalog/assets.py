@@ -11,12 +11,11 @@ from alarmspan.operators import correlation, health
 from alarmspan.operators.ordered import settle, with_position
 
 CH = list(v.CHANNELS)
-FAIL = F.lit(v.FAILURE_TIME).cast("timestamp")
 
 
 def placed_panel(spark, sf):
     df, lay = v.panel(spark, sf, 12)
-    return settle(with_position(df, lay).withColumn("failure_time", FAIL), lay, "panel"), lay
+    return settle(with_position(df, lay).withColumn("failure_time", F.lit(v.FAILURE_TIME).cast("timestamp")), lay, "panel"), lay
 
 
 LONG = (v.sql_panel(12), v.sql_pos("panel"), "lg AS (" + " UNION ALL ".join(
@@ -89,7 +88,7 @@ def contributions(spark, sf):
 _BEHAVIOUR = """
 bp AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY series_id, channel) AS m, value - lag(value) OVER w AS step FROM lz
   WINDOW w AS (PARTITION BY series_id, channel ORDER BY ts)),
-bs AS (SELECT series_id, channel, max(z) AS z_max, regr_slope(z, k) AS slope, stddev_pop(step) AS spread,
+bs AS (SELECT series_id, channel, max(z) AS z_max, CASE WHEN count(*) = 1 THEN 0 ELSE regr_slope(z, k) END AS slope, coalesce(stddev_pop(step), 0) AS spread,
   avg(z) FILTER (k >= m - ceil(m / 4)) AS recent, any_value(std) AS std FROM bp GROUP BY 1, 2),
 bh AS (SELECT *, CASE WHEN z_max < 1.5 THEN 'Normal' WHEN slope > 0.0005 AND recent > 1 THEN 'Gradual Drift'
   WHEN spread > std * 0.5 AND z_max > 3 THEN 'Oscillatory' WHEN z_max > 5 AND recent < 2 THEN 'Sudden Spike' ELSE 'Sustained High' END AS behaviour FROM bs)"""
@@ -122,7 +121,7 @@ def evolution(spark, sf):
 
 
 @query("peak_table", v.with_ctes(*LONG, tail=f"""SELECT series_id, channel, {sql_r6('max(value)')} AS peak, {sql_stamp('min(ts) FILTER (value = mx)')} AS peak_ts,
- {sql_r6('any_value(ucl)')} AS ucl, max(value) > any_value(ucl) AS exceeded
+ {sql_r6('any_value(ucl)')} AS ucl, coalesce(max(value) > any_value(ucl), false) AS exceeded
 FROM (SELECT *, max(value) OVER (PARTITION BY series_id, channel) AS mx FROM lz) GROUP BY 1, 2"""))
 def peak_table(spark, sf):
     df, lay = placed_panel(spark, sf)
@@ -195,7 +194,7 @@ def pair_p_values(spark, sf):
 
 
 _CCF = v.sql_pos("pr", "pp", PK) + f""",
-lc AS (SELECT y.series_id, y.chan_a, y.chan_b, k AS lag, coalesce(corr(x.a, y.b), 0) AS r, any_value(y.n) AS n
+lc AS (SELECT y.series_id, y.chan_a, y.chan_b, k AS lag, coalesce(CASE WHEN isnan(corr(x.a, y.b)) THEN 0 ELSE corr(x.a, y.b) END, 0) AS r, any_value(y.n) AS n
   FROM pp y CROSS JOIN (SELECT unnest(generate_series(-20, 20)) AS k) g LEFT JOIN pp x
   ON x.series_id = y.series_id AND x.chan_a = y.chan_a AND x.chan_b = y.chan_b AND x.pos = y.pos + k GROUP BY 1, 2, 3, 4)"""
 

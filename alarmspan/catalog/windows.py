@@ -32,7 +32,8 @@ def sql_stats(c: str, suffix: str, prefixes=PREFIXES) -> dict[str, str]:
     d = f"{c}_d"
     sd = f"sqrt(avg({d} * {d}))"
     rms = f"sqrt(avg({c} * {c}))"
-    made = {"rms": rms, "kurt": f"avg({d} ** 4) / ({sd} + 1e-12) ** 4 - 3", "skew": f"avg({d} ** 3) / ({sd} + 1e-12) ** 3",
+    made = {"rms": rms, "kurt": f"CASE WHEN max({c}) = min({c}) THEN -3 ELSE avg({d} ** 4) / ({sd} + 1e-12) ** 4 - 3 END",
+            "skew": f"CASE WHEN max({c}) = min({c}) THEN 0 ELSE avg({d} ** 3) / ({sd} + 1e-12) ** 3 END",
             "crest": f"max(abs({c})) / ({rms} + 1e-12)", "p2p": f"max({c}) - min({c})",
             "shape": f"({rms} + 1e-12) / (avg(abs({c})) + 1e-12)", "var": f"avg({d} * {d})", "mabs": f"avg(abs({c}))"}
     return {f"{p}_{suffix}": made[p] for p in prefixes}

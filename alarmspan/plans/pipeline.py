@@ -14,6 +14,7 @@ from alarmspan.operators.features import design_matrix, feature_columns, multisc
 from alarmspan.operators.ordered import settle, with_position
 from alarmspan.operators.resample import decimate, median_spacing, resample_mean
 from alarmspan.operators.scale import apply_scaler, fit_scaler
+from alarmspan.session import cut_lineage
 from alarmspan.plans.evaluate import evaluate_scores, model_scores, split_rows, summary
 
 
@@ -79,5 +80,6 @@ def compare_scales(df: DataFrame, lay: Layout, channels: Sequence[str], runs: Da
             windows = multiscale_features(placed, lay, channels, sizes, cfg.features.overlap, tolerance_seconds=tolerance_seconds)
             names = [c for c in windows.columns if "_w" in c]
         part = compare_methods(prepare(windows, lay, names, cfg), lay, runs, cfg).withColumn("scale", F.lit(label))
+        part = cut_lineage(part, "scale")  # a few rows per series; the experiments do not depend on each other
         out = part if out is None else out.unionByName(part)
     return summary(out)
