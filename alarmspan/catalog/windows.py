@@ -12,6 +12,7 @@ from alarmspan.functions.timeparse import hours_to_failure
 from alarmspan.operators import asof, clean, features
 from alarmspan.operators.ordered import settle, with_position
 from alarmspan.plans import sweeps
+from alarmspan.session import cut_lineage
 
 CH = list(v.CHANNELS)
 PREFIXES = ("rms", "kurt", "skew", "crest", "p2p", "shape", "var", "mabs")
@@ -269,7 +270,7 @@ _AGG = {"VLT_hours": "vlt_hours", "VLT_norm": "vlt_norm", "FAR_pct": "far_pct"}
     for o, c in _AGG.items()) + f", {sql_r6('min(vlt_norm)', 4)} AS VLT_norm_min, {sql_r6('max(vlt_norm)', 4)} AS VLT_norm_max, count(DISTINCT series_id) AS n_runs FROM sw GROUP BY 1, 2, 3"))
 def sampling_aggregate(spark, sf):
     df, lay = v.machine_log(spark, sf)
-    sweep = settle(sweeps.sampling_sweep(df, lay, ["value"]), lay, "sweep")
+    sweep = cut_lineage(sweeps.sampling_sweep(df, lay, ["value"]), "sweep")
     # The intervals of irregular series all differ, so the fleet is grouped by the nominal factor here.
     out = sweeps.sampling_aggregate(sweep, lay, ("mode", "factor", "method"))
     cols = [f"{o}_{s}" for o in _AGG for s in ("mean", "std", "median")] + ["VLT_norm_min", "VLT_norm_max"]

@@ -1,7 +1,8 @@
 """Row chunks of one series meet that series' model parameters: the shape of every model score in Python.
 
-A chunk is a bounded run of rows, so a series of any length is many groups; parameters are copied to the chunks that
-need them through a join on the series, never through the driver.
+Written parameter tables below ``SHIP_BYTES`` travel to the tasks as one broadcast and rows are scored where they are,
+without an exchange.  Beyond that, a chunk is a bounded run of rows, so a series of any length is many groups, and
+parameters are copied to the chunks that need them through a join on the series.
 """
 from __future__ import annotations
 
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 16_384
+SHIP_BYTES = 16 * 1024 * 1024
 
 
 def matrix_of(column: pd.Series) -> np.ndarray:
@@ -30,31 +32,52 @@ def with_chunk(df: DataFrame, rows: int = CHUNK_ROWS, pos: str = "pos") -> DataF
     return df.withColumn("_chunk", F.floor(F.col(pos) / F.lit(rows)))
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Size of a table as the planner knows it: the real file size for a table just written, an overestimate for
+    anything derived."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def per_chunk(rows: DataFrame, params: DataFrame, keys: Sequence[str], compute: Callable[[pd.DataFrame, pd.DataFrame], dict],
-              outputs: dict[str, str], drop: Sequence[str] = ("features",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Apply ``compute(rows of a chunk, its series' parameter rows) -> {column: values}`` to every chunk.
+              outputs: dict[str, str], drop: Sequence[str] = ("features",), chunk_rows: int = CHUNK_ROWS,
+              ship_bytes: int = SHIP_BYTES) -> DataFrame:
+    """Apply ``compute(rows, their series' parameter rows) -> {column: values}`` chunk by chunk.
 
-    The result keeps the row columns except ``drop`` and adds ``outputs`` (name -> SQL type).
+    The result keeps the row columns except ``drop`` and adds ``outputs`` (name -> SQL type).  ``compute`` must not
+    depend on how a series is cut into chunks.  Series without parameters give no rows.
     """
-    chunked = with_chunk(rows, chunk_rows)
-    group = [*keys, "_chunk"]
     shared = [k for k in keys if k in params.columns]
-    wanted = chunked.select(*group).distinct().join(params, shared)
-    # Renamed keys: both sides descend from the same rows.
-    right_group = [f"_key{i}" for i in range(len(group))]
-    wanted = wanted.withColumnsRenamed(dict(zip(group, right_group)))
     kept = [f for f in rows.schema.fields if f.name not in drop]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept]
                           + [T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()])
     names = [f.name for f in kept]
 
-    def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = left[names].copy()
         if len(left) == 0 or len(right) == 0:
             return out.iloc[:0].assign(**{n: None for n in outputs})
         return out.assign(**compute(left, right))
 
-    return spread(chunked, *group).groupBy(*group).cogroup(spread(wanted, *right_group).groupBy(*right_group)).applyInPandas(apply, schema)
+    if stored_bytes(params) <= ship_bytes:
+        by_series = {k: g for k, g in params.toPandas().groupby(shared)}
+        shipped = rows.sparkSession.sparkContext.broadcast(by_series)
+
+        def in_place(batches):
+            for batch in batches:
+                for key, part in batch.groupby(shared, sort=False):
+                    if key in shipped.value:
+                        for start in range(0, len(part), chunk_rows):
+                            yield scored(part.iloc[start:start + chunk_rows], shipped.value[key])
+
+        return rows.mapInPandas(in_place, schema)
+
+    chunked = with_chunk(rows, chunk_rows)
+    group = [*keys, "_chunk"]
+    wanted = chunked.select(*group).distinct().join(params, shared)
+    # Renamed keys: both sides descend from the same rows.
+    right_group = [f"_key{i}" for i in range(len(group))]
+    wanted = wanted.withColumnsRenamed(dict(zip(group, right_group)))
+    return spread(chunked, *group).groupBy(*group).cogroup(spread(wanted, *right_group).groupBy(*right_group)).applyInPandas(scored, schema)
 
 
 def summed_vectors(rows: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFrame], np.ndarray],

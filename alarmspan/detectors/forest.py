@@ -190,7 +190,7 @@ def forest_attribution(rows: DataFrame, forest: DataFrame, lay: Layout, features
         return {"contributions": list(total / len(trees)), "base": base / len(trees), "path_length": _mean_depth(x, trees)}
 
     return per_chunk(rows, forest, lay.keys, compute, {"contributions": "array<double>", "base": "double", "path_length": "double"},
-                     drop=(features,), chunk_rows=chunk_rows)
+                     drop=(features,), chunk_rows=chunk_rows, ship_bytes=0)  # much work per byte: spread by chunk
 
 
 def sample_rows(df: DataFrame, lay: Layout, size: int, seed: int = 42) -> DataFrame:

@@ -77,7 +77,7 @@ def weighted_moments_interval(df: DataFrame, lay: Layout, index: Column, n_boots
     models = mean.groupBy(*keys).agg(F.collect_list(F.struct(
         "mu", (F.sqrt(F.greatest(F.lit(0.0), F.col("m2") - F.col("mu") * F.col("mu"))) + F.lit(EPS)).alias("sd"))).alias("_models"))
     scored = rows.join(models, keys).withColumn(
-        "_all", F.array_sort(F.transform("_models", lambda m: F.abs((F.col("_h") - m["mu"]) / m["sd"]))))
+        "_all", F.sort_array(F.transform("_models", lambda m: F.abs((F.col("_h") - m["mu"]) / m["sd"]))))
     def at(p: float) -> Column:
         rank = F.lit(p) * (F.size("_all") - 1)
         low = F.floor(rank).cast("int")

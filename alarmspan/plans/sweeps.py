@@ -15,6 +15,7 @@ from alarmspan.operators.ordered import settle, with_position, with_totals
 from alarmspan.operators.quantile import quantile_table
 from alarmspan.operators.resample import MINUTE_US, bin_start, derive_counts, median_spacing
 from alarmspan.operators.scale import apply_scaler, fit_scaler
+from alarmspan.session import cut_lineage
 from alarmspan.plans.evaluate import closed_form_scores, evaluate_scores, split_rows
 
 RATE_KEYS = ("mode", "factor")
@@ -63,10 +64,11 @@ def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: Sa
                    threshold: ThresholdConfig = ThresholdConfig(), scale: bool = True) -> DataFrame:
     """Metrics per series, mode, factor and method, with lead normalised by the longest achievable one."""
     keys = list(lay.keys)
+    # Tables read more than once below are written once instead of being derived again for each reading.
     placed = settle(with_position(df, lay), lay, "sweep-rows")
-    rates = settle(rate_table(placed, lay, sampling, features, threshold), lay, "rates")
+    rates = cut_lineage(rate_table(placed, lay, sampling, features, threshold), "rates")
     rated = lay.by(*RATE_KEYS)
-    rows = settle(with_position(at_every_rate(placed, lay, rates, channels), rated), rated, "sweep-rates")
+    rows = cut_lineage(with_position(at_every_rate(placed, lay, rates, channels), rated), "sweep-rates")
     spacing = median_spacing(rows, rated).withColumnRenamed("spacing_min", "effective_interval_min")
     counts = rates.select(*keys, *RATE_KEYS, "window_rows", "persistence_windows", "window_floored")
     rows = rows.join(counts, [*keys, *RATE_KEYS])
@@ -75,7 +77,7 @@ def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: Sa
                                features.feature_list, features.include_cross_channel, F.col("_step"),
                                keep=("failure_time", "window_rows", "persistence_windows", "window_floored"))
     cols = feature_columns(channels, features.feature_list, features.include_cross_channel)
-    tagged = settle(split_rows(with_position(windows, rated), split), rated, "sweep-windows")
+    tagged = cut_lineage(split_rows(with_position(windows, rated), split), "sweep-windows")
     if scale:
         params = fit_scaler(tagged, rated, cols, "robust", F.col("split") == "train")
         tagged = apply_scaler(tagged, params, rated, cols)
@@ -83,9 +85,11 @@ def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: Sa
     result = evaluate_scores(scored, rated.by("method"), threshold, split.normal_period_fraction,
                              F.col("persistence_windows"),
                              extra=("window_rows", "persistence_windows", "window_floored"))
-    result = settle(result.join(spacing, [*keys, *RATE_KEYS]), lay, "sweep-metrics")
-    # The longest achievable lead is anchored to the full-rate test grid of the series.
-    anchor = with_totals(result, replace(lay, max_rows=None), {
+    result = result.join(spacing, [*keys, *RATE_KEYS])
+    # The longest achievable lead is anchored to the full-rate test grid of the series: a group is its handful of rows
+    # here, one per mode, factor and method.
+    per_series = len(sampling.modes) * len(sampling.factors) * 2
+    anchor = with_totals(result, replace(lay, max_rows=per_series, block_rows=max(per_series, lay.block_rows)), {
         "available_lead_hours": F.max(F.when(F.col("factor") == 1, hours_between(F.col("failure_time"), F.col("normal_end"))))})
     vlt = F.round("vlt_hours", 2)
     return anchor.select(

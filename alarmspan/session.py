@@ -24,6 +24,8 @@ def build_session(app_name: str = "alarmspan", master: str | None = None, **conf
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Only matters for exchanges below a few megabytes, where merging to one task would serialise the work.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         UNION_PARTITIONING: "false",
         **conf,
     }

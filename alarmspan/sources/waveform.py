@@ -63,6 +63,14 @@ def snapshot_table(spark: SparkSession, root: str, runs: Sequence[str], n_channe
     wide = per_channel.groupBy("series_id", "path", "name").agg(
         (F.max("bad") | (F.min("lo") != F.max("hi"))).alias("unusable"),
         *[F.max(F.when(F.col("channel") == k, F.col(s))).alias(f"{s}_ch{k}") for s in SNAPSHOT_STATS for k in range(n_channels)])
+    by_name = timestamp_from_name(F.col("name"), F.lit(None).cast("long"), keep_seconds)
+    named = wide.withColumn("ts", by_name)
+    # Only a file whose name holds no time needs its rank; other files are counted up to it, not numbered.
+    counted = named.groupBy("series_id").agg(F.count_if(F.col("ts").isNull()).alias("unnamed"))
+    ranked_runs = counted.where("unnamed > 0").select("series_id")
     order = Window.partitionBy("series_id").orderBy("name")  # one row per file
-    named = wide.withColumn("ts", timestamp_from_name(F.col("name"), F.row_number().over(order) - 1, keep_seconds))
-    return named.where(~F.col("unusable")).drop("unusable", "path", "name")
+    ranks = (wide.select("series_id", "path", "name").join(ranked_runs, "series_id", "left_semi")
+             .withColumn("rank", F.row_number().over(order) - 1).select("path", "rank"))
+    stamped = named.join(ranks, "path", "left").withColumn(
+        "ts", F.coalesce("ts", timestamp_from_name(F.lit("unnamed"), F.col("rank"), keep_seconds)))
+    return stamped.where(~F.col("unusable")).drop("unusable", "path", "name", "rank")

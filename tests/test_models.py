@@ -64,12 +64,14 @@ def test_t2_equals_eigen_decomposition(cloud, lay):
     assert np.allclose(got, (((test - mu) @ vecs[:, top] / np.sqrt(vals[top])) ** 2).sum(axis=1))
 
 
-def test_chunks_do_not_change_scores(cloud, monkeypatch):
+@pytest.mark.parametrize("limit", [(("features",), 7, 0), (("features",), 7, 10**9)])
+def test_chunks_do_not_change_scores(cloud, monkeypatch, limit):
+    """Shipped parameters, co-grouped parameters and any chunk size score alike."""
     df, _ = cloud
     det = forest.isolation_forest(n_estimators=20)
     whole = scores(det.score_splits(df, LAY))
     from alarmspan.detectors import chunks
-    monkeypatch.setattr(chunks.per_chunk, "__defaults__", (("features",), 7))
+    monkeypatch.setattr(chunks.per_chunk, "__defaults__", limit)
     assert np.allclose(scores(det.score_splits(df, LAY)), whole)
 
 
