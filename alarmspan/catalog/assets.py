@@ -34,6 +34,27 @@ def baseline_limits(spark, sf):
     return out.select("series_id", "channel", *[r6(c).alias(c) for c in ("mean", "std", "ucl_3s", "lcl_3s", "ucl_2s", "lcl_2s")])
 
 
+# Daily statistics per machine stand in for snapshot columns; channel k is the k-th event type.
+_SNAP = {f"{p}_ch{k}": e for k, c in enumerate(CH) for p, e in (
+    ("rms", f"sqrt(avg({c} * {c}))"), ("p2p", f"max({c}) - min({c})"), ("var", f"var_pop({c})"))}
+
+
+@query("channel_groups", v.with_ctes(v.sql_panel(2), f"""
+sn AS (SELECT series_id, date_trunc('day', ts) AS ts, {', '.join(f'{e} AS {n}' for n, e in _SNAP.items())} FROM panel GROUP BY 1, 2),
+sl AS ({' UNION ALL '.join(f"SELECT series_id, ts, '{g}' AS grp, 'ch{k}' AS channel, {p}_ch{k} AS value FROM sn" for g, p in (('RMS', 'rms'), ('Peak-to-Peak', 'p2p'), ('Variance', 'var')) for k in range(len(CH)))})""",
+    tail=f"""SELECT series_id, grp AS "group", channel, 'Bearing ' || (CAST(substr(channel, 3) AS INT) // 2 + 1) || CASE WHEN CAST(substr(channel, 3) AS INT) % 2 = 0 THEN ' X' ELSE ' Y' END AS label,
+ count(value) AS n, {sql_r6('max(value)')} AS peak FROM sl WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4"""))
+def channel_groups(spark, sf):
+    df, lay = v.panel(spark, sf, 2)
+    day = df.withColumn("ts", F.date_trunc("day", "ts"))
+    stats = {f"{p}_ch{k}": e for k, c in enumerate(CH) for p, e in (
+        ("rms", F.sqrt(F.avg(F.col(c) * F.col(c)))), ("p2p", F.max(c) - F.min(c)), ("var", F.var_pop(c)))}
+    snap = day.groupBy("series_id", "ts").agg(*[e.alias(n) for n, e in stats.items()])
+    long = health.grouped_long(snap, lay, list(stats))
+    return long.groupBy("series_id", "group", "channel", health.bearing_label(F.col("channel")).alias("label")).agg(
+        F.count("value").alias("n"), r6(F.max("value")).alias("peak"))
+
+
 @query("spc_limits", v.with_ctes(*LONG, tail=f"""SELECT series_id, channel, {sql_r6('avg(value)')} AS center,
  {sql_r6('avg(value) + 3 * (stddev_samp(value) + 1e-12)')} AS ucl, {sql_r6('avg(value) - 3 * (stddev_samp(value) + 1e-12)')} AS lcl
 FROM lg WHERE pos < greatest(2, floor(n * 0.5e0)) GROUP BY 1, 2"""))

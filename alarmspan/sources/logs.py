@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alarmspan.functions.timeparse import parse_log_timestamp
 from alarmspan.layout import Layout
 from alarmspan.operators.asof import log_gap_seconds
-from alarmspan.operators.ordered import with_position
+from alarmspan.operators.ordered import with_position, with_totals
 from alarmspan.operators.split import training_prefix
 
 # Column names, timestamp format and defaults of the turbine log format.
@@ -85,11 +85,11 @@ def turbine_log(spark: SparkSession, before_path: str, after_path: str | None, f
     lay = Layout.measure(before)
     rows = with_position(before, lay).withColumn("split", F.when(training_prefix(train_fraction), "train").otherwise("test"))
     fail = F.lit(failure_time).cast("timestamp")
-    span = rows.where("split = 'test'").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
-    inside = (fail >= F.col("_a")) & (fail <= F.col("_b"))
-    checked = span.select(F.when(inside, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"failure time {failure_time} lies outside the test span"))).alias("_ok"))
-    # One row against all rows: a broadcast of a single boolean.
-    rows = rows.join(F.broadcast(checked)).where("_ok").drop("_ok").withColumn("failure_time", fail)
+    in_test = F.when(F.col("split") == "test", F.col("ts"))
+    rows = with_totals(rows, lay, {"_from": F.min(in_test), "_to": F.max(in_test)})
+    inside = (fail >= F.col("_from")) & (fail <= F.col("_to"))
+    checked = F.when(inside, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"failure time {failure_time} lies outside the test span")).cast("boolean"))
+    rows = rows.where(checked).drop("_from", "_to").withColumn("failure_time", fail)
     gap = log_gap_seconds(before, read(after_path)) if after_path else None
     return rows, gap
