@@ -15,6 +15,7 @@ from alarmspan.layout import Layout
 from alarmspan.session import cut_lineage
 
 _EULER = 0.5772156649015329
+_TREES_PER_GROUP = 8
 
 
 def expected_depth(n) -> np.ndarray:
@@ -47,24 +48,28 @@ def draw_rows(train: DataFrame, lay: Layout, n_trees: int, sample: int, seed: in
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:
     """Random axis-parallel splits of a small matrix; node lists with child indices (-1 at leaves)."""
     tree = {"feature": [], "cut": [], "left": [], "right": [], "cover": [], "depth": []}
-    pending = [(np.arange(len(x)), 0, None, None)]
+    chance = rng.random((2 * len(x) + 2, 2)).tolist()
+    pending = [(np.arange(len(x)), 0, -1, "")]
     while pending:
         rows, depth, parent, side = pending.pop()
         node = len(tree["feature"])
-        if parent is not None:
+        if parent >= 0:
             tree[side][parent] = node
-        sub = x[rows]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        open_features = np.flatnonzero(hi > lo)
-        leaf = depth >= limit or len(rows) <= 1 or len(open_features) == 0
-        f = -1 if leaf else int(rng.choice(open_features))
-        cut = 0.0 if leaf else float(rng.uniform(lo[f], hi[f]))
-        if not leaf and cut >= hi[f]:
-            cut = float(lo[f])
+        f, cut = -1, 0.0
+        if depth < limit and len(rows) > 1:
+            sub = x[rows]
+            lo, hi = sub.min(axis=0), sub.max(axis=0)
+            open_features = np.flatnonzero(hi > lo)
+            if len(open_features):
+                pick, place = chance[node]
+                f = int(open_features[int(pick * len(open_features))])
+                cut = float(lo[f] + place * (hi[f] - lo[f]))
+                if cut >= hi[f]:
+                    cut = float(lo[f])
         for name, value in (("feature", f), ("cut", cut), ("left", -1), ("right", -1),
                             ("cover", float(len(rows))), ("depth", float(depth))):
             tree[name].append(value)
-        if not leaf:
+        if f >= 0:
             below = sub[:, f] <= cut
             pending.append((rows[~below], depth + 1, node, "right"))
             pending.append((rows[below], depth + 1, node, "left"))
@@ -81,13 +86,20 @@ def fit_forest(train: DataFrame, lay: Layout, n_trees: int = 200, sample: int =
               "cover array<double>, depth array<double>")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        tree_id = int(pdf["tree"].iloc[0])
-        tag = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
-        nodes = _grow(matrix_of(pdf[features]), np.random.default_rng([seed, tree_id, tag]), max(1, math.ceil(math.log2(max(len(pdf), 2)))))
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "tree": tree_id, "psi": len(pdf), **nodes}])
-
-    return spread(drawn, *keys, "tree").groupBy(*keys, "tree").applyInPandas(grow, schema)
+        lead = {k: pdf[k].iloc[0] for k in keys}
+        tag = zlib.crc32("|".join(str(v) for v in lead.values()).encode())
+        x, tree_of, pos = matrix_of(pdf[features]), pdf["tree"].to_numpy(), pdf["pos"].to_numpy()
+        made = []
+        for tree_id in np.unique(tree_of):
+            mine = np.flatnonzero(tree_of == tree_id)
+            part = x[mine[np.argsort(pos[mine])]]
+            depth = max(1, math.ceil(math.log2(max(len(part), 2))))
+            made.append({**lead, "tree": int(tree_id), "psi": len(part), **_grow(part, np.random.default_rng([seed, int(tree_id), tag]), depth)})
+        return pd.DataFrame(made)
+
+    # A few trees per group: still a bounded matrix, with less overhead per Python call.
+    bundled = drawn.withColumn("_bundle", F.floor(F.col("tree") / F.lit(_TREES_PER_GROUP)))
+    return spread(bundled, *keys, "_bundle").groupBy(*keys, "_bundle").applyInPandas(grow, schema)
 
 
 def _arrays(row) -> tuple[np.ndarray, ...]:
