@@ -108,5 +108,5 @@ def last_hours(df: DataFrame, lay: Layout, hours: float, end: str = "failure_tim
     """Rows of the last ``hours`` before ``end``; at 200 h or more, everything."""
     if hours >= everything_from:
         return df
-    back = F.unix_micros(F.col(end)) - F.lit(int(hours * 3_600_000_000))
-    return df.where(F.unix_micros(F.col(lay.order)) >= back)
+    # Compared as timestamps, so that the bound reaches the Parquet scan when ``end`` is a constant.
+    return df.where(F.col(lay.order) >= F.col(end) - F.make_dt_interval(secs=F.lit(hours * 3600.0).cast("decimal(18,6)")))

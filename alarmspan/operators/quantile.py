@@ -18,13 +18,16 @@ def value_cell(value: Column) -> Column:
     return F.when(value == 0.0, F.lit(0)).when(value > 0, rank).otherwise(-rank).cast("long")
 
 
-def quantile_table(df: DataFrame, lay: Layout, value: Column, ranks: dict[str, float]) -> DataFrame:
+def quantile_table(df: DataFrame, lay: Layout, value: Column, ranks: dict[str, float], accuracy: int | None = None) -> DataFrame:
     """One row per key with the exact percentile columns ``name -> p in [0, 1]`` of the non-null values.
 
     Whole layout: the built-in ``percentile``, whose state is bounded by the measured series length.  Otherwise the
     values are counted per (key, value cell); only the cells holding a wanted order statistic are sorted.
+    ``accuracy`` opts in to one pass of bounded sketches instead (rank error at most n / accuracy, no interpolation).
     """
     keys = list(lay.keys)
+    if accuracy is not None:
+        return df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy).alias(name) for name, p in ranks.items()])
     if lay.whole:
         return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in ranks.items()])
     values = (df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())

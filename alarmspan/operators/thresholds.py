@@ -16,10 +16,14 @@ STRATEGIES = ("percentile", "ewma", "evt")
 
 
 def compute_threshold(train: DataFrame, lay: Layout, strategy: str = "percentile", percentile: float = 97.5,
-                      lam: float = 0.2, k: float = 3.0, tail_quantile: float = 0.95, score: str = "score") -> DataFrame:
-    """``threshold`` per key from training scores (the smoothed limit also needs ``pos`` within the scored set)."""
+                      lam: float = 0.2, k: float = 3.0, tail_quantile: float = 0.95, score: str = "score",
+                      accuracy: int | None = None) -> DataFrame:
+    """``threshold`` per key from training scores (the smoothed limit also needs ``pos`` within the scored set).
+
+    Percentiles are exact unless ``accuracy`` asks for sketches.
+    """
     if strategy == "percentile":
-        return quantile_table(train, lay, finite(F.col(score)), {"threshold": percentile / 100.0})
+        return quantile_table(train, lay, finite(F.col(score)), {"threshold": percentile / 100.0}, accuracy)
     if strategy == "ewma":
         return ewma_threshold(train, lay, lam, k, score)
     if strategy == "evt":

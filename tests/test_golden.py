@@ -149,6 +149,7 @@ def test_thresholds(spark, lay):
     scores = [i / 10 for i in range(1, 11)]
     df = frame(spark, scores, "score")
     assert thresholds.compute_threshold(df, lay).first().threshold == pytest.approx(0.9775)
+    assert thresholds.compute_threshold(df, lay, accuracy=1000).first().threshold == 1.0
     assert thresholds.compute_threshold(df, lay, "ewma").first().threshold == pytest.approx(0.5122603304)
     assert thresholds.compute_threshold(df, lay, "evt").first().threshold == pytest.approx(np.percentile(scores, 99))
     with pytest.raises(ValueError):

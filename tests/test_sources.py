@@ -146,3 +146,15 @@ def test_rate_reduction_and_scales(spark):
     assert flat.where("series_id = 'a'").count() == 40 and len(names) == 16
     table = pipeline.compare_scales(df, LAY, ["x", "y"], runs_of(spark), {"w10": (10,), "fused": (5, 10, 20)}, CFG).collect()
     assert {(r.scale, r.method) for r in table} == {(s, m) for s in ("w10", "fused") for m in ("three_sigma", "ewma")}
+
+
+def test_time_bound_and_columns_reach_the_scan(spark, tmp_path):
+    from alarmspan.operators.clean import last_hours
+    path = str(tmp_path / "t")
+    series(spark).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("failure_time", F.lit(dt.datetime(2024, 1, 3)))
+    out = last_hours(rows, LAY, 12.5).select("series_id", "x")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-02 11:30:00" in plan and "ReadSchema: struct<series_id:string,ts:timestamp,x:double>" in plan
+    assert out.count() == 2 * (400 - 213)
+    assert last_hours(rows, LAY, 200).count() == 800
