@@ -28,6 +28,9 @@ def test_waveform_snapshots(spark, tmp_path):
     (tmp_path / "first" / "2004.02.12.11.00.00").write_text("1 2 3\n4 5\n")
     (tmp_path / "first" / "2004.02.12.12.00.00").write_text("1 2 oops\n")
     (tmp_path / "second" / "2004.02.12.13.00.00").write_text("3.0 4.0\n")
+    os.makedirs(tmp_path / "third")
+    for k in range(25):
+        (tmp_path / "third" / f"snap{k:03d}").write_text(f"{k}.0 1.0\n")
     table = waveform.snapshot_table(spark, str(tmp_path), ["first", "second", "absent"], n_channels=2)
     rows = {(r.series_id, r.ts.strftime("%H:%M:%S")): r for r in table.collect()}
     assert len(rows) == 7
@@ -39,6 +42,8 @@ def test_waveform_snapshots(spark, tmp_path):
     assert rows["second", "13:00:00"].rms_ch1 == 4.0 and rows["second", "13:00:00"].kurt_ch0 == 0.0
     samples = waveform.waveform_samples(spark, str(tmp_path), ["first", "second"], 2)
     assert samples.select("path").distinct().count() == 7 and samples.count() == 6 * 50 * 2 + 2
+    counted = waveform.snapshot_table(spark, str(tmp_path), ["first", "third"], 2).where("series_id = 'third'").collect()
+    assert {r.ts: r.rms_ch0 for r in counted} == {dt.datetime(2003, 10, 22, 0, k): float(k) for k in range(25)}
     with pytest.raises(FileNotFoundError):
         waveform.snapshot_table(spark, str(tmp_path), ["absent"])
 
