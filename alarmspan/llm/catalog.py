@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmspan.llm import line_dedup, mixing, packing, simhash, token_counts, toxicity
+from alarmspan.llm import (ann, exact_topk, html_text, line_dedup, mixing, packing, secret_scan, simhash, token_counts,
+                           toxicity)
 from alarmspan.llm.common import in_fold, table
 
 # The mix of the registered query and the pipeline.
@@ -22,6 +23,16 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, TARGET).select("doc_id", "source", "n_tokens", F.col("pass").alias("pass_no"), "block", "block_key", "doc_key")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks")
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk.largest_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_repeated_lines(docs, LEAST_WORDS)
@@ -47,6 +58,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("toxic").alias("over_language_threshold"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+                        "spans", "n_random")
+
+
+def op9_near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -124,5 +146,19 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '')
 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_line_dedup, op5_packing, op6_simhash, op7_toxicity, op10_token_counts)}
-ORACLES = {"op1_source_mix": _SQL_MIX, "op4_line_dedup": _SQL_LINES}
+# Every query against every vector, nothing else.
+_SQL_PRODUCTS = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * x.e[i]))::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+QUERIES = {f.__name__: f for f in (
+    op1_source_mix, op2_html_text, op3_exact_topk, op4_line_dedup, op5_packing, op6_simhash, op7_toxicity, op8_secret_scan,
+    op9_near_neighbours, op10_token_counts)}
+ORACLES = {"op1_source_mix": _SQL_MIX, "op3_exact_topk": _SQL_PRODUCTS, "op4_line_dedup": _SQL_LINES}
