@@ -133,7 +133,7 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key, first, nth = renamed(docs, "_text_key", "_first", "_nth")
     keyed = docs.withColumn(key, F.xxhash64(text))
     groups = near_duplicate_groups(keyed, doc_id, text, keep=(key,), **how)
-    winners = (groups.where("component_id IS NOT NULL").groupBy("component_id")
+    winners = (groups.where("doc_id IS NOT NULL").groupBy("component_id")
                      .agg(F.min(F.struct("doc_id", key)).alias("w"))
                      .select(F.col("w.doc_id").alias("_w_id"), F.col(f"w.{key}").alias("_w_key"), F.lit(True).alias(first)))
     joined = keyed.join(winners, (keyed[doc_id].cast("long") == F.col("_w_id")) & (keyed[key] == F.col("_w_key")), "left")
