@@ -181,6 +181,10 @@ LABELLED = """
  6 0.0   2 1.0   3 0.0  0  0  0
 40 0.8  35 0.9   8 1.0  0  0  0
  1 1.0   0 0.0   2 1.0  0  0  0
+ 1 1.0   1 1.0  40 0.0  0  0  0
+ 5 1.0   0 0.0  60 0.0  0  0  0
+ 3 1.0  50 0.0   0 0.0  0  0  0
+12 1.0  30 0.0  45 0.0  0  0  0
 """
 
 

@@ -51,13 +51,13 @@ def _members(alphabet: str) -> frozenset:
 def randomness(run: str, alphabet: str) -> float:
     """Combined p-value of three tests of "drawn evenly from the alphabet": small for patterns, even for random runs.
 
-    Chi-squared on the symbols in equal ranges of five expected each; runs above and below the middle of the alphabet;
+    Chi-squared on the symbols in equal ranges of two expected each; runs above and below the middle of the alphabet;
     correlation of neighbours.  Joined by Fisher's method.
     """
     place = {c: i for i, c in enumerate(alphabet)}
     x = np.array([place[c] for c in run], dtype=np.float64)
     n, k = len(x), len(alphabet)
-    bins = max(2, min(k, n // 5))
+    bins = max(2, min(k, n // 2))
     seen = np.bincount((x * bins // k).astype(int), minlength=bins)
     sizes = np.bincount((np.arange(k) * bins // k), minlength=bins) * n / k
     p_even = chi2_tail(float(((seen - sizes) ** 2 / sizes).sum()), bins - 1)
