@@ -147,28 +147,32 @@ def threshold_ewma(spark, sf):
     return limits.select("series_id", "method", r6("threshold").alias("threshold"))
 
 
-def _evt_sql(points: int = 61, passes: int = 4) -> str:
-    """The profile-likelihood search over shape / scale as one CTE per narrowing pass."""
-    step = f"(hi - lo) / {points - 1}.0e0"
-    ctes = [v.SQL_MACHINE_LOG, """
+# Likelihood on a dense grid, then halving on the sign of a difference quotient around its best point.
+_SQL_EVT = v.with_ctes(v.SQL_MACHINE_LOG, """
 q AS (SELECT series_id, quantile_cont(value, 0.95) AS u, quantile_cont(value, 0.99) AS p99 FROM readings GROUP BY 1),
-tail AS (SELECT series_id, value - u AS x FROM readings JOIN q USING (series_id) WHERE value > u),
-st0 AS (SELECT series_id, count(*) AS m, avg(x) AS mean, -avg(x) / max(x) * 0.999e0 AS lo, 20.0e0 AS hi FROM tail GROUP BY 1)"""]
-    for i in range(passes):
-        ctes.append(f"""
-g{i} AS (SELECT series_id, m, mean, lo, hi, lo + (hi - lo) * k / {points - 1}.0e0 AS r FROM st{i}, (SELECT unnest(generate_series(0, {points - 1})) AS k) WHERE m >= 10),
-f{i} AS (SELECT series_id, m, mean, lo, hi, r, avg(ln(1 + r / mean * x)) AS xi FROM g{i} JOIN tail USING (series_id) GROUP BY ALL),
-l{i} AS (SELECT *, CASE WHEN abs(r) < 1e-9 THEN mean ELSE xi / (r / mean) END AS sigma FROM f{i}),
-b{i} AS (SELECT series_id, arg_max({{'r': r, 'xi': xi, 'sigma': sigma}}, CASE WHEN abs(r) < 1e-9 THEN -ln(sigma) - 1 ELSE -ln(sigma) - xi - 1 END)
-  FILTER (abs(r) < 1e-9 OR xi > -1) AS fit FROM l{i} GROUP BY 1),
-st{i + 1} AS (SELECT series_id, m, mean, greatest(lo, fit.r - {step}) AS lo, least(hi, fit.r + {step}) AS hi, fit FROM st{i} {'' if i == 0 else 'p'} JOIN b{i} USING (series_id))"""
-                    .replace(" fit FROM st", " b%d.fit AS fit FROM st" % i).replace("fit.r", "b%d.fit.r" % i))
-    return v.with_ctes(*ctes, tail=f"""SELECT series_id, coalesce(m, 0) AS tail_rows,
- {sql_r6(f"CASE WHEN m >= 10 THEN u + fit.sigma / fit.xi * (pow(0.01e0, -fit.xi) - 1) ELSE p99 END", 3)} AS threshold FROM q LEFT JOIN (SELECT series_id, m FROM st0) USING (series_id)
- LEFT JOIN (SELECT series_id, fit FROM st{passes}) USING (series_id)""")
-
-
-@query("threshold_evt", _evt_sql())
+tl AS (SELECT series_id, value - u AS x FROM readings JOIN q USING (series_id) WHERE value > u),
+st AS (SELECT series_id, count(*) AS m, avg(x) AS mean, max(x) AS top FROM tl GROUP BY 1),
+gr AS (
+  SELECT series_id, k, CASE WHEN k < 200 THEN -(1 - k / 200.0e0) / top * 0.999e0 ELSE pow(10e0, -6 + 15 * (k - 200) / 1500.0e0) / mean END AS t
+  FROM st, (SELECT unnest(generate_series(0, 1700)) AS k) WHERE m >= 10),
+ll AS (SELECT series_id, k, t, avg(ln(1 + t * x)) AS xi FROM gr JOIN tl USING (series_id) GROUP BY ALL),
+top AS (SELECT series_id, arg_max(k, -ln(xi / t) - xi) FILTER (xi > -1) AS k FROM ll GROUP BY 1),
+bk AS (SELECT top.series_id, min(t) AS lo, max(t) AS hi FROM top JOIN gr ON gr.series_id = top.series_id AND abs(gr.k - top.k) <= 1 GROUP BY 1),
+hv AS (
+  SELECT series_id, 0 AS i, lo, hi FROM bk
+  UNION ALL
+  SELECT series_id, i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
+    SELECT series_id, i, lo, hi, (lo + hi) / 2 AS mid,
+      (SELECT 1 / ((lo + hi) / 2) - avg(x / (1 + (lo + hi) / 2 * x)) * (1 + 1 / avg(ln(1 + (lo + hi) / 2 * x))) > 0
+       FROM tl WHERE tl.series_id = hv.series_id) AS up
+    FROM hv WHERE i < 60)),
+ft AS (SELECT series_id, (lo + hi) / 2 AS t, (SELECT avg(ln(1 + (lo + hi) / 2 * x)) FROM tl WHERE tl.series_id = hv.series_id) AS xi FROM hv WHERE i = 60)""",
+    tail=f"""SELECT series_id, coalesce(m, 0) AS tail_rows,
+ {sql_r6("CASE WHEN m >= 10 THEN u + (pow(0.01e0, -xi) - 1) / t ELSE p99 END", 3)} AS threshold
+ FROM q LEFT JOIN st USING (series_id) LEFT JOIN ft USING (series_id)""")
+
+
+@query("threshold_evt", _SQL_EVT)
 def threshold_evt(spark, sf):
     df, lay = v.machine_log(spark, sf)
     limits = thresholds.compute_threshold(df.withColumn("score", F.col("value")), lay, "evt")

@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 from alarmspan.catalog import views as v
 from alarmspan.catalog.lead_time import BASE, SCORED, scored, split_readings
 from alarmspan.catalog.registry import query, r6, sql_r6, sql_stamp, stamp
+from alarmspan.config import SplitConfig
 from alarmspan.detectors import forest, pca, rff
 from alarmspan.operators import alarms, clean, health, scale, uncertainty
 from alarmspan.operators.ordered import settle, with_position
 from alarmspan.operators.quantile import with_quantiles
-from alarmspan.operators.split import training_prefix
+from alarmspan.operators.split import normal_rows, training_prefix
 from alarmspan.plans import evaluate
 
 _PV = """
 ts3 AS (SELECT * FROM sc WHERE method = 'three_sigma'),
-pv AS (SELECT t.series_id, t.ts, t.split_pos, t.score,
+pv AS (SELECT t.series_id, t.ts, t.split_pos, t.split_n, t.score,
   (SELECT count(*) FROM ts3 c WHERE c.series_id = t.series_id AND c.split = 'cal' AND c.score >= t.score)
    / ((SELECT count(*) FROM ts3 c WHERE c.series_id = t.series_id AND c.split = 'cal') + 1)::DOUBLE AS p_value
   FROM ts3 t WHERE t.split = 'test')"""
@@ -44,9 +45,10 @@ _ALPHAS = (0.01, 0.02, 0.05, 0.10, 0.15, 0.20)
 
 
 @query("calibration_table", v.with_ctes(*SCORED, _PV, tail=f"""SELECT alpha, {sql_r6('avg(CASE WHEN p_value < alpha THEN 1.0e0 ELSE 0.0e0 END)')} AS actual_far, count(*) AS n_rows
-FROM pv, (VALUES {', '.join(f'({a}e0)' for a in _ALPHAS)}) g(alpha) GROUP BY 1"""))
+FROM (SELECT * FROM pv WHERE split_pos <= least(floor(split_n * 0.05e0)::BIGINT, split_n - 1)) pv, (VALUES {', '.join(f'({a}e0)' for a in _ALPHAS)}) g(alpha) GROUP BY 1"""))
 def calibration_table(spark, sf):
     out, _ = _pvalues(spark, sf)
+    out = out.where(normal_rows(SplitConfig().normal_period_fraction))
     return uncertainty.calibration_table(out, _ALPHAS).select("alpha", r6("actual_far").alias("actual_far"), "n_rows")
 
 

@@ -15,25 +15,33 @@ def event_stream(spark, sf):
     return rows.select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
+def stored_events(spark, sf):
+    return v.table(spark, sf, "events").select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
 def _sql_window(width_h, slide_h, aggs):
     w, s = width_h * 3_600_000_000, slide_h * 3_600_000_000
     return f"""
 sw AS (SELECT user_id AS series_id, value, unnest(generate_series(epoch_us(ts) // {s} * {s} - {w - s}, epoch_us(ts) // {s} * {s}, {s})) AS st FROM events),
-sg AS (SELECT series_id, st, {aggs} FROM sw GROUP BY 1, 2 HAVING st + {w} <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000)"""
+sg AS (SELECT series_id, st, {aggs} FROM sw GROUP BY 1, 2)"""
 
 
 @query("stream_resample", v.with_ctes(_sql_window(6, 6, "avg(value) AS value"), tail=f"SELECT series_id, {sql_stamp('make_timestamp(st)')} AS ts, {sql_r6('value')} AS value FROM sg"))
 def stream_resample(spark, sf):
-    out = online.run_available(online.stream_resample(event_stream(spark, sf), ["value"], "6 hours", "1 hour"), "stream-resample")
-    return out.select("series_id", stamp("ts").alias("ts"), r6("value").alias("value"))
+    means = lambda rows: online.stream_resample(rows, ["value"], "6 hours", "1 hour")
+    out = online.run_available(means(event_stream(spark, sf)), "stream-resample")
+    rest = online.close_windows(stored_events(spark, sf), means, "6 hours", "6 hours", "1 hour", F.col("ts") + F.expr("INTERVAL 6 hours"))
+    return out.unionByName(rest).select("series_id", stamp("ts").alias("ts"), r6("value").alias("value"))
 
 
 @query("stream_features", v.with_ctes(_sql_window(48, 24, "count(*) AS n_rows, sqrt(avg(value * value)) AS rms, max(value) - min(value) AS p2p, max(abs(value)) / (sqrt(avg(value * value)) + 1e-12) AS crest"),
     tail=f"SELECT series_id, {sql_stamp('make_timestamp(st)')} AS start_ts, n_rows, {sql_r6('rms')} AS rms, {sql_r6('p2p')} AS p2p, {sql_r6('crest')} AS crest FROM sg"))
 def stream_features(spark, sf):
-    out = online.run_available(online.stream_features(
-        event_stream(spark, sf), "value", "48 hours", "24 hours", "1 hour", ("rms", "peak_to_peak", "crest_factor")), "stream-features")
-    return out.select("series_id", stamp("start_ts").alias("start_ts"), "n_rows", *[r6(c).alias(c) for c in ("rms", "p2p", "crest")])
+    stats = lambda rows: online.stream_features(
+        rows, "value", "48 hours", "24 hours", "1 hour", ("rms", "peak_to_peak", "crest_factor"))
+    out = online.run_available(stats(event_stream(spark, sf)), "stream-features")
+    rest = online.close_windows(stored_events(spark, sf), stats, "48 hours", "24 hours", "1 hour", F.col("end_ts"))
+    return out.unionByName(rest).select("series_id", stamp("start_ts").alias("start_ts"), "n_rows", *[r6(c).alias(c) for c in ("rms", "p2p", "crest")])
 
 
 @query("stream_alarm", v.with_ctes(v.SQL_READINGS, v.sql_pos("readings"), """

@@ -1,17 +1,18 @@
 """Feature-extraction, as-of and rate-sweep queries."""
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from alarmspan.catalog import views as v
 from alarmspan.catalog.registry import query, r6, sql_r6, sql_stamp, stamp
-from alarmspan.config import SamplingConfig
+from alarmspan.config import ExperimentConfig, ModelConfig, SamplingConfig
 from alarmspan.functions.timeparse import hours_to_failure
 from alarmspan.operators import asof, clean, features
 from alarmspan.operators.ordered import settle, with_position
-from alarmspan.plans import sweeps
+from alarmspan.plans import pipeline, sweeps
 from alarmspan.session import cut_lineage
 
 CH = list(v.CHANNELS)
@@ -206,13 +207,31 @@ def derive_counts(spark, sf):
                                              "window_rows", "stride_rows", "persistence_windows", "window_floored")
 
 
-def _sweep_ctes():
-    stats = sql_stats("value", "value", PREFIXES[:7])
+def _scored_windows(keys: str, extra: str = "", persistence: str = "3") -> tuple[str, ...]:
+    """From feature windows ``ft`` to metrics ``met``: split, robust scale, both closed-form scores, alarms, per ``keys``."""
     scaled = ", ".join(f"({c} - {c}_2) / CASE WHEN {c}_3 = {c}_1 THEN 1 ELSE {c}_3 - {c}_1 END AS {c}" for c in _SWEEP_FEATURES)
     quart = ", ".join(f"quantile_cont({c}, {q}) FILTER (split = 'train') AS {c}_{i}" for c in _SWEEP_FEATURES for i, q in ((1, .25), (2, .5), (3, .75)))
     h = "sqrt(" + " + ".join(f"{c} * {c}" for c in _SWEEP_FEATURES) + ")"
     m = "(" + " + ".join(f"abs({c})" for c in _SWEEP_FEATURES) + f") / {len(_SWEEP_FEATURES)}.0e0"
-    on = " AND ".join(f"e.{k.strip()} = x.{k.strip()}" for k in RK.split(","))
+    names = [k.strip() for k in keys.split(",")]
+    on, own = " AND ".join(f"e.{k} = x.{k}" for k in names), ", ".join(f"x.{k}" for k in names)
+    return (v.sql_pos("ft", "fp", keys), v.sql_split("fp", "fs"), f"""
+qq AS (SELECT {keys}, {quart} FROM fs GROUP BY {keys}),
+sx AS (SELECT {keys}, ts, split, split_pos, split_n, failure_time{extra}, {scaled} FROM fs JOIN qq USING ({keys})),
+x AS (SELECT *, {h} AS h, {m} AS m FROM sx),
+mm AS (SELECT {keys}, avg(h) AS hm, stddev_pop(h) AS hs, avg(m) AS mu, stddev_pop(m) AS ms FROM x WHERE split = 'train' GROUP BY {keys}),
+e AS (SELECT {keys}, split, split_pos, 0.2e0 * m + 0.8e0 * mu AS e FROM x JOIN mm USING ({keys}) WHERE split_pos = 0
+  UNION ALL SELECT {own}, x.split, x.split_pos, 0.2e0 * x.m + 0.8e0 * e.e FROM e JOIN x ON {on} AND e.split = x.split AND x.split_pos = e.split_pos + 1),
+sc AS (SELECT x.*, 'three_sigma' AS method, abs((h - hm) / (hs + 1e-12)) AS score FROM x LEFT JOIN mm USING ({keys})
+  UNION ALL SELECT x.*, 'ewma' AS method, abs(e - mu) / (ms + 1e-12) AS score FROM x LEFT JOIN mm USING ({keys}) LEFT JOIN e USING ({keys}, split, split_pos)),
+thr AS (SELECT {keys}, method, quantile_cont(score, 0.975) FILTER (split = 'train') AS threshold FROM sc GROUP BY {keys}, method),
+tst AS (SELECT *, max(CASE WHEN split_pos = least(floor(split_n * 0.05e0)::BIGINT, split_n - 1) THEN ts END)
+    OVER (PARTITION BY {keys}, method) AS normal_end FROM sc JOIN thr USING ({keys}, method) WHERE split = 'test')""",
+        v.sql_alarms(f"{keys}, method", persistence=persistence), v.sql_metrics(f"{keys}, method"))
+
+
+def _sweep_ctes():
+    stats = sql_stats("value", "value", PREFIXES[:7])
     return (*RATES, f"""
 o AS (SELECT p.*, epoch_us(date_trunc('day', min(ts) OVER (PARTITION BY series_id))) AS o FROM p),
 ra AS (SELECT o.*, mode, factor, greatest(1, round_even(spacing_min * factor, 0)::BIGINT) * 60000000 AS us FROM o JOIN rates USING (series_id)),
@@ -229,20 +248,8 @@ wd AS (SELECT *, unnest(generate_series(greatest(0, ceil((pos - window_rows + 1)
 ft AS (SELECT {RK}, w, max(ts) FILTER (pos = w * step + window_rows // 2) AS ts, any_value(persistence_windows) AS persistence_windows,
   any_value(window_rows) AS window_rows, any_value(window_floored) AS window_floored, {v.SQL_FAIL} AS failure_time,
   {', '.join(f'{e} AS {n}' for n, e in stats.items())} FROM wc GROUP BY {RK}, w)""",
-        v.sql_pos("ft", "fp", RK), v.sql_split("fp", "fs"), f"""
-qq AS (SELECT {RK}, {quart} FROM fs GROUP BY {RK}),
-sx AS (SELECT {RK}, ts, split, split_pos, split_n, failure_time, persistence_windows, window_rows, window_floored, {scaled} FROM fs JOIN qq USING ({RK})),
-x AS (SELECT *, {h} AS h, {m} AS m FROM sx),
-mm AS (SELECT {RK}, avg(h) AS hm, stddev_pop(h) AS hs, avg(m) AS mu, stddev_pop(m) AS ms FROM x WHERE split = 'train' GROUP BY {RK}),
-e AS (SELECT {RK}, split, split_pos, 0.2e0 * m + 0.8e0 * mu AS e FROM x JOIN mm USING ({RK}) WHERE split_pos = 0
-  UNION ALL SELECT x.series_id, x.mode, x.factor, x.split, x.split_pos, 0.2e0 * x.m + 0.8e0 * e.e FROM e JOIN x ON {on} AND e.split = x.split AND x.split_pos = e.split_pos + 1),
-sc AS (SELECT x.*, 'three_sigma' AS method, abs((h - hm) / (hs + 1e-12)) AS score FROM x LEFT JOIN mm USING ({RK})
-  UNION ALL SELECT x.*, 'ewma' AS method, abs(e - mu) / (ms + 1e-12) AS score FROM x LEFT JOIN mm USING ({RK}) LEFT JOIN e USING ({RK}, split, split_pos)),
-thr AS (SELECT {RK}, method, quantile_cont(score, 0.975) FILTER (split = 'train') AS threshold FROM sc GROUP BY {RK}, method),
-tst AS (SELECT *, max(CASE WHEN split_pos = least(floor(split_n * 0.05e0)::BIGINT, split_n - 1) THEN ts END)
-    OVER (PARTITION BY {RK}, method) AS normal_end FROM sc JOIN thr USING ({RK}, method) WHERE split = 'test')""",
-        v.sql_alarms(f"{RK}, method", persistence="any_value(persistence_windows) OVER (PARTITION BY " + RK + ", method)"),
-        v.sql_metrics(f"{RK}, method"), f"""
+        *_scored_windows(RK, ", persistence_windows, window_rows, window_floored",
+                         "any_value(persistence_windows) OVER (PARTITION BY " + RK + ", method)"), f"""
 av AS (SELECT series_id, max((epoch_us(failure_time) - epoch_us(normal_end)) / 3.6e9) AS avail FROM met WHERE factor = 1 GROUP BY 1),
 sw AS (SELECT {RK}, method, round(effective_interval_min, 2) AS effective_interval_min, round(vlt_hours, 2) AS vlt_hours,
   round(CASE WHEN avail > 0 THEN least(1.0e0, greatest(0.0e0, round(vlt_hours, 2) / avail)) END, 4) AS vlt_norm,
@@ -265,13 +272,56 @@ def sampling_sweep(spark, sf):
 _AGG = {"VLT_hours": "vlt_hours", "VLT_norm": "vlt_norm", "FAR_pct": "far_pct"}
 
 
-@query("sampling_aggregate", v.with_ctes(*_sweep_ctes(), tail="SELECT mode, factor, method, " + ", ".join(
+@query("sampling_aggregate", v.with_ctes(*_sweep_ctes(), tail="SELECT mode, factor, effective_interval_min, method, " + ", ".join(
     f"{sql_r6(f'avg({c})', 4)} AS {o}_mean, {sql_r6(f'coalesce(stddev_samp({c}), 0)', 4)} AS {o}_std, {sql_r6(f'median({c})', 4)} AS {o}_median"
-    for o, c in _AGG.items()) + f", {sql_r6('min(vlt_norm)', 4)} AS VLT_norm_min, {sql_r6('max(vlt_norm)', 4)} AS VLT_norm_max, count(DISTINCT series_id) AS n_runs FROM sw GROUP BY 1, 2, 3"))
+    for o, c in _AGG.items()) + f", {sql_r6('min(vlt_norm)', 4)} AS VLT_norm_min, {sql_r6('max(vlt_norm)', 4)} AS VLT_norm_max, count(DISTINCT series_id) AS n_runs FROM sw GROUP BY 1, 2, 3, 4"))
 def sampling_aggregate(spark, sf):
     df, lay = v.machine_log(spark, sf)
     sweep = cut_lineage(sweeps.sampling_sweep(df, lay, ["value"]), "sweep")
-    # The intervals of irregular series all differ, so the fleet is grouped by the nominal factor here.
-    out = sweeps.sampling_aggregate(sweep, lay, ("mode", "factor", "method"))
+    out = sweeps.sampling_aggregate(sweep, lay)
     cols = [f"{o}_{s}" for o in _AGG for s in ("mean", "std", "median")] + ["VLT_norm_min", "VLT_norm_max"]
-    return out.select("mode", "factor", "method", *[r6(c, 4).alias(c) for c in cols], "n_runs")
+    return out.select("mode", "factor", r6("effective_interval_min", 2).alias("effective_interval_min"), "method", *[r6(c, 4).alias(c) for c in cols], "n_runs")
+
+
+# ---- whole experiments on feature windows ----
+_SCALES = {"30": (30,), "60": (60,), "180": (180,)}
+_CLOSED = replace(ExperimentConfig(), models=ModelConfig(methods=("three_sigma", "ewma")))
+
+
+def _scale_ctes(sizes) -> tuple[str, ...]:
+    stats = sql_stats("value", "value", PREFIXES[:7])
+    listed = ", ".join(f"({s})" for s in sizes)
+    return (v.SQL_MACHINE_LOG, v.sql_pos("readings"), f"""
+wd AS (SELECT p.*, size, size // 2 AS step,
+  unnest(generate_series(greatest(0, ceil((pos - size + 1) / (size // 2)::DOUBLE)::BIGINT), least(pos // (size // 2), (n - size) // (size // 2)))) AS w
+  FROM p, (VALUES {listed}) g(size) WHERE n >= size)""",
+        sql_centred(["value"], keys="series_id, size, w"), f"""
+ft AS (SELECT series_id, size, w, max(ts) FILTER (pos = w * step + size // 2) AS ts, {v.SQL_FAIL} AS failure_time,
+  {', '.join(f'{e} AS {n}' for n, e in stats.items())} FROM wc GROUP BY series_id, size, w)""",
+        *_scored_windows("series_id, size"))
+
+
+_SUMMARY = (f"series_id, method, {sql_stamp('fat')} AS fat, {sql_r6('vlt_hours', 2)} AS vlt_hours, "
+            f"{sql_r6('far_pct', 2)} AS far_pct, valid_alarm")
+
+
+def _summary(out):
+    return ["series_id", "method", stamp("fat").alias("fat"),
+            r6("vlt_hours", 2).alias("vlt_hours"), r6("far_pct", 2).alias("far_pct"), "valid_alarm"]
+
+
+@query("experiment_metrics", v.with_ctes(*_scale_ctes((30,)), tail=f"SELECT {_SUMMARY}, {sql_r6('threshold', 4)} AS threshold FROM met WHERE threshold IS NOT NULL"))
+def experiment_metrics(spark, sf):
+    df, lay = v.machine_log(spark, sf)
+    runs = df.groupBy("series_id").agg(F.any_value("failure_time").alias("failure_time"))
+    rows, _ = pipeline.feature_pipeline(df.drop("failure_time"), lay, ["value"], _CLOSED, window=30)
+    out = pipeline.compare_methods(rows, lay, runs, _CLOSED)
+    return out.select(*_summary(out), r6("threshold", 4).alias("threshold"))
+
+
+@query("scale_comparison", v.with_ctes(*_scale_ctes((30, 60, 180)), tail=f"SELECT size::VARCHAR AS scale, {_SUMMARY} FROM met WHERE threshold IS NOT NULL"))
+def scale_comparison(spark, sf):
+    df, lay = v.machine_log(spark, sf)
+    runs = df.groupBy("series_id").agg(F.any_value("failure_time").alias("failure_time"))
+    out = pipeline.scale_metrics(df.drop("failure_time"), lay, ["value"], runs, _SCALES, _CLOSED)
+    return out.select("scale", *_summary(out))

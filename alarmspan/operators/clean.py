@@ -104,9 +104,9 @@ def degradation_phase(hours_to_failure: Column) -> Column:
              .when(hours_to_failure < -PHASE_HOURS["Critical"], "Degrading").otherwise("Critical"))
 
 
-def last_hours(df: DataFrame, lay: Layout, hours: float, end: str = "failure_time", everything_from: float = 200.0) -> DataFrame:
-    """Rows of the last ``hours`` before ``end``; at 200 h or more, everything."""
-    if hours >= everything_from:
+def last_hours(df: DataFrame, lay: Layout, hours: float | None, end: str = "failure_time") -> DataFrame:
+    """Rows of the last ``hours`` before ``end``; everything for None."""
+    if hours is None:
         return df
     # Compared as timestamps, so that the bound reaches the Parquet scan when ``end`` is a constant.
     return df.where(F.col(lay.order) >= F.col(end) - F.make_dt_interval(secs=F.lit(hours * 3600.0).cast("decimal(18,6)")))

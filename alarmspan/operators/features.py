@@ -83,7 +83,9 @@ def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window
     if crossing:
         aggs.append(sum((F.var_samp(c) for c in channels[1:]), F.var_samp(channels[0])).alias("cov_trace"))
         if len(channels) <= _PAIR_EXPRESSIONS:
-            aggs += [stats.pearson_or_zero(F.col(a), F.col(b)).alias(pair_name(a, b))
+            # A gap in either channel makes the window's correlation 0, here as in the product of many channels.
+            full = lambda c: F.count_if(F.col(c).isNotNull() & ~F.isnan(c)) == F.count(F.lit(1))
+            aggs += [F.when(full(a) & full(b), stats.pearson_or_zero(F.col(a), F.col(b))).otherwise(F.lit(0.0)).alias(pair_name(a, b))
                      for a, b in combinations(channels, 2)]
     out = spread.groupBy(*keys, "w").agg(*aggs)
     if crossing and len(channels) > _PAIR_EXPRESSIONS:

@@ -15,7 +15,11 @@ def value_cell(value: Column) -> Column:
     octave = F.floor(F.log2(size))
     slice_ = F.floor((size / F.pow(F.lit(2.0), octave) - 1.0) * F.lit(_CELLS_PER_OCTAVE))
     rank = (octave + F.lit(1100)) * F.lit(_CELLS_PER_OCTAVE) + slice_
-    return F.when(value == 0.0, F.lit(0)).when(value > 0, rank).otherwise(-rank).cast("long")
+    # Beyond all numbers: NaN sorts last, as Spark has it.
+    end = F.lit(3000 * _CELLS_PER_OCTAVE)
+    infinite = size == F.lit(float("inf"))
+    return (F.when(F.isnan(value), end + 1).when(infinite, F.when(value > 0, end).otherwise(-end))
+             .when(value == 0.0, F.lit(0)).when(value > 0, rank).otherwise(-rank).cast("long"))
 
 
 def quantile_table(df: DataFrame, lay: Layout, value: Column, ranks: dict[str, float], accuracy: int | None = None) -> DataFrame:

@@ -33,6 +33,12 @@ def normal_end_row(fraction: float) -> Column:
     return (F.col("split") == "test") & (F.col("split_pos") == last)
 
 
+def normal_rows(fraction: float) -> Column:
+    """True for the test rows up to the one that ends the normal period (needs split columns)."""
+    last = F.least(F.floor(F.col("split_n").cast("double") * F.lit(fraction)), F.col("split_n") - 1)
+    return (F.col("split") == "test") & (F.col("split_pos") <= last)
+
+
 def with_baseline_span(df: DataFrame, lay: Layout, days: float = 2.0, out: str = "in_baseline") -> DataFrame:
     """Flag rows of the first ``days`` of a series, end included."""
     started = with_totals(df, lay, {"_start": F.min(lay.order)})

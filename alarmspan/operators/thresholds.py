@@ -61,17 +61,19 @@ def dynamic_threshold(df: DataFrame, lay: Layout, lam: float = 0.2, k: float = 3
     return both.withColumn("threshold", limit).drop("_mu0", "_sd0")
 
 
-def _grid(lo: Column, hi: Column, points: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo + (hi - lo) * i / F.lit(float(points - 1)))
+# First look at theta times the mean excess: shares of the support's end (negative shapes), and powers of ten.
+_NEGATIVE, _POSITIVE, _FROM, _TO = 20, 60, -6.0, 9.0
 
 
 def evt_threshold(train: DataFrame, lay: Layout, tail_quantile: float = 0.95, score: str = "score",
-                  points: int = 61, passes: int = 4, min_tail: int = 10) -> DataFrame:
+                  points: int = 33, tolerance: float = 1e-9, min_tail: int = 10) -> DataFrame:
     """Tail threshold: generalised Pareto fit above the ``tail_quantile``, its 99 % point; below ten tail scores the
     99th percentile of all scores.
 
-    With theta = shape / scale the likelihood has one free variable, so each pass evaluates a small grid of theta per
-    series by a partial aggregate over the tail rows and narrows it around the best point.
+    With theta = shape / scale the likelihood has one free variable.  A first pass compares it over fifteen decades of
+    theta per series; then the sign of its derivative narrows the bracket around the best point until it is ``tolerance``
+    wide, relative to theta.  A pass is one aggregate over the tail rows, combined before its exchange; whether to go on is
+    the one number that reaches the driver.  A tail whose likelihood rises up to an end of the grid keeps that end.
     """
     keys = list(lay.keys)
     clean = train.where(finite(F.col(score)).isNotNull())
@@ -83,33 +85,38 @@ def evt_threshold(train: DataFrame, lay: Layout, tail_quantile: float = 0.95, sc
     base = (marked.groupBy(*keys).agg(F.any_value("_u").alias("_u"), F.any_value("_p99").alias("_p99"))
             .join(tail.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.avg("_x").alias("_mean"),
                                           F.max("_x").alias("_max")), keys, "left"))
-    # Relative variable r = theta * mean; the support ends at theta = -1 / max.
-    state = base.withColumns({
-        "_lo": -F.col("_mean") / F.col("_max") * F.lit(0.999), "_hi": F.lit(20.0),
-        "_best": F.lit(0.0), "_xi": F.lit(0.0)})
-    for _ in range(passes):
-        grid = state.where(F.col("_m") >= min_tail).select(
-            *keys, "_mean", F.posexplode(_grid(F.col("_lo"), F.col("_hi"), points)).alias("_i", "_r"))
-        arrays = grid.groupBy(*keys).agg(F.collect_list(F.struct("_r", (F.col("_r") / F.col("_mean")).alias("t"))).alias("_g"))
-        fits = (tail.join(arrays, keys).select(*keys, "_x", F.explode("_g").alias("_g"))
-                .select(*keys, "_x", F.col("_g._r").alias("_r"), F.col("_g.t").alias("_theta"))
-                .groupBy(*keys, "_r", "_theta")
-                .agg(F.avg(F.log1p(F.col("_theta") * F.col("_x"))).alias("_xi"), F.avg("_x").alias("_mean")))
-        flat = F.abs(F.col("_r")) < 1e-9
-        scale = F.when(flat, F.col("_mean")).otherwise(F.col("_xi") / F.when(~flat, F.col("_theta")))
-        loglik = F.when(flat | (F.col("_xi") > -1.0), -F.ln(scale) - F.when(flat, F.lit(0.0)).otherwise(F.col("_xi")) - 1.0)
-        best = (fits.withColumn("_ll", loglik).groupBy(*keys)
-                .agg(F.max_by(F.struct("_r", "_theta", F.when(flat, F.lit(0.0)).otherwise(F.col("_xi")).alias("xi"),
-                                       scale.alias("sigma")), "_ll").alias("_fit")))
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
-        state = (state.drop("_fit").join(best, keys, "left")
-                 .withColumn("_step", width)
-                 .withColumns({"_lo": F.greatest(F.col("_lo"), F.col("_fit._r") - F.col("_step")),
-                               "_hi": F.least(F.col("_hi"), F.col("_fit._r") + F.col("_step"))}).drop("_step"))
-        state = cut_lineage(state, "evt-pass")
-    xi, sigma = F.col("_fit.xi"), F.col("_fit.sigma")
-    quantile = F.when(F.abs(xi) < 1e-9, -sigma * F.ln(F.lit(0.01))) \
-                .otherwise(sigma / F.when(F.abs(xi) >= 1e-9, xi) * (F.pow(F.lit(0.01), -xi) - 1.0))
-    fitted = (F.col("_m") >= min_tail) & quantile.isNotNull()
-    return state.select(*keys, F.when(fitted, F.col("_u") + quantile).otherwise(F.col("_p99")).alias("threshold"),
-                        xi.alias("shape"), sigma.alias("scale"), F.coalesce("_m", F.lit(0)).alias("tail_rows"))
+    base = cut_lineage(base, "evt-base")
+    fitted = base.where(F.col("_m") >= min_tail).select(*keys, "_mean", "_max")
+
+    def over_tail(grids: DataFrame) -> DataFrame:
+        """Shape, and mean of x / (1 + theta x), at every point of the series' array ``_g`` of thetas."""
+        spread = tail.join(grids.select(*keys, "_g"), keys).select(*keys, "_x", F.posexplode("_g").alias("_k", "_t"))
+        return spread.groupBy(*keys, "_k", "_t").agg(F.avg(F.log1p(F.col("_t") * F.col("_x"))).alias("_xi"),
+                                                     F.avg(F.col("_x") / (1.0 + F.col("_t") * F.col("_x"))).alias("_d"))
+
+    def around(points_of: DataFrame, grids: DataFrame, chosen: Column, step: int) -> DataFrame:
+        """The bracket of grid points at ``chosen - step`` and ``chosen + 1``, kept inside the grid."""
+        picked = points_of.groupBy(*keys).agg(chosen.alias("_i"))
+        inside = lambda i: F.get("_g", F.greatest(F.lit(0), F.least(F.size("_g") - 1, i)))
+        return cut_lineage(grids.join(picked, keys).select(
+            *keys, inside(F.col("_i") - step).alias("_lo"), inside(F.col("_i") + 1).alias("_hi")), "evt-pass")
+
+    first = F.expr(f"""concat(
+        transform(sequence(0, {_NEGATIVE - 1}), k -> -0.999D / _max * (1 - k / {float(_NEGATIVE)}D)),
+        transform(sequence(0, {_POSITIVE}), k -> pow(10D, {_FROM}D + {_TO - _FROM}D * k / {float(_POSITIVE)}D) / _mean))""")
+    looked = fitted.withColumn("_g", first)
+    likelihood = F.when(F.col("_xi") > -1.0, -F.ln(F.col("_xi") / F.col("_t")) - F.col("_xi"))
+    state = around(over_tail(looked), looked, F.max_by("_k", likelihood), 1)
+    width = F.max((F.col("_hi") - F.col("_lo")) / F.greatest(F.abs("_lo"), F.abs("_hi")))
+    steps = F.expr(f"transform(sequence(0, {points - 1}), k -> _lo + (_hi - _lo) * k / {float(points - 1)}D)")
+    # Theta times the derivative by theta; the last point where the likelihood still rises opens the new bracket.
+    rising = (1.0 - F.col("_t") * F.col("_d") * (1.0 / F.col("_xi") + 1.0)) * F.signum("_t") > 0
+    while (state.agg(width).first()[0] or 0.0) > tolerance:
+        grid = state.withColumn("_g", steps)
+        state = around(over_tail(grid), grid, F.coalesce(F.max(F.when(rising, F.col("_k"))), F.lit(-1)), 0)
+    shapes = over_tail(state.withColumn("_g", F.array((F.col("_lo") + F.col("_hi")) / 2))).select(
+        *keys, F.col("_xi").alias("shape"), (F.col("_xi") / F.col("_t")).alias("scale"))
+    quantile = F.col("scale") / F.col("shape") * (F.pow(F.lit(0.01), -F.col("shape")) - 1.0)
+    return base.join(shapes, keys, "left").select(
+        *keys, F.when(quantile.isNotNull(), F.col("_u") + quantile).otherwise(F.col("_p99")).alias("threshold"),
+        "shape", "scale", F.coalesce("_m", F.lit(0)).alias("tail_rows"))

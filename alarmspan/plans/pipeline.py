@@ -67,7 +67,7 @@ def compare_methods(rows: DataFrame, lay: Layout, runs: DataFrame, cfg: Experime
     return evaluate_scores(scores, lay.by("method"), cfg.threshold, cfg.split.normal_period_fraction)
 
 
-def compare_scales(df: DataFrame, lay: Layout, channels: Sequence[str], runs: DataFrame, scales: dict[str, Sequence[int]],
+def scale_metrics(df: DataFrame, lay: Layout, channels: Sequence[str], runs: DataFrame, scales: dict[str, Sequence[int]],
                    cfg: ExperimentConfig = ExperimentConfig(), tolerance_seconds: float = 300.0) -> DataFrame:
     """Method x feature-scale table: a scale is one window size, or several fused onto the coarsest grid."""
     placed = settle(with_position(df, lay), lay, "rows")
@@ -82,4 +82,10 @@ def compare_scales(df: DataFrame, lay: Layout, channels: Sequence[str], runs: Da
         part = compare_methods(prepare(windows, lay, names, cfg), lay, runs, cfg).withColumn("scale", F.lit(label))
         part = cut_lineage(part, "scale")  # a few rows per series; the experiments do not depend on each other
         out = part if out is None else out.unionByName(part)
-    return summary(out)
+    return out
+
+
+def compare_scales(df: DataFrame, lay: Layout, channels: Sequence[str], runs: DataFrame, scales: dict[str, Sequence[int]],
+                   cfg: ExperimentConfig = ExperimentConfig(), tolerance_seconds: float = 300.0) -> DataFrame:
+    """``scale_metrics`` in reported form: rounded, best lead first."""
+    return summary(scale_metrics(df, lay, channels, runs, scales, cfg, tolerance_seconds))

@@ -1,6 +1,7 @@
 """Session settings and the shared folder for cut lineage."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,18 +43,43 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, or a fresh one when it names none (tests)."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the session's checkpoint folder.
+
+    Where neither is set, a local master gets a fresh temporary folder; a cluster gets one beside its tables if the
+    warehouse is in a shared store, and otherwise has to name one, since each executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder is None and current.isDefined():
+        folder = current.get()
+    if folder is None and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if folder is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{warehouse.rstrip('/')}/_scratch"
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written; for when their results have been read."""
+    jvm, removed = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

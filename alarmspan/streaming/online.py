@@ -16,7 +16,7 @@ from alarmspan.session import scratch_path
 
 def stream_resample(stream: DataFrame, cols: Sequence[str], width: str, delay: str, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Mean per tumbling window once the watermark has passed it; later rows are dropped."""
-    late = stream.withWatermark(ts, delay)
+    late = stream.withWatermark(ts, delay) if stream.isStreaming else stream
     return (late.groupBy(key, F.window(ts, width).alias("_w")).agg(*[F.avg(c).alias(c) for c in cols])
                 .select(key, F.col("_w.start").alias(ts), *cols))
 
@@ -24,12 +24,30 @@ def stream_resample(stream: DataFrame, cols: Sequence[str], width: str, delay: s
 def stream_features(stream: DataFrame, col: str, width: str, slide: str, delay: str, features: Sequence[str],
                     key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Window statistics over sliding time windows, the time-based counterpart of the row windows."""
-    late = stream.withWatermark(ts, delay)
+    late = stream.withWatermark(ts, delay) if stream.isStreaming else stream
     aggs = [BUILDERS[f](F.col(col)).alias(PREFIX[f]) for f in features]
     return (late.groupBy(key, F.window(ts, width, slide).alias("_w")).agg(F.count(col).alias("n_rows"), *aggs)
                 .select(key, F.col("_w.start").alias("start_ts"), F.col("_w.end").alias("end_ts"), "n_rows", *[PREFIX[f] for f in features]))
 
 
+def still_open(rows: DataFrame, width: str, slide: str, delay: str, ts: str = "ts") -> DataFrame:
+    """Rows of the batch twin whose windows an append-mode stream over the same input has not handed out when it ends: those
+    in a window that ends after the watermark.  Only the last ``width`` before it is read."""
+    # A watermark is kept in milliseconds.
+    last = rows.agg(F.timestamp_millis(F.unix_millis(F.max(ts))).alias("_last"))
+    mark = F.col("_last") - F.expr(f"INTERVAL {delay}")
+    tail = rows.join(F.broadcast(last), F.col(ts) > mark - F.expr(f"INTERVAL {width}"))  # one row
+    return tail.withColumn("_mark", mark).drop("_last")
+
+
+def close_windows(rows: DataFrame, windowed: Callable[[DataFrame], DataFrame], width: str, slide: str, delay: str,
+                  end: Column, ts: str = "ts") -> DataFrame:
+    """The windows ``still_open`` at the end of the input, by the same aggregation (``windowed``) as the stream's."""
+    tail = still_open(rows, width, slide, delay, ts)
+    mark = tail.agg(F.max("_mark").alias("_mark"))
+    return windowed(tail.drop("_mark")).join(F.broadcast(mark), end > F.col("_mark")).drop("_mark")
+
+
 def online_alarm(stream: DataFrame, score: str = "score", limit: str = "threshold", lam: float = 0.2, k: float = 3.0,
                  persistence: int = 3, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Per row: smoothed mean and variance, the moving limit, and an alarm that fires at the ``persistence``-th
