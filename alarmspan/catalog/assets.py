@@ -41,8 +41,8 @@ _SNAP = {f"{p}_ch{k}": e for k, c in enumerate(CH) for p, e in (
 
 @query("channel_groups", v.with_ctes(v.sql_panel(2), f"""
 sn AS (SELECT series_id, date_trunc('day', ts) AS ts, {', '.join(f'{e} AS {n}' for n, e in _SNAP.items())} FROM panel GROUP BY 1, 2),
-sl AS ({' UNION ALL '.join(f"SELECT series_id, ts, '{g}' AS grp, 'ch{k}' AS channel, {p}_ch{k} AS value FROM sn" for g, p in (('RMS', 'rms'), ('Peak-to-Peak', 'p2p'), ('Variance', 'var')) for k in range(len(CH)))})""",
-    tail=f"""SELECT series_id, grp AS "group", channel, 'Bearing ' || (CAST(substr(channel, 3) AS INT) // 2 + 1) || CASE WHEN CAST(substr(channel, 3) AS INT) % 2 = 0 THEN ' X' ELSE ' Y' END AS label,
+sl AS ({' UNION ALL '.join(f"SELECT series_id, ts, '{g}' AS grp, 'ch{k}' AS channel, {p}_ch{k} AS value FROM sn" for g, p in (('rms', 'rms'), ('peak_to_peak', 'p2p'), ('variance', 'var')) for k in range(len(CH)))})""",
+    tail=f"""SELECT series_id, grp AS "group", channel, 'b' || (CAST(substr(channel, 3) AS INT) // 2 + 1) || CASE WHEN CAST(substr(channel, 3) AS INT) % 2 = 0 THEN 'x' ELSE 'y' END AS label,
  count(value) AS n, {sql_r6('max(value)')} AS peak FROM sl WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4"""))
 def channel_groups(spark, sf):
     df, lay = v.panel(spark, sf, 2)
@@ -252,8 +252,16 @@ def overlay(spark, sf):
     return correlation.overlay(rows, lay).select(*lay.keys, stamp("ts").alias("ts"), r6("za").alias("za"), r6("zb").alias("zb"), r6("progress").alias("progress"))
 
 
-@query("influence_summary")
+@query("influence_summary", v.with_ctes(*PAIRS, _CORR, _CCF, f"""
+bl AS (SELECT {PK}, lag AS best_lag, r AS best_r, CASE WHEN lag = 0 THEN 'simultaneous' WHEN lag > 0 THEN chan_b ELSE chan_a END AS leader FROM lc
+ QUALIFY row_number() OVER (PARTITION BY {PK} ORDER BY round(abs(r), 12) DESC, lag) = 1),
+fa AS (SELECT {PK}, r, leader, abs(best_lag)::BIGINT AS lag_rows, best_r, coalesce(abs(best_r) > 0.5, false) AS influence,
+ CASE WHEN abs(r) > 0.6 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END || CASE WHEN r > 0 THEN ' positive' ELSE ' negative' END AS grade
+ FROM co JOIN bl USING ({PK}))""", tail=f"""SELECT {PK}, {sql_r6('r')} AS r, grade, leader, lag_rows, {sql_r6('best_r')} AS best_r, influence,
+ chan_a || '/' || chan_b || ': ' || grade || CASE WHEN lag_rows = 0 THEN ', no lag' ELSE ', ' || leader || ' ahead by ' || lag_rows END
+  || CASE WHEN influence THEN ', linked' ELSE '' END AS note FROM fa"""))
 def influence_summary(spark, sf):
     rows, lay = pairs(spark, sf)
     best = correlation.lead_lag(correlation.lagged_correlation(rows, lay, 20), lay)
-    return correlation.influence_summary(correlation.pair_correlation(rows, lay), best, lay)
+    out = correlation.influence_summary(correlation.pair_correlation(rows, lay), best, lay)
+    return out.select(*lay.keys, r6("r").alias("r"), "grade", "leader", "lag_rows", r6("best_r").alias("best_r"), "influence", "note")

@@ -8,10 +8,9 @@ from alarmspan.catalog.lead_time import BASE, SCORED, scored, split_readings
 from alarmspan.catalog.registry import query, r6, sql_r6, sql_stamp, stamp
 from alarmspan.config import SplitConfig
 from alarmspan.detectors import forest, pca, rff
-from alarmspan.operators import alarms, clean, health, scale, uncertainty
+from alarmspan.operators import health, uncertainty
 from alarmspan.operators.ordered import settle, with_position
-from alarmspan.operators.quantile import with_quantiles
-from alarmspan.operators.split import normal_rows, training_prefix
+from alarmspan.operators.split import normal_rows
 from alarmspan.plans import evaluate
 
 _PV = """
@@ -141,25 +140,10 @@ def model_comparison(spark, sf):
 def health_alert(spark, sf):
     """Forest health score of the panel, its 95th percentile, first sustained alert and lead to shutdown."""
     df, lay = v.panel(spark, sf, 12)
-    return health_alert_table(df, lay, list(v.CHANNELS)).select(
+    return health.health_alert(df, lay, list(v.CHANNELS)).select(
         "series_id", "threshold", stamp("first_alarm").alias("first_alarm"), "lead_hours")
 
 
-def health_alert_table(df, lay, channels):
-    from alarmspan.operators.features import design_matrix
-    filled = settle(clean.fill_unlimited(with_position(df, lay), lay, channels), lay, "health")
-    early = training_prefix(0.40, 50)
-    params = scale.fit_scaler(filled, lay, channels, "robust", early)
-    rows = design_matrix(scale.apply_scaler(filled, params, lay, channels), channels)
-    det = forest.isolation_forest()
-    scores = det.score(rows, det.fit(rows.where(early), lay), lay)
-    norm = settle(scale.minmax_normalise(scores, lay, "score", "health", softened=True), lay, "health-score")
-    norm = with_quantiles(norm, lay, F.col("health"), {"threshold": 0.95})
-    first = alarms.first_sustained(norm, lay, F.col("health") > F.col("threshold"), 5)
-    ends = norm.groupBy(*lay.keys).agg(F.max(lay.order).alias("shutdown"), F.any_value("threshold").alias("threshold"))
-    lead = (F.unix_micros("shutdown") - F.unix_micros("first_alarm")) / F.lit(3.6e9)
-    return first.join(ends, list(lay.keys)).withColumn("lead_hours", F.coalesce(lead, F.lit(0.0)))
-
 
 @query("event_summary")
 def event_summary(spark, sf):
@@ -169,4 +153,4 @@ def event_summary(spark, sf):
     limits = health.baseline_limits(placed, lay, channels)
     return health.event_summary(
         health.contributions(placed, limits, lay, channels), health.behaviour(placed, limits, lay, channels),
-        health.fault_sequence(placed, limits, lay, channels), health_alert_table(df, lay, channels), lay)
+        health.fault_sequence(placed, limits, lay, channels), health.health_alert(df, lay, channels), lay)

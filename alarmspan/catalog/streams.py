@@ -30,7 +30,7 @@ sg AS (SELECT series_id, st, {aggs} FROM sw GROUP BY 1, 2)"""
 def stream_resample(spark, sf):
     means = lambda rows: online.stream_resample(rows, ["value"], "6 hours", "1 hour")
     out = online.run_available(means(event_stream(spark, sf)), "stream-resample")
-    rest = online.close_windows(stored_events(spark, sf), means, "6 hours", "6 hours", "1 hour", F.col("ts") + F.expr("INTERVAL 6 hours"))
+    rest = online.close_windows(stored_events(spark, sf), means, "6 hours", "1 hour", F.col("ts") + F.expr("INTERVAL 6 hours"))
     return out.unionByName(rest).select("series_id", stamp("ts").alias("ts"), r6("value").alias("value"))
 
 
@@ -40,7 +40,7 @@ def stream_features(spark, sf):
     stats = lambda rows: online.stream_features(
         rows, "value", "48 hours", "24 hours", "1 hour", ("rms", "peak_to_peak", "crest_factor"))
     out = online.run_available(stats(event_stream(spark, sf)), "stream-features")
-    rest = online.close_windows(stored_events(spark, sf), stats, "48 hours", "24 hours", "1 hour", F.col("end_ts"))
+    rest = online.close_windows(stored_events(spark, sf), stats, "48 hours", "1 hour", F.col("end_ts"))
     return out.unionByName(rest).select("series_id", stamp("start_ts").alias("start_ts"), "n_rows", *[r6(c).alias(c) for c in ("rms", "p2p", "crest")])
 
 

@@ -91,13 +91,14 @@ def overlay(pairs: DataFrame, lay: Layout) -> DataFrame:
 
 
 def influence_summary(corr: DataFrame, best: DataFrame, lay: Layout) -> DataFrame:
-    """Sentence-form reading of a channel pair."""
+    """Facts about a channel pair, and a note made of them: instant r with its grade, the best lagged r, who is ahead."""
     t = corr.join(best, list(lay.keys))
-    words = strength(F.col("r"), (0.3, 0.6), ("weakly", "moderately", "strongly"))
-    sign = F.when(F.col("r") > 0, "positively").otherwise("negatively")
-    moves = F.when(F.col("best_lag") == 0, "They respond simultaneously.").otherwise(
-        F.format_string("%s leads by %d rows.", F.col("leader"), F.abs("best_lag")))
-    cause = F.when(F.abs("best_r") > 0.5, "Strong influence.").otherwise("No dominant influence at the tested lags.")
-    text = F.format_string("%s and %s are %s %s correlated (r = %.3f). %s Peak lagged r = %.3f at lag %d. %s",
-                           F.col("chan_a"), F.col("chan_b"), sign, words, F.col("r"), moves, F.col("best_r"), F.col("best_lag"), cause)
-    return t.select(*lay.keys, text.alias("summary"))
+    grade = strength(F.col("r"), (0.3, 0.6), ("weak", "moderate", "strong"))
+    t = t.withColumns({"grade": F.concat_ws(" ", grade, F.lower(direction(F.col("r")))),
+                       "influence": F.coalesce(F.abs("best_r") > 0.5, F.lit(False)),
+                       "lag_rows": F.abs("best_lag").cast("long")})
+    note = F.concat(F.col("chan_a"), F.lit("/"), F.col("chan_b"), F.lit(": "), F.col("grade"),
+                    F.when(F.col("lag_rows") == 0, F.lit(", no lag"))
+                     .otherwise(F.concat(F.lit(", "), F.col("leader"), F.lit(" ahead by "), F.col("lag_rows").cast("string"))),
+                    F.when(F.col("influence"), F.lit(", linked")).otherwise(F.lit("")))
+    return t.select(*lay.keys, "r", "grade", "leader", "lag_rows", "best_r", "influence", note.alias("note"))

@@ -17,11 +17,11 @@ VIBRATION = ("LPC_DE_X_Vib", "LPC_DE_Y_Vib", "LPC_NDE_X_Vib", "LPC_NDE_Y_Vib")
 SPEED = "Ncp"
 TRAIN_FRACTION = 0.60
 CHANNELS = {
-    "LPC_DE_X_Vib": ("Drive End, X Axis", "DE-X", "mm/s", "vibration"),
-    "LPC_DE_Y_Vib": ("Drive End, Y Axis", "DE-Y", "mm/s", "vibration"),
-    "LPC_NDE_X_Vib": ("Non-Drive End, X Axis", "NDE-X", "mm/s", "vibration"),
-    "LPC_NDE_Y_Vib": ("Non-Drive End, Y Axis", "NDE-Y", "mm/s", "vibration"),
-    "Ncp": ("Compressor Speed", "Speed", "RPM", "speed"),
+    "LPC_DE_X_Vib": ("drive end x", "de_x", "mm/s", "vibration"),
+    "LPC_DE_Y_Vib": ("drive end y", "de_y", "mm/s", "vibration"),
+    "LPC_NDE_X_Vib": ("far end x", "nde_x", "mm/s", "vibration"),
+    "LPC_NDE_Y_Vib": ("far end y", "nde_y", "mm/s", "vibration"),
+    "Ncp": ("shaft speed", "speed", "RPM", "speed"),
 }
 
 

@@ -30,22 +30,19 @@ def stream_features(stream: DataFrame, col: str, width: str, slide: str, delay:
                 .select(key, F.col("_w.start").alias("start_ts"), F.col("_w.end").alias("end_ts"), "n_rows", *[PREFIX[f] for f in features]))
 
 
-def still_open(rows: DataFrame, width: str, slide: str, delay: str, ts: str = "ts") -> DataFrame:
-    """Rows of the batch twin whose windows an append-mode stream over the same input has not handed out when it ends: those
-    in a window that ends after the watermark.  Only the last ``width`` before it is read."""
+def close_windows(rows: DataFrame, windowed: Callable[[DataFrame], DataFrame], width: str, delay: str, end: Column,
+                  ts: str = "ts") -> DataFrame:
+    """The windows that an append-mode stream over the same input leaves open when it ends, by the same aggregation
+    (``windowed``): those that end after the watermark.
+
+    The latest time, one value, decides where that is, so that only the last ``width`` before it is read.
+    """
     # A watermark is kept in milliseconds.
-    last = rows.agg(F.timestamp_millis(F.unix_millis(F.max(ts))).alias("_last"))
-    mark = F.col("_last") - F.expr(f"INTERVAL {delay}")
-    tail = rows.join(F.broadcast(last), F.col(ts) > mark - F.expr(f"INTERVAL {width}"))  # one row
-    return tail.withColumn("_mark", mark).drop("_last")
-
-
-def close_windows(rows: DataFrame, windowed: Callable[[DataFrame], DataFrame], width: str, slide: str, delay: str,
-                  end: Column, ts: str = "ts") -> DataFrame:
-    """The windows ``still_open`` at the end of the input, by the same aggregation (``windowed``) as the stream's."""
-    tail = still_open(rows, width, slide, delay, ts)
-    mark = tail.agg(F.max("_mark").alias("_mark"))
-    return windowed(tail.drop("_mark")).join(F.broadcast(mark), end > F.col("_mark")).drop("_mark")
+    mark = rows.agg((F.timestamp_millis(F.unix_millis(F.max(ts))) - F.expr(f"INTERVAL {delay}")).cast("string")).first()[0]
+    if mark is None:
+        return windowed(rows)
+    mark = F.lit(mark).cast("timestamp")
+    return windowed(rows.where(F.col(ts) > mark - F.expr(f"INTERVAL {width}"))).where(end > mark)
 
 
 def online_alarm(stream: DataFrame, score: str = "score", limit: str = "threshold", lam: float = 0.2, k: float = 3.0,
