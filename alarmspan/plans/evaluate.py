@@ -20,6 +20,8 @@ from alarmspan.operators.thresholds import compute_threshold
 
 log = logging.getLogger(__name__)
 
+# Methods whose scores need no fitted model beyond training moments.
+CLOSED_FORM = ("three_sigma", "ewma")
 METRIC_COLUMNS = ("threshold", "fat", "vlt_hours", "far_pct", "alarm_raised", "valid_alarm")
 
 

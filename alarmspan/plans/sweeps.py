@@ -1,22 +1,24 @@
 """Sampling-rate sweep: every (mode, factor) is a key of one job rather than a loop of jobs."""
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alarmspan.detectors.base import build_detectors
 from alarmspan.config import FeatureConfig, SamplingConfig, SplitConfig, ThresholdConfig
 from alarmspan.functions.timeparse import hours_between
 from alarmspan.layout import Layout
-from alarmspan.operators.features import feature_columns, rolling_features
+from alarmspan.operators.features import design_matrix, feature_columns, rolling_features
 from alarmspan.operators.metrics import normalised_lead
 from alarmspan.operators.ordered import settle, with_position, with_totals
 from alarmspan.operators.quantile import quantile_table
 from alarmspan.operators.resample import MINUTE_US, bin_start, derive_counts, median_spacing
 from alarmspan.operators.scale import apply_scaler, fit_scaler
 from alarmspan.session import cut_lineage
-from alarmspan.plans.evaluate import closed_form_scores, evaluate_scores, split_rows
+from alarmspan.plans.evaluate import CLOSED_FORM, closed_form_scores, evaluate_scores, model_scores, split_rows
 
 RATE_KEYS = ("mode", "factor")
 
@@ -61,8 +63,12 @@ def at_every_rate(df: DataFrame, lay: Layout, rates: DataFrame, cols: list[str])
 
 def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: SamplingConfig = SamplingConfig(),
                    features: FeatureConfig = FeatureConfig(), split: SplitConfig = SplitConfig(),
-                   threshold: ThresholdConfig = ThresholdConfig(), scale: bool = True) -> DataFrame:
-    """Metrics per series, mode, factor and method, with lead normalised by the longest achievable one."""
+                   threshold: ThresholdConfig = ThresholdConfig(), scale: bool = True,
+                   methods: Sequence[str] = CLOSED_FORM, options: dict | None = None) -> DataFrame:
+    """Metrics per series, mode, factor and method, with lead normalised by the longest achievable one.
+
+    ``methods``: any registered detectors; the closed-form ones share one pass, others are fitted per series and rate, with ``options`` by name.
+    """
     keys = list(lay.keys)
     # Tables read more than once below are written once instead of being derived again for each reading.
     placed = settle(with_position(df, lay), lay, "sweep-rows")
@@ -81,14 +87,21 @@ def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: Sa
     if scale:
         params = fit_scaler(tagged, rated, cols, "robust", F.col("split") == "train")
         tagged = apply_scaler(tagged, params, rated, cols)
-    scored = closed_form_scores(tagged, rated, cols)
+    plain = [m for m in methods if m in CLOSED_FORM]
+    scored = closed_form_scores(tagged, rated, cols, plain) if plain else None
+    fitted = [m for m in methods if m not in CLOSED_FORM]
+    if fitted:
+        rows = cut_lineage(design_matrix(tagged, cols), "sweep-features")
+        modelled = model_scores(rows, rated, build_detectors(fitted, "features", options)).join(counts, [*keys, *RATE_KEYS])
+        same = [c for c in modelled.columns if scored is None or c in scored.columns]
+        scored = modelled if scored is None else scored.select(*same).unionByName(modelled.select(*same))
     result = evaluate_scores(scored, rated.by("method"), threshold, split.normal_period_fraction,
                              F.col("persistence_windows"),
                              extra=("window_rows", "persistence_windows", "window_floored"))
     result = result.join(spacing, [*keys, *RATE_KEYS])
     # The longest achievable lead is anchored to the full-rate test grid of the series: a group is its handful of rows
     # here, one per mode, factor and method.
-    per_series = len(sampling.modes) * len(sampling.factors) * 2
+    per_series = len(sampling.modes) * len(sampling.factors) * len(methods)
     anchor = with_totals(result, replace(lay, max_rows=per_series, block_rows=max(per_series, lay.block_rows)), {
         "available_lead_hours": F.max(F.when(F.col("factor") == 1, hours_between(F.col("failure_time"), F.col("normal_end"))))})
     vlt = F.round("vlt_hours", 2)

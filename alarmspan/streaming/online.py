@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,33 @@ def close_windows(rows: DataFrame, windowed: Callable[[DataFrame], DataFrame], w
     return windowed(rows.where(F.col(ts) > mark - F.expr(f"INTERVAL {width}"))).where(end > mark)
 
 
+def smoothed(values: np.ndarray, known: np.ndarray, lam: float, start: float | None) -> np.ndarray:
+    """x_t = lam v_t + (1 - lam) x_(t-1) over known values, from ``start`` or the first known value; held where unknown.
+
+    Blocks short enough for powers of the decay to stay in range, each in closed form by a running sum.
+    """
+    out, decay = np.full(len(values), np.nan), 1.0 - lam
+    picked = values[known]
+    made = np.empty(len(picked))
+    size = len(picked) if decay <= 0 else max(1, int(200 / -np.log(decay)))
+    state = start
+    for a in range(0, len(picked), max(1, size)):
+        part = picked[a:a + size]
+        if decay <= 0:
+            made[a:a + size] = part
+            continue
+        powers = decay ** np.arange(1, len(part) + 1)
+        weights = np.full(len(part), lam)
+        if state is None:
+            weights[0], state = 1.0, 0.0
+        made[a:a + size] = powers * (state + np.cumsum(weights * part / powers))
+        state = made[a:a + size][-1]
+    out[known] = made
+    before = np.cumsum(known) - 1
+    held = np.where(before >= 0, made[np.maximum(before, 0)] if len(made) else np.nan, np.nan if start is None else start)
+    return np.where(known, out, held)
+
+
 def online_alarm(stream: DataFrame, score: str = "score", limit: str = "threshold", lam: float = 0.2, k: float = 3.0,
                  persistence: int = 3, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Per row: smoothed mean and variance, the moving limit, and an alarm that fires at the ``persistence``-th
@@ -60,22 +88,32 @@ def online_alarm(stream: DataFrame, score: str = "score", limit: str = "threshol
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, mean, var, run, start = state.get if state.exists else (0, 0.0, 0.0, 0, None)
-        start = None if start is None or pd.isna(start) else pd.Timestamp(start)
         pdf = pd.concat(list(batches)).sort_values(ts)
-        rows = []
-        for t, s, lim in zip(pdf[ts], pdf[score], pdf[limit]):
-            if seen == 0:
-                mean, var = s, 0.0
-            else:
-                mean = lam * s + (1.0 - lam) * mean
-                var = lam * (s - mean) ** 2 + (1.0 - lam) * var
-            seen += 1
-            hit = bool(s > lim)
-            start = (t if run == 0 else start) if hit else None
-            run = run + 1 if hit else 0
-            rows.append((group[0], t, s, mean, var, mean + k * (math.sqrt(var) + EPS) * factor, run, start, run >= max(1, persistence)))
-        state.update((seen, float(mean), float(var), run, None if start is None else start.to_pydatetime()))
-        yield pd.DataFrame(rows, columns=[key, ts, score, "ewma_mean", "ewma_var", "dynamic_limit", "run", "run_start", "alarm"])
+        s, limits = pdf[score].to_numpy(dtype=float), pdf[limit].to_numpy(dtype=float)
+        known = np.isfinite(s)
+        # A score that is missing leaves mean and variance as they are.
+        first = seen == 0
+        means = smoothed(np.where(known, s, 0.0), known, lam, None if first else mean)
+        squares = np.where(known, (s - means) ** 2, 0.0)
+        if first and known.any():
+            squares[np.argmax(known)] = 0.0
+        variances = smoothed(squares, known, lam, None if first else var)
+        hit = known & (s > limits)
+        at = np.arange(len(s))
+        last_miss = np.maximum.accumulate(np.where(hit, -1, at)) if len(s) else at
+        runs = np.where(hit, at - last_miss + np.where(last_miss < 0, run, 0), 0)
+        begun = pdf[ts].to_numpy()[np.minimum(last_miss + 1, len(s) - 1)]
+        if run and start is not None:
+            begun = np.where(last_miss < 0, np.datetime64(pd.Timestamp(start)), begun)
+        starts = pd.Series(begun).where(hit)
+        out = pd.DataFrame({key: group[0], ts: pdf[ts].to_numpy(), score: s, "ewma_mean": means, "ewma_var": variances,
+                            "dynamic_limit": means + k * (np.sqrt(variances) + EPS) * factor, "run": runs,
+                            "run_start": starts.to_numpy(), "alarm": runs >= max(1, persistence)})
+        end = None if not runs[-1] else pd.Timestamp(starts.iloc[-1]).to_pydatetime()
+        if seen or known.any():
+            mean, var = float(means[-1]), float(variances[-1])
+        state.update((seen + int(known.sum()), mean, var, int(runs[-1]), end))
+        yield out
 
     rows = stream.select(key, ts, F.col(score).cast("double").alias(score), F.col(limit).cast("double").alias(limit))
     return rows.groupBy(key).applyInPandasWithState(step, output, state_type, "append", GroupStateTimeout.NoTimeout)

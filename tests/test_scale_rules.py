@@ -107,3 +107,31 @@ def test_scratch_tables_can_be_cleared(spark):
     assert held.count() == 3 and any(n.startswith("kept-for-now") for n in os.listdir(shared_folder(spark)))
     assert clear_scratch(spark) > 0
     assert not any(n.startswith("kept-for-now") for n in os.listdir(shared_folder(spark)))
+
+
+def test_sweep_takes_any_methods(spark):
+    from alarmspan.config import SamplingConfig
+    from alarmspan.plans.sweeps import sampling_sweep
+    rng = np.random.default_rng(2)
+    df = series(spark, rng.normal(10, 1, 400)).select("series_id", "ts", F.col("score").alias("value")).withColumn(
+        "failure_time", F.timestamp_seconds(F.lit(400 * 60)))
+    small = SamplingConfig(factors=(1, 2), modes=("decimate",))
+    names = ("three_sigma", "ewma", "hotelling_t2", "isolation_forest")
+    lay = Layout(max_rows=400)
+    full = sampling_sweep(df, lay, ["value"], small, methods=names, options={"isolation_forest": {"n_estimators": 20}}).collect()
+    assert {(r["factor"], r["method"]) for r in full} == {(f, m) for f in (1, 2) for m in names}
+    plain = {(r["factor"], r["method"]): r for r in sampling_sweep(df, lay, ["value"], small).collect()}
+    assert all(plain[r["factor"], r["method"]] == r for r in full if r["method"] in ("three_sigma", "ewma"))
+
+
+def test_smoothing_in_closed_form_skips_gaps():
+    from alarmspan.streaming.online import smoothed
+    rng = np.random.default_rng(8)
+    values, known = rng.normal(size=5000), rng.random(5000) > 0.1
+    for start in (None, 3.0):
+        x, want = start, []
+        for v, k in zip(values, known):
+            if k:
+                x = v if x is None else 0.2 * v + 0.8 * x
+            want.append(np.nan if x is None else x)
+        assert np.allclose(smoothed(np.where(known, values, 0.0), known, 0.2, start), want, equal_nan=True)
