@@ -2,8 +2,8 @@
 
 Words between ASCII white space never share a token in a tokenizer that drops white space, so a text's count is the sum
 over its distinct words of occurrences times pieces.  A block of documents sends each distinct word once, with the
-documents it stands in; all blocks' rows of a word meet in one task, where the tokenizer counts its pieces once; what comes
-back is one partial sum per document and task.  Ids are never kept.
+documents it stands in, to the task its hash names; there the tokenizer counts its pieces once for all blocks; what comes
+back is one array of sums per block and task.  Ids are never kept.
 """
 from __future__ import annotations
 
@@ -16,117 +16,173 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmspan.llm.common import slices
+from alarmspan.llm.common import slices, string_hashes
+from alarmspan.llm.tokens import one_thread_tokenizer
 
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
-# Places a counting task keeps before it adds them up and hands the sums on: 16 bytes each.
-HELD_PLACES = 4_000_000
-_PARTITION_BITS = 36
+# A place is a row in its block and a count, 16 bits each.
+BLOCK_BYTES, BLOCK_ROWS = 6 << 20, (1 << 16) - 1
+# Words a counting task remembers; a task that meets more forgets them and counts those that come again anew.
+KNOWN_WORDS = 1_000_000
+DOCS, WORDS, SUMS = 0, 1, 2
+_PARTS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+_PARTS_DDL = "bucket int, block long, kind int, body binary"
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
-_WORDS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("word", pa.string()),
-                    ("places", pa.binary())])
-_SUMS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+def _bytes(**columns: pa.Array) -> bytes:
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _batch(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(body).read_next_batch()
+
+
+def _rows(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*parts), _PARTS)], schema=_PARTS)
 
 
 def word_places(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of a block; then, ordered by word: word code, row and occurrences."""
     lists = pc.ascii_split_whitespace(texts)
-    words = lists.values
-    rows = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    coded = words.slice(lists.offsets[0].as_py(), len(rows)).dictionary_encode()
-    pairs, times = np.unique(coded.indices.to_numpy().astype(np.int64) * len(texts) + rows, return_counts=True)
-    code, row = np.divmod(pairs, max(1, len(texts)))
+    offsets = lists.offsets.to_numpy()
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    pairs = coded.indices.to_numpy().astype(np.int64)
+    pairs *= len(texts)
+    pairs += np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
+    pairs.sort()
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    times = np.diff(np.append(first, len(pairs)))
+    code, row = np.divmod(pairs[first], max(1, len(texts)))
     return coded.dictionary, code, row, times
 
 
-def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: a row for each document, and a row for each distinct word with its places.
+def _spread(buckets: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block: one row with its documents' ids and sizes, and one per bucket with that bucket's distinct words: the
+        words, the places of each, and the places' rows and occurrences (a count beyond 16 bits takes several places)."""
+        block = TaskContext.get().partitionId() << 32
+        for part in slices(batches, "text", BLOCK_BYTES, BLOCK_ROWS):
+            texts = pc.fill_null(part.column("text"), "")
+            sizes = pc.cast(pc.binary_length(texts), pa.int64())
+            yield _rows([(block % buckets, block, DOCS, _bytes(doc_id=part.column("doc_id"), n_bytes=sizes))])
+            # The tokenizer lower-cases, so letters may be joined here too, unless a special string could come about.
+            words, code, row, times = word_places(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+            while (times >> 16).any():
+                over = times >> 16 > 0
+                code, row = np.append(code, code[over]), np.append(row, row[over])
+                times = np.append(np.where(over, times - 65_535, times), np.full(over.sum(), 65_535))
+            bucket = (string_hashes(words) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket[code] * np.int64(len(words) or 1) + code, kind="stable")
+            code, row, times = code[order], row[order].astype(np.uint16), times[order].astype(np.uint16)
+            by_bucket = np.argsort(bucket, kind="stable")
+            places = np.bincount(code, minlength=len(words))[by_bucket].astype(np.uint32)
+            word_edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)).tolist()
+            place_edges = np.concatenate([[0], np.cumsum(places, dtype=np.int64)])[word_edges].tolist()
+            words = words.take(pa.array(by_bucket))
+            rows = []
+            for k in range(buckets):
+                a, b, c, d = word_edges[k], word_edges[k + 1], place_edges[k], place_edges[k + 1]
+                if a < b:
+                    rows.append((k, block, WORDS, _packed(words.slice(a, b - a), places[a:b], row[c:d], times[c:d])))
+                if len(rows) == 512:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
+            block += 1
+            del texts, words, code, row, times, bucket, order, by_bucket, places, rows
+            pa.default_memory_pool().release_unused()  # a worker lives on through many tasks
+    return run
 
-    A place is the row in the block times 2^16 plus occurrences, 32 bits; more than 65 535 occurrences take several.
-    """
-    next_key = TaskContext.get().partitionId() << _PARTITION_BITS
-    for block in slices(batches, "text", BLOCK_BYTES, BLOCK_ROWS):
-        texts = pc.fill_null(block.column("text"), "")
-        n = len(texts)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.arange(next_key, next_key + n)), block.column("doc_id"),
-            pc.cast(pc.binary_length(texts), pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], schema=_WORDS)
-        # The tokenizer lower-cases, so letters may be joined here too, unless a special string could come about.
-        plain = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        words, code, row, times = word_places(plain)
-        while (times >> 16).any():
-            over = times >> 16 > 0
-            code, row = np.append(code, code[over]), np.append(row, row[over])
-            times = np.append(np.where(over, times - 65_535, times), np.full(over.sum(), 65_535))
-            order = np.argsort(code, kind="stable")
-            code, row, times = code[order], row[order], times[order]
-        places = (row << 16 | times).astype("<u4")
-        edges = np.searchsorted(code, np.arange(len(words) + 1)).astype(np.int32) * 4
-        packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(edges), pa.py_buffer(places)])
-        for at in range(0, len(words), 50_000):
-            some = words.slice(at, 50_000)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(some), next_key)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()),
-                some, packed.slice(at, len(some))], schema=_WORDS)
-        next_key += n
+
+def _packed(words: pa.Array, places: np.ndarray, row: np.ndarray, times: np.ndarray) -> bytes:
+    joined = "\n".join(words.to_pylist()).encode()
+    head = np.array([len(joined), len(places), len(row)], dtype="<u4").tobytes()
+    plain = head + joined + places.astype("<u4").tobytes() + row.astype("<u2").tobytes() + times.astype("<u2").tobytes()
+    return len(plain).to_bytes(4, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _unpacked(body: bytes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    plain = pa.decompress(body[4:], int.from_bytes(body[:4], "little"), codec="zstd", asbytes=True)
+    size, n, m = np.frombuffer(plain, "<u4", 3).tolist()
+    at = 12 + size
+    return (plain[12:at].decode().split("\n"), np.frombuffer(plain, "<u4", n, at), np.frombuffer(plain, "<u2", m, at + 4 * n),
+            np.frombuffer(plain, "<u2", m, at + 4 * n + 2 * m))
 
 
 def _sums(tokenizer: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive ordered by word: equal words are neighbours, so each is tokenized once per task that has it."""
-        from tokenizers import Tokenizer
-        counter = Tokenizer.from_file(tokenizer)
-        last, last_count = None, 0
-        keys: list[np.ndarray] = []
-        sums: list[np.ndarray] = []
-
-        def added() -> pa.RecordBatch:
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(where, np.concatenate(sums), len(key)).astype(np.int64)
-            keys.clear(), sums.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64()), pa.array(total)], schema=_SUMS)
+        """Rows arrive by block.  A word is tokenized where it first comes up, once for all blocks of the task, which is the
+        only one to see it; a block's sums leave when the next block begins."""
+        counter = one_thread_tokenizer(tokenizer)
+        known: dict[str, int] = {}
+        now, sums = None, np.zeros(0, np.int64)
 
         for batch in batches:
-            is_word = pc.is_valid(batch.column("word"))
-            docs, words = batch.filter(pc.invert(is_word)), batch.filter(is_word)
-            if len(docs):
-                yield pa.RecordBatch.from_arrays(
-                    [docs.column(k) for k in ("row_key", "doc_id", "n_bytes")] + [pa.array(np.zeros(len(docs), np.int64))], schema=_SUMS)
-            if not len(words):
-                continue
-            coded = words.column("word").dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            known = distinct[0] == last
-            encoded = counter.encode_batch_fast(distinct[known:], add_special_tokens=False)
-            counts = np.array([last_count] * known + [len(e.ids) for e in encoded], dtype=np.int64)
-            last, last_count = distinct[-1], int(counts[-1])
-            places = words.column("places")
-            size = np.asarray(pc.binary_length(places)) // 4
-            flat = np.frombuffer(b"".join(places.to_pylist()), "<u4").astype(np.int64)
-            keys.append(np.repeat(words.column("row_key").to_numpy(), size) + (flat >> 16))
-            sums.append(np.repeat(counts[coded.indices.to_numpy()], size) * (flat & 0xFFFF))
-            if sum(map(len, keys)) >= HELD_PLACES:
-                yield added()
-        if keys:
-            yield added()
+            out = []
+            for block, kind, body in zip(*(batch.column(k).to_pylist() for k in ("block", "kind", "body"))):
+                if kind == DOCS:
+                    out.append((0, block, DOCS, body))
+                    continue
+                if block != now:
+                    if now is not None:
+                        out.append((0, now, SUMS, _bytes(n=pa.array(sums))))
+                    now, sums = block, np.zeros(BLOCK_ROWS, np.int64)
+                words, places, row, times = _unpacked(body)
+                fresh = [w for w in words if w not in known]
+                if fresh:
+                    if len(known) > KNOWN_WORDS:
+                        known.clear()
+                        fresh = words
+                    for at in range(0, len(fresh), 2000):
+                        some = fresh[at:at + 2000]
+                        known.update(zip(some, [len(e) for e in counter.encode_batch_fast(some, add_special_tokens=False)]))
+                pieces = np.repeat(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), places)
+                np.add.at(sums, row, pieces * times)
+            if out:
+                yield _rows(out)
+        if now is not None:
+            yield _rows([(0, now, SUMS, _bytes(n=pa.array(sums)))])
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive by block: its documents, then its sums from every counting task."""
+    now, docs, sums = None, None, np.zeros(0, np.int64)
+
+    def counts() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("n_bytes"), pa.array(sums[:len(docs)])], schema=_COUNTS)
+
+    for batch in batches:
+        for block, kind, body in zip(*(batch.column(k).to_pylist() for k in ("block", "kind", "body"))):
+            if block != now:
+                if now is not None:
+                    yield counts()
+                now, sums = block, np.zeros(BLOCK_ROWS, np.int64)
+            if kind == DOCS:
+                docs = _batch(body)
+            else:
+                sums = sums + _batch(body).column("n").to_numpy()
+    if now is not None:
+        yield counts()
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every row, as tokenizers counts the whole text without added special tokens.
 
     ``tokenizer``: path of a tokenizers file whose pre-tokenizer drops white space and whose normaliser lower-cases.
+    ``buckets``: into how many parts words are dealt by hash (four per shuffle partition, 1 024 at least, by default).
     Special strings in a text count as the file's default has them.  Null and empty texts have 0 bytes and 0 tokens; rows
     are counted one by one, so null or repeated doc_ids keep their rows; an empty table gives no rows; other columns are
-    ignored.  A word in all documents is one row per 16 MB block, so it weighs no more on its task than any other word of
-    as many blocks.  Memory: a block, or the places held.
+    ignored.  A word in all documents is one entry per 6 MB block, so it weighs no more on its task than any other word
+    of as many blocks.  Memory: a block, or a task's distinct words.
     """
-    words = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _words, "row_key long, doc_id long, n_bytes long, word string, places binary")
-    dealt = (words.repartition(F.coalesce("word", F.col("row_key").cast("string")))
-                  .sortWithinPartitions("word"))
-    sums = dealt.mapInArrow(_sums(tokenizer), "row_key long, doc_id long, n_bytes long, n_tokens long")
-    return (sums.groupBy("row_key")
-                .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-                .drop("row_key"))
+    buckets = buckets or max(1024, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_spread(buckets), _PARTS_DDL)
+    sums = parts.repartition("bucket").sortWithinPartitions("block").mapInArrow(_sums(tokenizer), _PARTS_DDL)
+    return (sums.repartition("block").sortWithinPartitions("block", "kind")
+                .mapInArrow(_joined, "doc_id long, n_bytes long, n_tokens long"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,15 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=2)
+def one_thread_tokenizer(path: str):
+    """A tokenizers object that stays in the task's own thread: cores are Spark's to share out, and threads that come and
+    go in a long-lived worker leave memory behind with each task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from text to a uint32 array of ids, as ``tokenizers`` gives them without added special tokens.
@@ -37,6 +47,5 @@ def encoder(path: str):
         ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary.items()}
         coding = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         return lambda text: coding.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = one_thread_tokenizer(path)
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
