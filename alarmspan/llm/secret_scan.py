@@ -122,8 +122,8 @@ def cuts(found: DataFrame, runs: str) -> dict[int, int]:
     """Per stratum of length, the smallest score from which at most FALSE_SHARE of the runs are expected to be ordinary text.
 
     The share is (decoys at or above the score + 1) over the runs at or above it, each distinct run counted once.  A stratum
-    with few runs borrows those of shorter strata, whose decoys look more random; with none to borrow, the battery decides
-    alone, at score 1 of STEPS.  Counts per stratum and score, at most strata times steps, reach the driver.
+    with few runs borrows those of shorter strata, whose decoys look more random; where the share cannot be shown to be
+    small, no run passes.  Counts per stratum and score, at most strata times steps, reach the driver.
     """
     one = found.select(F.explode(runs).alias("r")).select("r.*").groupBy("hash").agg(
         F.min("stratum").alias("stratum"), F.min("score").alias("score"), F.max("decoy").alias("decoy"))
@@ -139,9 +139,6 @@ def cuts(found: DataFrame, runs: str) -> dict[int, int]:
         while first > 0 and table[first:s + 1, 0].sum() < LEAST_IN_STRATUM:
             first -= 1
         own = table[first:s + 1].sum(0)
-        if own[0].sum() < LEAST_IN_STRATUM:
-            out[s] = 1
-            continue
         above = own[:, ::-1].cumsum(axis=1)[:, ::-1]
         good = np.flatnonzero((above[1] + 1) / np.maximum(above[0], 1) <= FALSE_SHARE)
         out[s] = max(1, int(good[0])) if len(good) else STEPS + 1

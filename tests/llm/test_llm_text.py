@@ -405,7 +405,9 @@ def test_randomness_tells_keys_from_patterns():
 def test_secret_scan_finds_unnamed_keys(spark):
     rng = np.random.default_rng(9)
     alphabet = list(secret_scan.ALPHABETS["alnum62"])
-    words = ["ordinary", "words", "standing", "around", "every", "single", "candidate", "here"]
+    # Decoys come from the text around a key, so the text has to be as varied as the corpus is.
+    words = " ".join(r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(40).collect()).split()
+    words = [w for w in words if w.isalpha()]
     rows = []
     for i in range(300):
         key = "".join(rng.choice(alphabet, 40)) if i % 3 else "chapter1section2paragraph3line4"
