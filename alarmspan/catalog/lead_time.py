@@ -153,8 +153,9 @@ q AS (SELECT series_id, quantile_cont(value, 0.95) AS u, quantile_cont(value, 0.
 tl AS (SELECT series_id, value - u AS x FROM readings JOIN q USING (series_id) WHERE value > u),
 st AS (SELECT series_id, count(*) AS m, avg(x) AS mean, max(x) AS top FROM tl GROUP BY 1),
 gr AS (
-  SELECT series_id, k, CASE WHEN k < 200 THEN -(1 - k / 200.0e0) / top * 0.999e0 ELSE pow(10e0, -6 + 15 * (k - 200) / 1500.0e0) / mean END AS t
-  FROM st, (SELECT unnest(generate_series(0, 1700)) AS k) WHERE m >= 10),
+  SELECT series_id, k, CASE WHEN k < 400 THEN (pow(10e0, -3 * (400 - k) / 400.0e0) - 1) / top
+    WHEN k < 600 THEN -pow(10e0, -1.8e0 - 4.2e0 * (k - 400) / 200.0e0) / top ELSE pow(10e0, -6 + 15 * (k - 600) / 1500.0e0) / mean END AS t
+  FROM st, (SELECT unnest(generate_series(0, 2100)) AS k) WHERE m >= 10),
 ll AS (SELECT series_id, k, t, avg(ln(1 + t * x)) AS xi FROM gr JOIN tl USING (series_id) GROUP BY ALL),
 top AS (SELECT series_id, arg_max(k, -ln(xi / t) - xi) FILTER (xi > -1) AS k FROM ll GROUP BY 1),
 bk AS (SELECT top.series_id, min(t) AS lo, max(t) AS hi FROM top JOIN gr ON gr.series_id = top.series_id AND abs(gr.k - top.k) <= 1 GROUP BY 1),
@@ -163,7 +164,7 @@ hv AS (
   UNION ALL
   SELECT series_id, i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
     SELECT series_id, i, lo, hi, (lo + hi) / 2 AS mid,
-      (SELECT 1 / ((lo + hi) / 2) - avg(x / (1 + (lo + hi) / 2 * x)) * (1 + 1 / avg(ln(1 + (lo + hi) / 2 * x))) > 0
+      (SELECT avg(ln(1 + (lo + hi) / 2 * x)) <= -1 OR 1 / ((lo + hi) / 2) - avg(x / (1 + (lo + hi) / 2 * x)) * (1 + 1 / avg(ln(1 + (lo + hi) / 2 * x))) > 0
        FROM tl WHERE tl.series_id = hv.series_id) AS up
     FROM hv WHERE i < 60)),
 ft AS (SELECT series_id, (lo + hi) / 2 AS t, (SELECT avg(ln(1 + (lo + hi) / 2 * x)) FROM tl WHERE tl.series_id = hv.series_id) AS xi FROM hv WHERE i = 60)""",

@@ -284,7 +284,7 @@ def sampling_aggregate(spark, sf):
 
 
 # ---- whole experiments on feature windows ----
-_SCALES = {"30": (30,), "60": (60,), "180": (180,)}
+_WINDOW_SCALES = {"30": (30,), "60": (60,), "180": (180,)}
 _CLOSED = replace(ExperimentConfig(), models=ModelConfig(methods=("three_sigma", "ewma")))
 
 
@@ -323,5 +323,5 @@ def experiment_metrics(spark, sf):
 def scale_comparison(spark, sf):
     df, lay = v.machine_log(spark, sf)
     runs = df.groupBy("series_id").agg(F.any_value("failure_time").alias("failure_time"))
-    out = pipeline.scale_metrics(df.drop("failure_time"), lay, ["value"], runs, _SCALES, _CLOSED)
+    out = pipeline.scale_metrics(df.drop("failure_time"), lay, ["value"], runs, _WINDOW_SCALES, _CLOSED)
     return out.select("scale", *_summary(out))

@@ -61,8 +61,9 @@ def dynamic_threshold(df: DataFrame, lay: Layout, lam: float = 0.2, k: float = 3
     return both.withColumn("threshold", limit).drop("_mu0", "_sd0")
 
 
-# First look at theta times the mean excess: shares of the support's end (negative shapes), and powers of ten.
-_NEGATIVE, _POSITIVE, _FROM, _TO = 20, 60, -6.0, 9.0
+# First look: below 0, theta close to the support's end (in powers of the distance) and close to 0; above, powers of ten of
+# theta times the mean excess.
+_CLOSE, _SMALL, _POSITIVE, _FROM, _TO = 40, 20, 60, -6.0, 9.0
 
 
 def evt_threshold(train: DataFrame, lay: Layout, tail_quantile: float = 0.95, score: str = "score",
@@ -102,15 +103,17 @@ def evt_threshold(train: DataFrame, lay: Layout, tail_quantile: float = 0.95, sc
             *keys, inside(F.col("_i") - step).alias("_lo"), inside(F.col("_i") + 1).alias("_hi")), "evt-pass")
 
     first = F.expr(f"""concat(
-        transform(sequence(0, {_NEGATIVE - 1}), k -> -0.999D / _max * (1 - k / {float(_NEGATIVE)}D)),
+        transform(sequence(0, {_CLOSE - 1}), k -> (pow(10D, -3D * (1 - k / {float(_CLOSE)}D)) - 1) / _max),
+        transform(sequence(1, {_SMALL}), k -> -pow(10D, -1D - 5D * k / {float(_SMALL)}D) / _max),
         transform(sequence(0, {_POSITIVE}), k -> pow(10D, {_FROM}D + {_TO - _FROM}D * k / {float(_POSITIVE)}D) / _mean))""")
     looked = fitted.withColumn("_g", first)
     likelihood = F.when(F.col("_xi") > -1.0, -F.ln(F.col("_xi") / F.col("_t")) - F.col("_xi"))
     state = around(over_tail(looked), looked, F.max_by("_k", likelihood), 1)
     width = F.max((F.col("_hi") - F.col("_lo")) / F.greatest(F.abs("_lo"), F.abs("_hi")))
     steps = F.expr(f"transform(sequence(0, {points - 1}), k -> _lo + (_hi - _lo) * k / {float(points - 1)}D)")
-    # Theta times the derivative by theta; the last point where the likelihood still rises opens the new bracket.
-    rising = (1.0 - F.col("_t") * F.col("_d") * (1.0 / F.col("_xi") + 1.0)) * F.signum("_t") > 0
+    # Theta times the derivative by theta; the last point where the likelihood still rises opens the new bracket.  Shapes
+    # of -1 and below have no likelihood, so what rises towards them ends at -1.
+    rising = (F.col("_xi") <= -1.0) | ((1.0 - F.col("_t") * F.col("_d") * (1.0 / F.col("_xi") + 1.0)) * F.signum("_t") > 0)
     while (state.agg(width).first()[0] or 0.0) > tolerance:
         grid = state.withColumn("_g", steps)
         state = around(over_tail(grid), grid, F.coalesce(F.max(F.when(rising, F.col("_k"))), F.lit(-1)), 0)
