@@ -440,6 +440,11 @@ def test_page_text():
     assert html_text.main_text(PAGE)[0] == "Title & more\nFirst para goes on.\nSecond one with a link.\nYes.\nItem one of it\nItem two of it"
 
 
+def test_head_need_not_be_closed():
+    page = "<html><head><title>T</title><meta charset=utf-8><article><h1>A</h1><p>b &lt;c&gt; &eacute;<br>d</article><footer>x"
+    assert html_text.main_text(page)[0] == "A\nb <c> \u00e9 d"
+
+
 def test_page_without_marked_part():
     body = "<div>" + "A sentence of some length stands here. " * 4 + "</div>"
     text = html_text.main_text(f"<ul><li><a>a</a><li><a>b</a></ul>{body}<p>short</p>{body}<div><a>c</a></div>")[0]
