@@ -67,7 +67,7 @@ _CLOSE, _SMALL, _POSITIVE, _FROM, _TO = 40, 20, 60, -6.0, 9.0
 
 
 def evt_threshold(train: DataFrame, lay: Layout, tail_quantile: float = 0.95, score: str = "score",
-                  points: int = 33, tolerance: float = 1e-9, min_tail: int = 10) -> DataFrame:
+                  points: int = 257, tolerance: float = 1e-9, min_tail: int = 10) -> DataFrame:
     """Tail threshold: generalised Pareto fit above the ``tail_quantile``, its 99 % point; below ten tail scores the
     99th percentile of all scores.
 
