@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmspan.llm import (ann, exact_topk, html_text, line_dedup, mixing, packing, secret_scan, simhash, token_counts,
-                           toxicity)
+from alarmspan.llm import (ann, exact_topk, html_text, hyperminhash, line_dedup, mixing, packing, periodic_runs, secret_scan,
+                           signatures, simhash, token_counts, toxicity)
 from alarmspan.llm.common import in_fold, table
 
 # The mix of the registered query and the pipeline.
@@ -74,6 +74,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return signatures.ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), 10)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs, least_words=24, least_powers=3)
+    # Exact order of length / period without dividing.
+    ahead = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]
+    best = F.get(F.array_sort("runs", lambda a, b: F.when(ahead(a, b) != 0, -F.sign(ahead(a, b)).cast("int"))
+                              .when(a["start"] != b["start"], F.sign(a["start"] - b["start"]).cast("int"))
+                              .otherwise(F.sign(a["period"] - b["period"]).cast("int"))), 0)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+                        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+                        digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2, least=0.8)
+
+
 # Bisection written as recursion over brackets of the exponent; 48 halvings, as twelve passes of sixteen parts are.
 _SQL_MIX = f"""
 WITH RECURSIVE d AS (
@@ -158,7 +182,30 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+# Every term of every text counted, every document scored.
+_SQL_RANKED = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS terms FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS places FROM d),
+t AS (
+  SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  GROUP BY doc_id, term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, s
+  WHERE term IN (SELECT term FROM q) GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // places))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN t USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_html_text, op3_exact_topk, op4_line_dedup, op5_packing, op6_simhash, op7_toxicity, op8_secret_scan,
-    op9_near_neighbours, op10_token_counts)}
-ORACLES = {"op1_source_mix": _SQL_MIX, "op3_exact_topk": _SQL_PRODUCTS, "op4_line_dedup": _SQL_LINES}
+    op9_near_neighbours, op10_token_counts, op11_ranked_search, op12_periodic_runs, op13_hyperminhash)}
+ORACLES = {"op1_source_mix": _SQL_MIX, "op3_exact_topk": _SQL_PRODUCTS, "op4_line_dedup": _SQL_LINES,
+           "op11_ranked_search": _SQL_RANKED}

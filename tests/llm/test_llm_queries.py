@@ -28,7 +28,7 @@ def test_matches_sql(spark, con, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -36,7 +36,10 @@ def test_all_are_registered():
     ("op2_html_text", "pages", {"page_id", "url", "text", "n_chars"}),
     ("op7_toxicity", "documents", {"doc_id", "held_out", "score", "predicted"}),
     ("op8_secret_scan", "documents", {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}),
-    ("op10_token_counts", "documents", {"doc_id", "n_bytes", "n_tokens", "over_limit"})])
+    ("op10_token_counts", "documents", {"doc_id", "n_bytes", "n_tokens", "over_limit"}),
+    ("op12_periodic_runs", "documents", {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+                                         "collapsed_sha256"}),
+    ("op13_hyperminhash", "documents", {"doc_id", "n_shingles", "component_id", "kept"})])
 def test_a_row_for_every_row(spark, name, table, columns):
     out = catalog.QUERIES[name](spark, SF)
     assert columns <= set(out.columns)
