@@ -103,7 +103,7 @@ def one_class_rff(spark, sf):
 
 @query("sequence_error")
 def sequence_error(spark, sf):
-    return _scored(pca.sequence_ae(seq_len=4, latent_dim=16), spark, sf, one_series=True)
+    return _scored(pca.sequence_ae(), spark, sf, one_series=True)
 
 
 @query("forest_attribution")
