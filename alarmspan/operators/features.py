@@ -1,12 +1,13 @@
-"""Sliding-window features: rows are exploded to the windows they lie in and aggregated per (series, window)."""
+"""Sliding-window features: rows fall into panes once, windows merge the moments of their panes."""
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alarmspan.functions import stats
@@ -34,6 +35,9 @@ BUILDERS: dict[str, FeatureFn] = {
     "variance": F.var_pop, "mean_abs": stats.mean_abs,
 }
 
+# Features that windows merge from the moments of their panes.
+MERGED = frozenset(PREFIX)
+
 # Beyond this many channels one aggregate expression per channel pair would exceed generated-code limits.
 _PAIR_EXPRESSIONS = 12
 
@@ -62,57 +66,169 @@ def to_windows(df: DataFrame, window: Column | int, step: Column | int) -> DataF
     return df.withColumn("w", F.explode(ids))
 
 
+def common_divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two positive integers below 2^31."""
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    turn = lambda s, _: F.when(s["b"] == 0, s).otherwise(
+        F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(46)), start, turn)["a"]
+
+
+class Merged:
+    """Moments of one channel over a window, from those of its panes: columns of an aggregate over the window's panes.
+
+    Within a pane moments are about the pane's mean; here they are moved to the window's mean, so that nothing is ever a
+    difference of large sums.  ``d`` is the distance between the two means, a column of every pane.
+    """
+    def __init__(self, i: int):
+        n, v, d = (F.col(f"_{x}{i}") for x in "nvd")
+        m2, m3, m4 = v * n, F.col(f"_s{i}") * v * F.sqrt(v) * n, (F.col(f"_k{i}") + 3.0) * v * v * n
+        present = lambda c: F.sum(F.when(n > 0, c))
+        self.count = F.sum(n)
+        self.mean = F.max(f"_m{i}")
+        self.variance = present(m2 + n * d * d) / self.count
+        self.third = present(F.coalesce(m3, F.lit(0.0)) + 3 * d * m2 + n * d * d * d) / self.count
+        self.fourth = present(F.coalesce(m4, F.lit(0.0)) + 4 * d * F.coalesce(m3, F.lit(0.0)) + 6 * d * d * m2 + n * d * d * d * d) / self.count
+        self.highest, self.lowest = F.max(f"_h{i}"), F.min(f"_l{i}")
+        self.mean_abs = present(F.col(f"_a{i}") * n) / self.count
+        self.rms = F.sqrt(self.variance + self.mean * self.mean)
+        self.largest = F.max(F.greatest(F.abs(f"_h{i}"), F.abs(f"_l{i}")))
+
+    def _unless_empty(self, value: Column) -> Column:
+        return F.when(self.count > 0, value)
+
+    def feature(self, name: str) -> Column:
+        sd = F.sqrt(self.variance)
+        shrunk = sd / (sd + F.lit(stats.EPS))
+        moment = lambda m, p: F.coalesce(F.try_divide(m, F.pow(sd, F.lit(p))) * F.pow(shrunk, F.lit(p)), F.lit(0.0))
+        return self._unless_empty({
+            "rms": self.rms, "variance": self.variance, "mean_abs": self.mean_abs, "peak_to_peak": self.highest - self.lowest,
+            "kurtosis": moment(self.fourth, 4.0) - 3.0, "skewness": moment(self.third, 3.0),
+            "crest_factor": self.largest / (self.rms + F.lit(stats.EPS)),
+            "shape_factor": (self.rms + F.lit(stats.EPS)) / (self.mean_abs + F.lit(stats.EPS))}[name])
+
+
+def _pane_moments(i: int, channel: str) -> dict[str, Column]:
+    x = F.col(channel)
+    return {f"_n{i}": F.count(x), f"_x{i}": F.avg(x), f"_v{i}": F.var_pop(x), f"_s{i}": F.skewness(x), f"_k{i}": F.kurtosis(x),
+            f"_h{i}": F.max(x), f"_l{i}": F.min(x), f"_a{i}": F.avg(F.abs(x))}
+
+
 def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window: Column | int = 30,
                      overlap: float = 0.5, features: Sequence[str] = ALL_FEATURES, cross_channel: bool = True,
-                     step: Column | int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+                     step: Column | int | None = None, keep: Sequence[str] = (), pane: Column | int | None = None) -> DataFrame:
     """One row per window, stamped with its centre row's timestamp (and ``hours_to_failure`` when present).
 
+    A row is aggregated once, into its pane of gcd(window, step) rows; a window is the merge of its panes' moments, so
+    only panes (rows / gcd of them) are handed to every window they lie in.  Needs ``pos`` and ``n``.  ``window``, ``step``
+    and ``pane`` may be columns that are constant per series, so that several sampling rates share one job.  A registered
+    feature of one's own has no moments to merge and is aggregated over the rows of each window.
+
+    Pair correlations are over finite values: a null, NaN or infinity in either channel makes the window's correlation 0.
     Series shorter than one window give no rows; see :func:`short_series`.  ``keep`` lists columns constant per series.
     """
     keys = list(lay.keys)
+    as_col = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("long")
     step = window_step(window, overlap) if step is None else step
-    as_col = lambda x: F.lit(x) if isinstance(x, int) else x
-    centre = F.col("pos") == F.col("w") * as_col(step) + F.floor(as_col(window) / F.lit(2))
-    spread = to_windows(df, window, step).withColumn("_centre", centre)
-    aggs = [F.max(F.when(F.col("_centre"), F.col(lay.order))).alias(lay.order)]
-    if "hours_to_failure" in df.columns:
-        aggs.append(F.max(F.when(F.col("_centre"), F.col("hours_to_failure"))).alias("hours_to_failure"))
-    aggs += [F.any_value(k).alias(k) for k in keep]
-    aggs += [BUILDERS[f](F.col(c)).alias(feature_name(PREFIX[f], c)) for c in channels for f in features]
+    if pane is None:
+        pane = math.gcd(window, step) if isinstance(window, int) and isinstance(step, int) else common_divisor(as_col(window), as_col(step))
+    sizes = {"_win": as_col(window), "_stp": as_col(step), "_pane": as_col(pane)}
+    own = [f for f in features if f not in MERGED]
+    channels = list(channels)
     crossing = cross_channel and len(channels) > 1
+    few = crossing and len(channels) <= _PAIR_EXPRESSIONS
+    pairs = list(combinations(range(len(channels)), 2)) if few else []
+
+    rows = df.withColumns(sizes).where(F.col("n") >= F.col("_win"))
+    centre = F.col("pos") % F.col("_pane") == F.floor(F.col("_win") / 2) % F.col("_pane")
+    stamps = [lay.order, *(["hours_to_failure"] if "hours_to_failure" in df.columns else [])]
+    aggs = {f"_at_{c}": F.max(F.when(centre, F.col(c))) for c in stamps}
+    aggs |= {c: F.any_value(c) for c in dict.fromkeys([*keep, "n", *sizes])}
+    for i, c in enumerate(channels):
+        aggs |= _pane_moments(i, c)
+        if few:
+            aggs[f"_f{i}"] = F.count(stats.finite(F.col(c))) == F.count(F.lit(1))
+    aggs |= {f"_c{i}_{j}": F.covar_pop(stats.finite(F.col(channels[i])), stats.finite(F.col(channels[j]))) for i, j in pairs}
+    panes = rows.groupBy(*keys, F.floor(F.col("pos") / F.col("_pane")).alias("_p")).agg(*[c.alias(k) for k, c in aggs.items()])
+
+    first = F.greatest(F.lit(0).cast("long"), F.ceil(((F.col("_p") + 1) * F.col("_pane") - F.col("_win")) / F.col("_stp")))
+    last = F.least(F.floor(F.col("_p") * F.col("_pane") / F.col("_stp")), F.floor((F.col("n") - F.col("_win")) / F.col("_stp")))
+    handed = panes.withColumn("w", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))))
+    whole = Window.partitionBy(*keys, "w")
+    handed = handed.withColumns({f"_m{i}": F.sum(F.when(F.col(f"_n{i}") > 0, F.col(f"_x{i}") * F.col(f"_n{i}"))).over(whole)
+                                 / F.nullif(F.sum(f"_n{i}").over(whole), F.lit(0)) for i in range(len(channels))})
+    handed = handed.withColumns({f"_d{i}": F.col(f"_x{i}") - F.col(f"_m{i}") for i in range(len(channels))})
+    merged = [Merged(i) for i in range(len(channels))]
+    middle = F.col("_p") == F.floor((F.col("w") * F.col("_stp") + F.floor(F.col("_win") / 2)) / F.col("_pane"))
+    out = [F.max(F.when(middle, F.col(f"_at_{c}"))).alias(c) for c in stamps]
+    out += [F.any_value(k).alias(k) for k in keep]
+    out += [m.feature(f).alias(feature_name(PREFIX[f], c)) for m, c in zip(merged, channels) for f in features if f not in own]
     if crossing:
-        aggs.append(sum((F.var_samp(c) for c in channels[1:]), F.var_samp(channels[0])).alias("cov_trace"))
-        if len(channels) <= _PAIR_EXPRESSIONS:
-            # A gap in either channel makes the window's correlation 0, here as in the product of many channels.
-            full = lambda c: F.count_if(F.col(c).isNotNull() & ~F.isnan(c)) == F.count(F.lit(1))
-            aggs += [F.when(full(a) & full(b), stats.pearson_or_zero(F.col(a), F.col(b))).otherwise(F.lit(0.0)).alias(pair_name(a, b))
-                     for a, b in combinations(channels, 2)]
-    out = spread.groupBy(*keys, "w").agg(*aggs)
-    if crossing and len(channels) > _PAIR_EXPRESSIONS:
-        out = out.join(window_correlations(spread, lay, channels), [*keys, "w"])
-    return out
-
-
-def window_correlations(spread: DataFrame, lay: Layout, channels: Sequence[str]) -> DataFrame:
-    """All channel-pair correlations of a window from one matrix product; a group is one window of rows."""
+        out.append(sum((m.count * m.variance / F.nullif(m.count - 1, F.lit(0)) for m in merged[1:]),
+                       merged[0].count * merged[0].variance / F.nullif(merged[0].count - 1, F.lit(0))).alias("cov_trace"))
+    for i, j in pairs:
+        n = F.col(f"_n{i}")
+        shared = F.sum(n * (F.col(f"_c{i}_{j}") + F.col(f"_d{i}") * F.col(f"_d{j}"))) / merged[i].count
+        r = F.try_divide(shared, F.sqrt(merged[i].variance) * F.sqrt(merged[j].variance))
+        out.append(F.when(F.every(F.col(f"_f{i}") & F.col(f"_f{j}")), F.coalesce(r, F.lit(0.0))).otherwise(F.lit(0.0))
+                   .alias(pair_name(channels[i], channels[j])))
+    table = handed.groupBy(*keys, "w").agg(*out)
+    if crossing and not few:
+        table = table.join(window_correlations(rows, lay, channels), [*keys, "w"])
+    if own:
+        spread = to_windows(rows, F.col("_win"), F.col("_stp"))
+        mine = spread.groupBy(*keys, "w").agg(*[BUILDERS[f](F.col(c)).alias(feature_name(PREFIX[f], c)) for c in channels for f in own])
+        names = [c for c in table.columns if c not in (*keys, "w")]
+        lead = [c for c in names if c in (*stamps, *keep)]
+        ordered = [feature_name(PREFIX[f], c) for c in channels for f in features]
+        table = table.join(mine, [*keys, "w"]).select(*keys, "w", *lead, *ordered, *[c for c in names if c not in lead and c not in ordered])
+    return table
+
+
+def window_correlations(rows: DataFrame, lay: Layout, channels: Sequence[str], windows: int = 64) -> DataFrame:
+    """All channel-pair correlations of every window: (keys, w, one column a pair).
+
+    Needs ``pos``, ``n`` and the sizes _win, _stp and _pane.  A task takes ``windows`` windows with the rows they span; only
+    rows where two such stretches meet are copied.  Products are formed once a pane and moved to each window's mean.
+    """
     pairs = list(combinations(range(len(channels)), 2))
     names = [pair_name(channels[i], channels[j]) for i, j in pairs]
-    keys = [*lay.keys, "w"]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema.fields if f.name in keys]
-    schema = ", ".join(fields + [f"`{n}` double" for n in names])
-    order = [f.name for f in spread.schema.fields if f.name in keys]
+    keys = list(lay.keys)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys]
+    schema = ", ".join(fields + ["w bigint"] + [f"`{n}` double" for n in names])
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("pos") - F.col("_win") + 1) / F.col("_stp")))
+    last = F.least(F.floor(F.col("pos") / F.col("_stp")), F.floor((F.col("n") - F.col("_win")) / F.col("_stp")))
+    stretch = F.sequence(F.floor(first / windows), F.floor(last / windows))
+    spread = rows.withColumn("_s", F.explode(F.when(first <= last, stretch)))
 
     def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        win, step, pane, n = (int(pdf[c].iloc[0]) for c in ("_win", "_stp", "_pane", "n"))
+        w = np.arange(int(pdf["_s"].iloc[0]) * windows, min((int(pdf["_s"].iloc[0]) + 1) * windows, (n - win) // step + 1))
         x = pdf[list(channels)].to_numpy(dtype=float)
-        x = x - x.mean(axis=0)
-        scale = np.sqrt((x * x).sum(axis=0))
+        base = int(pdf["pos"].iloc[0])
+        x = x[:(int(w[-1]) * step + win - base) // pane * pane].reshape(-1, pane, x.shape[1])
+        whole = np.isfinite(x).all(axis=1)
+        x = np.where(whole[:, None, :], x, 0.0)
+        means = x.mean(axis=1)
+        off = x - means[:, None, :]
+        products = np.matmul(off.transpose(0, 2, 1), off)
+        at = ((w * step - base) // pane)[:, None] + np.arange(win // pane)
+        mean = means[at].mean(axis=1)
+        total = np.zeros((len(w), x.shape[2], x.shape[2]))
+        for j in range(at.shape[1]):
+            d = means[at[:, j]] - mean
+            total += products[at[:, j]] + pane * d[:, :, None] * d[:, None, :]
+        scale = np.sqrt(np.einsum("wii->wi", total))
         with np.errstate(divide="ignore", invalid="ignore"):
-            r = (x.T @ x) / np.outer(scale, scale)
-        r = np.nan_to_num(r, nan=0.0, posinf=0.0, neginf=0.0)
-        row = {k: pdf[k].iloc[0] for k in order} | {n: r[i, j] for n, (i, j) in zip(names, pairs)}
-        return pd.DataFrame([row])
+            r = total / (scale[:, :, None] * scale[:, None, :])
+        full = whole[at].all(axis=1)
+        r = np.where(np.isfinite(r) & full[:, :, None] & full[:, None, :], r, 0.0)
+        a, b = np.array(pairs).T
+        return pd.concat([pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "w": w}), pd.DataFrame(r[:, a, b], columns=names)], axis=1)
 
-    return spread.select(*order, *channels).groupBy(*order).applyInPandas(correlate, schema)
+    columns = [*keys, "_s", "pos", "n", "_win", "_stp", "_pane", *channels]
+    return spread.select(*columns).groupBy(*keys, "_s").applyInPandas(correlate, schema)
 
 
 def short_series(df: DataFrame, lay: Layout, window: int) -> DataFrame:
@@ -127,12 +243,6 @@ def feature_columns(channels: Sequence[str], features: Sequence[str] = ALL_FEATU
     return names
 
 
-def feature_group(df: DataFrame, channels: Sequence[str], group: str, lead: Sequence[str]) -> DataFrame:
-    """Columns of one ablation group, projected from the full feature table."""
-    wanted = feature_columns(channels, GROUPS[group], cross_channel=(group == "all"))
-    return df.select(*lead, *wanted)
-
-
 def ablation_long(df: DataFrame, lay: Layout, channels: Sequence[str]) -> DataFrame:
     """Every group's features as an array, tagged ``group``: windows are computed once and fanned out by projection."""
     lead = [*lay.keys, "w", lay.order]

@@ -11,7 +11,7 @@ from alarmspan.detectors.base import build_detectors
 from alarmspan.config import FeatureConfig, SamplingConfig, SplitConfig, ThresholdConfig
 from alarmspan.functions.timeparse import hours_between
 from alarmspan.layout import Layout
-from alarmspan.operators.features import design_matrix, feature_columns, rolling_features
+from alarmspan.operators.features import common_divisor, design_matrix, feature_columns, rolling_features
 from alarmspan.operators.metrics import normalised_lead
 from alarmspan.operators.ordered import settle, with_position, with_totals
 from alarmspan.operators.quantile import quantile_table
@@ -77,11 +77,11 @@ def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: Sa
     rows = cut_lineage(with_position(at_every_rate(placed, lay, rates, channels), rated), "sweep-rates")
     spacing = median_spacing(rows, rated).withColumnRenamed("spacing_min", "effective_interval_min")
     counts = rates.select(*keys, *RATE_KEYS, "window_rows", "persistence_windows", "window_floored")
-    rows = rows.join(counts, [*keys, *RATE_KEYS])
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("window_rows") * F.lit(1.0 - features.overlap)).cast("long"))
-    windows = rolling_features(rows.withColumn("_step", step), rated, channels, F.col("window_rows"), features.overlap,
+    sized = counts.withColumn("_step", step).withColumn("_gcd", common_divisor(F.col("window_rows"), F.col("_step")))
+    windows = rolling_features(rows.join(sized, [*keys, *RATE_KEYS]), rated, channels, F.col("window_rows"), features.overlap,
                                features.feature_list, features.include_cross_channel, F.col("_step"),
-                               keep=("failure_time", "window_rows", "persistence_windows", "window_floored"))
+                               keep=("failure_time", "window_rows", "persistence_windows", "window_floored"), pane=F.col("_gcd"))
     cols = feature_columns(channels, features.feature_list, features.include_cross_channel)
     tagged = cut_lineage(split_rows(with_position(windows, rated), split), "sweep-windows")
     if scale:
