@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from alarmspan.functions.stats import finite
 from alarmspan.layout import Layout
-from alarmspan.operators.ordered import carry, rolling, with_totals
+from alarmspan.operators.ordered import carry, rolling, trailing_moments, with_totals
 
 # Severity limits in mm/s and hours before failure that open a degradation phase.
 SEVERITY_LIMITS = {"alert": 7.1, "alarm": 11.2, "danger": 18.0}
@@ -68,11 +68,12 @@ def fill_unlimited(df: DataFrame, lay: Layout, cols: list[str]) -> DataFrame:
 
 def stuck_mask(df: DataFrame, lay: Layout, cols: list[str], window: int = 20, tol: float = 1e-9) -> DataFrame:
     """``stuck_<c>``: the trailing sample deviation over a full window is below ``tol``."""
-    def stuck(c: str):
-        return lambda w: F.coalesce(
-            (F.count(c).over(w.rowsBetween(-(window - 1), 0)) == window)
-            & (F.stddev_samp(c).over(w.rowsBetween(-(window - 1), 0)) < tol), F.lit(False))
-    return rolling(df, lay, window - 1, 0, [{f"stuck_{c}": stuck(c) for c in cols}])
+    rows = trailing_moments(df, lay, window, {str(i): F.col(c) for i, c in enumerate(cols)})
+    for i, c in enumerate(cols):
+        n = F.col(f"_count_{i}")
+        deviation = F.sqrt(F.try_divide(F.col(f"_var_{i}") * n, n - 1))
+        rows = rows.withColumn(f"stuck_{c}", F.coalesce((n == window) & (deviation < tol), F.lit(False)))
+    return rows.drop(*[f"_{k}_{i}" for k in ("count", "var") for i in range(len(cols))])
 
 
 def clip_spikes(df: DataFrame, lay: Layout, cols: list[str], z: float = 10.0) -> DataFrame:

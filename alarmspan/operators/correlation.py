@@ -4,13 +4,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alarmspan.functions.stats import EPS, pearson, pearson_or_zero
+from alarmspan.functions.stats import EPS, pearson
 from alarmspan.functions.tails import pearson_p
 from alarmspan.layout import Layout
-from alarmspan.operators.ordered import rolling, settle, with_position, with_totals
+from alarmspan.operators.ordered import settle, trailing_moments, with_position, with_totals
 
 
 def channel_pairs(df: DataFrame, lay: Layout, channels: Sequence[str]) -> DataFrame:
@@ -50,22 +52,69 @@ def with_p_value(table: DataFrame) -> DataFrame:
     return table.withColumn("p_value", pearson_p(F.col("r"), F.col("n")))
 
 
-def lagged_correlation(pairs: DataFrame, lay: Layout, max_lag: int = 20) -> DataFrame:
+def lagged_correlation(pairs: DataFrame, lay: Layout, max_lag: int = 20, chunk_rows: int = 8_192) -> DataFrame:
     """r between a[t + lag] and b[t] for lags -L..L over the pair's common rows.
 
-    Lagged values come from one window pass; the 2L + 1 candidates per row are aggregated before any exchange, so
-    nothing is joined.
+    Overlap-save: a chunk of b meets the same chunk of a with L more rows at either end, and one transform gives its
+    products at all lags.  What leaves a chunk are the counts, means and centred moments of its 2L + 1 lags, merged about
+    each lag's own mean; rows are copied at chunk edges only.
     """
+    keys = list(lay.keys)
     rows = settle(with_position(pairs, lay), lay, "pairs")
-    lags = list(range(-max_lag, max_lag + 1))
-    gather = {"_lagged": lambda w: F.array(*[
-        F.struct(F.lit(k).alias("lag"), (F.lead("a", k) if k >= 0 else F.lag("a", -k)).over(w).alias("x")) for k in lags])}
-    spread = rolling(rows, lay, max_lag, max_lag, [gather]).select(*lay.keys, "b", "n", F.explode("_lagged").alias("_s"))
-    table = spread.groupBy(*lay.keys, F.col("_s.lag").alias("lag")).agg(
-        pearson_or_zero(F.col("_s.x"), F.col("b")).alias("r"), F.any_value("n").alias("n"))
+    size = max(chunk_rows, max_lag)
+    chunks = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - max_lag) / size)), F.floor((F.col("pos") + max_lag) / size))
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = ", ".join([f"`{k}` {fields[k].dataType.simpleString()}" for k in keys]
+                       + ["lag int, rows bigint, total bigint, ma double, mb double, va double, vb double, c double"])
+    lags = np.arange(-max_lag, max_lag + 1)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        chunk, at = int(pdf["_chunk"].iloc[0]), pdf["pos"].to_numpy()
+        own = np.flatnonzero(at // size == chunk)
+        if not len(own):
+            return pd.DataFrame(columns=[*keys, "lag", "rows", "total", "ma", "mb", "va", "vb", "c"])
+        moments = lag_moments(pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), int(own[0]), int(own[-1]) + 1, lags)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "lag": lags, "rows": moments[0].astype(int), "total": int(pdf["n"].iloc[0]),
+                             **dict(zip(("ma", "mb", "va", "vb", "c"), moments[1:]))})
+
+    spread = rows.select(*keys, "pos", "n", "a", "b", F.explode(chunks).alias("_chunk"))
+    parts = spread.groupBy(*keys, "_chunk").applyInPandas(products, schema)
+    same = Window.partitionBy(*keys, "lag")
+    mean = lambda m: F.try_divide(F.sum(F.col(m) * F.col("rows")).over(same), F.sum("rows").over(same))
+    parts = parts.withColumns({"_da": F.col("ma") - mean("ma"), "_db": F.col("mb") - mean("mb")})
+    merged = lambda own, x, y: F.sum(F.col(own) + F.col("rows") * F.col(x) * F.col(y))
+    r = F.try_divide(merged("c", "_da", "_db"), F.sqrt(merged("va", "_da", "_da")) * F.sqrt(merged("vb", "_db", "_db")))
+    table = parts.groupBy(*keys, "lag").agg(F.coalesce(r, F.lit(0.0)).alias("r"), F.max("total").alias("n"))
     return table.withColumn("bound", F.lit(1.96) / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double")))
 
 
+def lag_moments(a: np.ndarray, b: np.ndarray, start: int, end: int, lags: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per lag: pairs (a[t + lag], b[t]) with t in [start, end), means of both, centred sums of squares and of products.
+
+    Values are taken off their first, so that constant stretches have no spread at all, and sums of any stretch are
+    differences of two running sums.
+    """
+    first_a, first_b = a[0], b[start]
+    x, y = a - first_a, b[start:end] - first_b
+    low = np.clip(start + lags, 0, len(x))
+    high = np.clip(end + lags, 0, len(x))
+    high = np.maximum(low, high)
+    n = (high - low).astype(float)
+    size = 1 << int(np.ceil(np.log2(len(x) + len(y))))
+    crossed = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)[(start + lags) % size]
+    running = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+    sum_x, sum_xx = ((r := running(v))[high] - r[low] for v in (x, x * x))
+    first_y = np.where(n > 0, low - lags - start, 0)
+    sum_y, sum_yy = ((r := running(v))[first_y + n.astype(int)] - r[first_y] for v in (y, y * y))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean_x, mean_y = np.where(n > 0, sum_x / n, 0.0), np.where(n > 0, sum_y / n, 0.0)
+    # A transform leaves rounding where the exact product is zero.
+    crossed = np.where((sum_xx == 0) | (sum_yy == 0), 0.0, crossed)
+    return (n, first_a + mean_x, first_b + mean_y, np.maximum(sum_xx - n * mean_x ** 2, 0.0), np.maximum(sum_yy - n * mean_y ** 2, 0.0),
+            crossed - n * mean_x * mean_y)
+
+
 def lead_lag(table: DataFrame, lay: Layout) -> DataFrame:
     """Best lag (first maximum of |r|) and who leads: at a positive lag b moves first."""
     best = table.groupBy(*lay.keys).agg(F.min_by(F.struct("lag", "r"), F.struct(-F.round(F.abs("r"), 12), F.col("lag"))).alias("_b"))
@@ -77,8 +126,9 @@ def lead_lag(table: DataFrame, lay: Layout) -> DataFrame:
 def rolling_correlation(pairs: DataFrame, lay: Layout, window: int = 360) -> DataFrame:
     """Trailing correlation over ``window`` common rows; null while undefined."""
     rows = settle(with_position(pairs, lay), lay, "pairs")
-    frame = lambda w: w.rowsBetween(-(window - 1), 0)
-    return rolling(rows, lay, window - 1, 0, [{"rolling_r": lambda w: pearson(F.col("a"), F.col("b"), over=frame(w))}])
+    moments = trailing_moments(rows, lay, window, {"a": F.col("a"), "b": F.col("b")}, [("a", "b")])
+    r = F.try_divide(F.col("_cov_a_b"), F.sqrt("_var_a") * F.sqrt("_var_b"))
+    return moments.withColumn("rolling_r", r).drop("_count_a", "_count_b", "_var_a", "_var_b", "_cov_a_b")
 
 
 def overlay(pairs: DataFrame, lay: Layout) -> DataFrame:

@@ -68,6 +68,62 @@ def rolling(df: DataFrame, lay: Layout, before: int, after: int,
     return done.where(F.col("_block") == block_of(lay, pos)).drop("_block")
 
 
+def trailing(df: DataFrame, lay: Layout, window: int, parts: dict[str, Column], pos: str = "pos") -> DataFrame:
+    """Aggregates over the last ``window`` rows in two pieces that never overlap, in a time that does not depend on it.
+
+    The series is cut every ``window`` rows.  A trailing window is the rows of its own piece up to the row, and the end of
+    the piece before from ``window`` - 1 rows back.  Both are running aggregates, one in each direction, which Spark
+    updates by a row at a time; nothing is ever taken out again, so no digits are lost.  Adds ``_new_<name>`` and
+    ``_old_<name>`` (null where the window does not reach back) for the caller to merge.
+    """
+    cut = [*lay.keys, "_cut"]
+    ahead = Window.partitionBy(*cut).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*cut).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    pieces = df.withColumn("_cut", F.floor(F.col(pos) / F.lit(window)))
+    pieces = pieces.withColumns({f"_new_{k}": c.over(ahead) for k, c in parts.items()}
+                                | {f"_end_{k}": c.over(back) for k, c in parts.items()})
+    reaches = (F.col(pos) + 1) % F.lit(window) != 0
+    met = {f"_old_{k}": lambda w, k=k: F.when(reaches, F.lag(f"_end_{k}", window - 1).over(w)) for k in parts}
+    return rolling(pieces, lay, window - 1, 0, [met], pos).drop("_cut", *[f"_end_{k}" for k in parts])
+
+
+def drop_pieces(df: DataFrame, parts) -> DataFrame:
+    return df.drop(*[f"_{side}_{k}" for side in ("new", "old") for k in parts])
+
+
+def trailing_mean(df: DataFrame, lay: Layout, value: Column, window: int, out: str, pos: str = "pos", full_only: bool = False) -> DataFrame:
+    """Mean of the values present among the last ``window`` rows; only where all are present when ``full_only``."""
+    parts = {"sum": F.sum(value.cast("double")), "count": F.count(value)}
+    rows = trailing(df, lay, window, parts, pos)
+    both = lambda k, kind: F.coalesce(f"_new_{k}", F.lit(0).cast(kind)) + F.coalesce(f"_old_{k}", F.lit(0).cast(kind))
+    mean = F.try_divide(both("sum", "double"), both("count", "double"))
+    return drop_pieces(rows.withColumn(out, F.when(both("count", "long") == window, mean) if full_only else mean), parts)
+
+
+def trailing_moments(df: DataFrame, lay: Layout, window: int, values: dict[str, Column], pairs: Sequence[tuple[str, str]] = (),
+                     pos: str = "pos") -> DataFrame:
+    """Counts, population variances and covariances of values over the last ``window`` rows: ``_count_<name>``,
+    ``_var_<name>``, ``_cov_<a>_<b>``.  A covariance is over rows where both are present, as they must be throughout."""
+    parts = {}
+    for name, value in values.items():
+        x = value.cast("double")
+        parts |= {f"n_{name}": F.count(x), f"m_{name}": F.avg(x), f"v_{name}": F.var_pop(x)}
+    parts |= {f"c_{a}_{b}": F.covar_pop(values[a].cast("double"), values[b].cast("double")) for a, b in pairs}
+    rows = trailing(df, lay, window, parts, pos)
+    n = lambda side, name: F.coalesce(f"_{side}_n_{name}", F.lit(0)).cast("double")
+    piece = lambda side, kind, name: F.coalesce(f"_{side}_{kind}_{name}", F.lit(0.0))
+    total = lambda name: n("new", name) + n("old", name)
+    apart = lambda name: F.when((n("new", name) > 0) & (n("old", name) > 0), piece("new", "m", name) - piece("old", "m", name)).otherwise(F.lit(0.0))
+
+    def merged(kind: str, name: str, of: str, product: Column) -> Column:
+        own = n("new", of) * piece("new", kind, name) + n("old", of) * piece("old", kind, name)
+        return F.try_divide(own + F.coalesce(F.try_divide(product * n("new", of) * n("old", of), total(of)), F.lit(0.0)), total(of))
+    out = {f"_count_{name}": total(name).cast("long") for name in values}
+    out |= {f"_var_{name}": merged("v", name, name, apart(name) * apart(name)) for name in values}
+    out |= {f"_cov_{a}_{b}": merged("c", f"{a}_{b}", a, apart(a) * apart(b)) for a, b in pairs}
+    return drop_pieces(rows.withColumns(out), parts)
+
+
 def carry(df: DataFrame, lay: Layout, previous: dict[str, Column] | None = None,
           following: dict[str, Column] | None = None, pos: str = "pos") -> DataFrame:
     """Latest non-null value at or before each row (``previous``) / earliest at or after it (``following``)."""
