@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ BANDS, ROWS, EMPTY, CAP = 64, 7, 255, 14
 REGISTERS = BANDS * ROWS
 # A register of sketch class c is a minimum over 1 / (ROWS << c) of the set; small sets are hashed BANDS >> c times over.
 CLASSES = 7
+# A block of a group: its rows and the members of their sets, about; and the columns multiplied at one time.
+BLOCK_ROWS, BLOCK_MEMBERS, PRODUCT_COLUMNS = 256, 131_072, 8_192
 # Texts looked up by a shipped list of places up to this many, by a join of both tables beyond.
 SHIPPED_PLACES = 500_000
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("class", pa.int32()),
@@ -68,22 +71,23 @@ def _cells() -> tuple[np.ndarray, np.ndarray]:
     return low, low + size
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of pairs of sketches (rows of registers), and the registers they rest on.
+_LOW, _HIGH = _cells()
+
+
+def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of every sketch of ``a`` with every sketch of ``b`` (rows of registers), and the registers behind each.
 
     The share of equal registers is too high by those that are equal by chance.  The chance is the sum over registers'
     values of the probabilities that the minimum of either set, at so many members a bucket, falls there.
     """
-    low, high = _cells()
-    there = (a != EMPTY) | (b != EMPTY)
-    used = np.maximum(there.sum(1), 1)
-    equal = ((a == b) & there).sum(1) / used
-
     def falls(n: np.ndarray) -> np.ndarray:
         load = (n / (ROWS << c))[:, None]
-        return np.exp(-load * low) - np.exp(-load * high)
-    chance = (falls(n_a) * falls(n_b)).sum(1)
-    return (equal - chance) / (1 - chance), used
+        return np.exp(-load * _LOW) - np.exp(-load * _HIGH)
+    chance = falls(n_a) @ falls(n_b).T
+    equal = np.stack([((row == b) & (row != EMPTY)).sum(1) for row in a])
+    empty_a, empty_b = (a == EMPTY).astype(np.float32), (b == EMPTY).astype(np.float32)
+    used = np.maximum(REGISTERS - empty_a @ empty_b.T, 1)
+    return (equal / used - chance) / (1 - chance), used
 
 
 def shingles(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -136,80 +140,124 @@ def sketches(docs: DataFrame, width: int, least: float, doc_id: str, text: str)
     return named.mapInArrow(sketch, _SKETCHES_DDL)
 
 
-def shared_bands(nodes: DataFrame) -> DataFrame:
-    """key, class, node, first (the smallest node of the key) of every band that several nodes (node, class, registers) share."""
+def led_groups(nodes: DataFrame) -> DataFrame:
+    """leader, class, node: groups in which every two nodes (node, class, registers) that share a band meet.
+
+    Of a band's nodes the one whose bands hold most nodes in all leads it, and bands with one leader are one group: copies
+    with small changes share many bands with what they were made from, so their bands make about one group, not one each.
+    """
     part = F.substring("registers", F.col("band") * ROWS + 1, F.lit(ROWS))
     bands = nodes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).where(part != F.lit(bytes([EMPTY]) * ROWS))
     bands = bands.select(F.xxhash64("class", "band", part).alias("key"), "class", "node")
-    several = bands.groupBy("key", "class").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    return bands.join(several.drop("last"), ["key", "class"])
-
+    several = bands.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = cut_lineage(bands.join(several, ["key", "class"]), "shared-bands")
+    reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
+    ranked = shared.select("key", "class", "node").join(reach, "node")
+    leaders = ranked.groupBy("key", "class").agg(F.max_by("node", F.struct("reach", "node")).alias("leader"))
+    return shared.join(leaders, ["key", "class"]).select("leader", "class", "node").distinct()
 
-def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b, class) whose sketches do not put them far below ``least``: six deviations and more."""
-    @F.arrow_udf("boolean")
-    def near(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array, c: pa.Array) -> pa.Array:
-        sides = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), REGISTERS) for x in (a, b)]
-        j, used = estimate(*sides, n_a.to_numpy(), n_b.to_numpy(), c.to_numpy())
-        return pa.array(j >= least - 6 * np.sqrt(least * (1 - least) / used))
-    side = lambda x: nodes.select(F.col("node").alias(x), "class", F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
-    met = pairs.join(side("a"), ["a", "class"]).join(side("b"), ["b", "class"])
-    # Sets of such sizes cannot be similar enough.
-    met = met.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6)
-    return met.where(near("registers_a", "registers_b", "n_a", "n_b", F.col("class"))).select("a", "b").distinct()
 
-
-def confirmed(pairs: DataFrame, places: DataFrame, docs: DataFrame, width: int, least: float, doc_id: str, text: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets, made from the texts again, are similar.
+def full_sets(members: DataFrame, places: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes) of the nodes in ``members``, from their texts.
 
     ``places``: one (node, doc_id, place) for each node.  A list of places of a checked size is shipped to the table, so
-    that only texts asked for move.
+    that only texts asked for are read by Python.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = places.join(nodes, "node").select("node", F.col("doc_id").alias("_id"), "place")
+    asked = places.join(members.select("node").distinct(), "node").select("node", F.col("doc_id").alias("_id"), "place")
     asked = cut_lineage(asked, "places")
     ask = F.broadcast(asked) if asked.count() <= SHIPPED_PLACES else asked
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
     texts = named.join(ask, (named.place == ask.place) & named.doc_id.eqNullSafe(ask["_id"])).select("node", "text")
-    texts = cut_lineage(texts.dropDuplicates(["node"]), "texts-to-confirm")
-    joined = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-                   .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
 
-    @F.arrow_udf("boolean")
-    def similar(ones: pa.Array, others: pa.Array) -> pa.Array:
-        out, last, held = [], None, set()
-        for one, other in zip(ones, others):
-            one = one.as_py()
-            if one != last:
-                last, held = one, shingle_set(one, width)
-            out.append(sets_similar(held, shingle_set(other.as_py(), width), least))
-        return pa.array(out, pa.bool_())
-    return joined.where(similar("text_a", "text_b")).select("a", "b")
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for received in slices(batches, "text", 8 << 20, 4096):
+            sets = [h.tobytes() for h in shingles(received.column(1).to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([received.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+    # A row that repeats gives its set again.
+    return texts.mapInArrow(hashed, "node long, shingles binary").dropDuplicates(["node"])
+
 
+def pieces(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of several sets by number, the set each belongs to, and the sets' sizes; members of one set only are left out."""
+    sizes = np.array([len(s) // 8 for s in sets])
+    _, number, times = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True, return_counts=True)
+    several = times > 1
+    name = np.cumsum(several) - 1
+    keep = several[number]
+    return name[number[keep]], np.repeat(np.arange(len(sets)), sizes)[keep], sizes
 
-def shingle_set(text: str | None, width: int) -> set:
-    words = (text or "").encode().lower().split()
-    return set(zip(*[words[i:] for i in range(min(width, len(words)))]))
 
+def links_of_cell(nodes: np.ndarray, registers: np.ndarray, sets: list[bytes], c: int, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Links (node, node) that connect whatever pairs of ``left`` and ``right`` rows connect, one a node at most.
 
-def sets_similar(a: set, b: set, least: float) -> bool:
-    shared = len(a & b)
-    union = len(a) + len(b) - shared
-    return union > 0 and 1000 * shared >= round(1000 * least) * union
+    Sketches first: rows whose estimates put them far below ``least`` (six deviations) of all others are left out.  Then all
+    intersections of the others at once, as a product of their membership matrices, and the exact comparison.
+    """
+    sizes = np.array([len(s) // 8 for s in sets])
+    j, used = estimates(registers[left], registers[right], sizes[left], sizes[right], c)
+    likely = (j >= least - 6 * np.sqrt(least * (1 - least) / used)) & (left[:, None] != right[None, :])
+    left, right, likely = left[likely.any(1)], right[likely.any(0)], likely[np.ix_(likely.any(1), likely.any(0))]
+    if not len(left):
+        return np.zeros((0, 2), np.int64)
+    rows = np.union1d(left, right)
+    member, of, size = pieces([sets[i] for i in rows])
+    a, b = np.searchsorted(rows, left), np.searchsorted(rows, right)
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(member.max(initial=-1)) + 1, PRODUCT_COLUMNS):
+        some = (member >= start) & (member < start + PRODUCT_COLUMNS)
+        matrix = np.zeros((len(rows), PRODUCT_COLUMNS), np.float32)
+        matrix[of[some], member[some] - start] = 1
+        shared += matrix[a] @ matrix[b].T
+    shared = shared.astype(np.int64)
+    union = size[a][:, None] + size[b][None, :] - shared
+    linked = likely & (1000 * shared >= round(1000 * least) * union)
+    # Smallest name reachable inside the cell.
+    name = np.arange(len(rows))
+    while True:
+        before = name.copy()
+        np.minimum.at(name, a, np.where(linked, name[b][None, :], len(rows)).min(axis=1, initial=len(rows)))
+        np.minimum.at(name, b, np.where(linked, name[a][:, None], len(rows)).min(axis=0, initial=len(rows)))
+        if (name == before).all():
+            break
+    moved = np.flatnonzero(name != np.arange(len(rows)))
+    return np.stack([nodes[rows[moved]], nodes[rows[name[moved]]]], axis=1)
+
+
+def group_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect what the groups of ``members`` (leader, class, node) hold of similar sets.
+
+    A group is dealt into blocks of bounded rows and set members by a hash, and every two of its blocks meet in a cell of
+    their own, so no group is gathered in one task whatever its size; a cell hands on a link a node at most, not its pairs.
+    """
+    group = ["leader", "class"]
+    full = members.join(nodes, ["node", "class"]).join(sets, "node")
+    size = members.join(nodes.select("node", "class", "n"), ["node", "class"]).groupBy(*group).agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    dealt = full.join(size, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks", "n")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        registers = np.frombuffer(b"".join(pdf["registers"]), np.uint8).reshape(len(pdf), REGISTERS)
+        i, j, block = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["block"].to_numpy()
+        found = links_of_cell(pdf["node"].to_numpy(), registers, list(pdf["shingles"]), int(pdf["class"].iloc[0]),
+                              np.flatnonzero(block == i), np.flatnonzero(block == j), least)
+        return pd.DataFrame(found, columns=["a", "b"])
+    return cells.groupBy(*group, "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: groups of documents whose shingle sets are similar.
 
     Links are pairs with Jaccard similarity of ``least`` (in thousandths) or more, checked on the sets themselves; a pair at
-    0.8 shares no band, and is lost, with a probability of 3 in 10^7, a closer one much less.  Documents with one set (by
-    a 64-bit hash of all its members) are one node, so copies make no pairs.  In each band the first node meets the others;
-    then nodes of one band that are not in one group yet meet each other, so that a large group is confirmed by about one
-    pair a member and no link between groups is missed.
+    0.8 shares no band, and is lost, with a probability of 3 in 10^7, a closer one much less.  Shingles are compared by
+    64-bit hashes, and documents with one set (by a hash of all its members) are one node, so copies make no pairs.  Nodes
+    that share a band meet in their leader's group, block by block, and every such pair is compared.
 
     Null and empty texts, and texts of white space, have no set: n_shingles 0, linked with nothing, component_id their
     doc_id, kept.  A row without doc_id belongs to its group; a group of such rows alone has no component_id and keeps them.
-    Repeated rows are rows, and all of a first document's rows are kept.  An empty table gives no rows.
+    Repeated rows are rows, and all of a first document's rows are kept.  A text is held whole by its task.  An empty table
+    gives no rows.
     """
     printed = cut_lineage(sketches(docs, width, least, doc_id, text), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")).alias("at")
@@ -217,22 +265,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, least: float = 0.8, d
     one = printed.where("node IS NOT NULL").select("node", "n", "class", "registers", "upper").dropDuplicates(["node"])
     both = F.explode(F.array(F.struct("class", "registers"), F.struct((F.col("class") + 1).alias("class"), F.col("upper").alias("registers"))))
     nodes = cut_lineage(one.select("node", "n", both.alias("s")).where("s.registers IS NOT NULL").select("node", "n", "s.*"), "nodes")
-    shared = cut_lineage(shared_bands(nodes), "shared-bands")
-
-    check = lambda pairs, label: cut_lineage(confirmed(cut_lineage(likely(pairs, nodes, least), f"{label}-likely"), places, docs,
-                                                       width, least, doc_id, text), label)
-    stars = shared.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"), "class").distinct()
-    links = check(stars, "first-links")
-    grouped = shared.join(components(links), "node", "left").select(
-        "key", "class", "node", "first", F.coalesce("root", "node").alias("root"))
-    # Bands whose nodes are not one group yet.
-    open_ = grouped.groupBy("key", "class").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("key", "class")
-    left = cut_lineage(grouped.join(open_, ["key", "class"]), "open-bands")
-    side = lambda x: left.select("key", "class", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("first"))
-    met = side("a").join(side("b").drop("first"), ["key", "class"])
-    met = met.where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.col("a") != F.col("first")))
-    more = check(met.select("a", "b", "class").distinct(), "more-links")
-    labels = components(links.unionByName(more))
+    members = cut_lineage(led_groups(nodes), "led-groups")
+    sets = cut_lineage(full_sets(members, places, docs, width, doc_id, text), "full-sets")
+    labels = components(cut_lineage(group_links(members, nodes, sets, least), "links"))
     named = places.join(labels, "node", "left").select("node", F.col("doc_id").alias("least_id"), F.coalesce("root", "node").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
     out = printed.where("node IS NOT NULL").join(named, "node").select("doc_id", "n", "component_id")
