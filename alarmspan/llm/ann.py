@@ -30,7 +30,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10, vec_id: str
     below 0.9 radii, or every vector has been verified, so small blocks are searched in full.  Nothing is capped.
 
     A query meets vectors of its own dimension.  Null ids, and vectors null, empty, zero or with null or non-finite
-    components, take no part; repeated rows count each; fewer vectors give fewer rows; empty tables none.
+    components, take no part; repeated rows count each, as vectors and as queries; fewer vectors give fewer rows; empty tables none.
     """
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
 
@@ -71,6 +71,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10, vec_id: str
                     if best.bound[i] <= CERTAIN * radius or done.all():
                         break
                     radius *= GROWTH
-        return best.frame(query_ids, 1.0)
+        return best.frame(query_ids, 1)
 
     return meet(asked, blocks, best_of, most, False, "ann-names")

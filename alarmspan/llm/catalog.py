@@ -173,13 +173,13 @@ FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
 # Every query against every vector, nothing else.
 _SQL_PRODUCTS = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * x.e[i]))::BIGINT AS score
+  SELECT q.nth, q.vec_id AS query_id, x.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * x.e[i]))::BIGINT AS score
   FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e))
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+  SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
 # Every term of every text counted, every document scored.

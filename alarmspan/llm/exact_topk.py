@@ -44,16 +44,20 @@ def largest_products(vectors: DataFrame, queries: DataFrame, most: int = 20, sca
 
     Blocks hold vectors by descending length.  In a cell, once a query's length times the longest vector left cannot reach
     its ``most``-th score, it is done; else a partial sum over the strongest rotated quarter plus the product of the lengths
-    of the rest bounds every score from above, and only what may still reach it is multiplied out, in whole numbers (exact
-    below 2^53).  A query meets vectors of its own dimension.  Null ids, and vectors null, empty or with null or non-finite
-    components, take no part; zero vectors do; repeated rows count each; fewer vectors give fewer rows; empty tables none.
+    of the rest bounds every score from above, and only what may still reach it is multiplied out, in 64-bit whole numbers.
+    A query meets vectors of its own dimension.  Null ids, and vectors null, empty, with null or non-finite components, or so
+    long that their products need not fit 64 bits (a length of 2^31 and more after scaling), take no part; zero vectors do;
+    repeated rows count each, as vectors and as queries; fewer vectors give fewer rows; empty tables none.
     """
-    whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double"))
+    # Floats near the limits of a long are capped there, far beyond what takes part.
+    scaled = lambda x: F.greatest(F.least(x.cast("double") * F.lit(scale), F.lit(4e18)), F.lit(-4e18))
+    whole = F.transform(F.col(vector), lambda x: F.floor(scaled(x)).cast("double"))
 
     def ready(df: DataFrame) -> DataFrame:
         kept = df.where(usable(F.col(vector)) & F.col(vec_id).isNotNull())
         length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-        return kept.select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v")).withColumn("length", length)
+        return kept.select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v")).withColumn("length", length).where(
+            F.col("length") < 2.0 ** 62)
 
     def blocked(df: DataFrame, size: int, label: str) -> DataFrame:
         by_length = ready(df).repartitionByRange(F.desc("length"), F.asc("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id")
@@ -68,7 +72,8 @@ def largest_products(vectors: DataFrame, queries: DataFrame, most: int = 20, sca
         head = max(1, q.shape[1] // 4)
         q_turned = q @ rotation
         q_rest, q_length = np.linalg.norm(q_turned[:, head:], axis=1), np.linalg.norm(q, axis=1)
-        best = Best(len(q), most)
+        exact = q.astype(np.int64)
+        best = Best(len(q), most, np.int64)
         for ids, x in parts:
             lengths = np.linalg.norm(x, axis=1)
             slack = 1e-9 * (1 + q_length * lengths.max())
@@ -81,7 +86,7 @@ def largest_products(vectors: DataFrame, queries: DataFrame, most: int = 20, sca
             for row, i in zip(upper, live):
                 near = np.flatnonzero((row >= -best.bound[i]) & (ids != query_ids[i]))
                 if len(near):
-                    best.add(i, -(x[near] @ q[i]), ids[near])
-        return best.frame(query_ids, -1.0)
+                    best.add(i, -(x[near].astype(np.int64) @ exact[i]), ids[near])
+        return best.frame(query_ids, -1)
 
-    return meet(asked, blocks, best_of, most, True, "topk-names").withColumn("score", F.col("score").cast("long"))
+    return meet(asked, blocks, best_of, most, True, "topk-names", "long")

@@ -12,15 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alarmspan.llm.common import renamed
+
 # Markup, in the order it is tried: comments, elements whose content is no text, tags, declarations, then text.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|title|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<title\b[^>]*>(?:(?:(?!</head|<body\b|<title\b).)*?</title\s*>|[^<]*)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _ROLE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
+# Names that tell the state of an element, not what it is: with-sidebar, no-header, comments-open.
+_STATE = re.compile(r"(?:has|with|no|without|not|hide|show|is)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|on|off|left|right|visible|hidden)")
 _SPACE = re.compile(r"\s+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meta "
@@ -36,11 +41,22 @@ ASIDE_WORDS = frozenset(
 MAIN = frozenset("article main".split())
 
 
+@dataclass
+class Element:
+    """An open block element: aside for certain, by its name only (class, id, role, or a form), or the page's main part."""
+    tag: str
+    aside: bool = False
+    named: bool = False
+    main: bool = False
+    words: int = 0
+
+
 @dataclass
 class Block:
     """Text between two block-level tags."""
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
+    around: list[Element] = field(default_factory=list)  # those that are aside, named aside or main
     aside: bool = False
     main: bool = False
     text: str = ""
@@ -56,16 +72,23 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order.  A block is aside if an element around it is one by name or by its class, id or role."""
+    """Text blocks in page order.
+
+    A block is aside if an element around it is: by what it is, or by a whole word of its class, id or role.  A name counts
+    for nothing if the element holds most of the page's words and the page marks no main part outside it: then it is the
+    page, not something beside it.
+    """
     out: list[Block] = []
-    around: list[tuple[str, bool, bool]] = []  # open block elements: tag, aside, main
+    around: list[Element] = []
     now, links = Block(), 0
 
     def cut() -> None:
         nonlocal now
         if now.parts and now.close().text:
             out.append(now)
-        now = Block(aside=any(x[1] for x in around), main=any(x[2] for x in around))
+            for element in now.around:
+                element.words += now.words
+        now = Block(around=[e for e in around if e.aside or e.named or e.main])
 
     for m in _MARKUP.finditer(html):
         if m["text"] is not None:
@@ -87,24 +110,37 @@ def blocks(html: str) -> list[Block]:
                     now.linked.append(" ")
             continue
         if m["close"]:
-            depth = next((i for i in range(len(around) - 1, -1, -1) if around[i][0] == tag), None)
+            depth = next((i for i in range(len(around) - 1, -1, -1) if around[i].tag == tag), None)
             if depth is not None:
                 del around[depth:]
         elif tag not in VOID:
             roles = " ".join(next((g for g in r if g), "") for r in _ROLE.findall(m["attributes"])).lower()
-            named = ASIDE_WORDS.intersection(_WORDS.findall(roles)) | ({"header"} if tag == "header" else set())
-            if any(x[2] for x in around):
-                named -= {"header"}  # an article's own header holds its title
-            aside = tag in ASIDE or bool(named) and tag not in ("html", "body")
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and around and around[-1][0] == tag:
+            names = {w for token in roles.split() if not _STATE.fullmatch(token) for w in _WORDS.findall(token)}
+            names = ASIDE_WORDS.intersection(names) | ({"header"} if tag == "header" else set())
+            if any(e.main for e in around):
+                names -= {"header"}  # an article's own header holds its title
+            named = tag not in ("html", "body") and (bool(names) or tag == "form")
+            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and around and around[-1].tag == tag:
                 around.pop()  # these end where the next one starts
-            around.append((tag, aside, tag in MAIN and not aside))
+            around.append(Element(tag, tag in ASIDE and tag != "form", named, tag in MAIN))
             if tag == "p" and links:
                 links = 0
         if tag not in INLINE and tag in ("p", "article", "nav", "footer", "body"):
             links = 0
         cut()
     cut()
+    total = sum(b.words for b in out)
+    large = {id(e) for b in out for e in b.around if e.named and not e.aside and 2 * e.words > total}
+    if large:
+        settled = [b for b in out if any(e.main and not e.named for e in b.around) and not any(e.aside for e in b.around)
+                   and not any(e.named and id(e) not in large for e in b.around)]
+        for b in out:
+            for e in b.around:
+                if id(e) in large and all(any(x is e for x in other.around) for other in settled):
+                    e.named = False
+    for b in out:
+        b.aside = any(e.aside or e.named for e in b.around)
+        b.main = any(e.main and not e.named for e in b.around)
     return out
 
 
@@ -148,9 +184,9 @@ LABELLED = """
  6 1.0   0 0.0  50 0.0  0  1  1
 15 0.0  10 0.0  12 0.0  0  1  1
 70 0.3  20 1.0  15 0.0  0  1  1
- 6 1.0   5 1.0   7 1.0  0  1  0
- 4 1.0   8 1.0   3 1.0  0  1  0
- 2 1.0   2 1.0   3 1.0  0  1  0
+ 6 1.0   5 1.0   7 1.0  0  1  1
+ 4 1.0   8 1.0   3 1.0  0  1  1
+ 2 1.0   2 1.0   3 1.0  0  1  1
 12 0.0   1 1.0   8 0.0  0 -1  0
 70 0.0  45 0.0   3 1.0  0 -1  0
  5 0.0  20 0.0  30 0.0  0 -1  0
@@ -247,6 +283,7 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text", n_blo
             yield pd.DataFrame([main_text(x) for x in batch], columns=["text", "n"])
 
     read = F.pandas_udf(extracted, "text string, n long")
-    names = {text.lower(), n_blocks.lower(), "_read"}
-    return pages.select("*", read(F.col(html)).alias("_read")).select(
-        *[c for c in pages.columns if c.lower() not in names], F.col("_read.text").alias(text), F.col("_read.n").alias(n_blocks))
+    both, = renamed(pages, "_read")
+    names = {text.lower(), n_blocks.lower()}
+    return pages.withColumn(both, read(F.col(html))).select(
+        *[c for c in pages.columns if c.lower() not in names], F.col(f"{both}.text").alias(text), F.col(f"{both}.n").alias(n_blocks))

@@ -130,13 +130,13 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows without a doc_id have no place in that order and stay.  Columns are those of ``docs``.
     """
-    key, first, nth = renamed(docs, "_text_key", "_first", "_nth")
+    key, first, nth, its_id, its_key = renamed(docs, "_text_key", "_first", "_nth", "_w_id", "_w_key")
     keyed = docs.withColumn(key, F.xxhash64(text))
     groups = near_duplicate_groups(keyed, doc_id, text, keep=(key,), **how)
     winners = (groups.where("doc_id IS NOT NULL").groupBy("component_id")
                      .agg(F.min(F.struct("doc_id", key)).alias("w"))
-                     .select(F.col("w.doc_id").alias("_w_id"), F.col(f"w.{key}").alias("_w_key"), F.lit(True).alias(first)))
-    joined = keyed.join(winners, (keyed[doc_id].cast("long") == F.col("_w_id")) & (keyed[key] == F.col("_w_key")), "left")
+                     .select(F.col("w.doc_id").alias(its_id), F.col(f"w.{key}").alias(its_key), F.lit(True).alias(first)))
+    joined = keyed.join(winners, (keyed[doc_id].cast("long") == F.col(its_id)) & (keyed[key] == F.col(its_key)), "left")
     same = Window.partitionBy(doc_id, key).orderBy(key)
     numbered = joined.where(F.col(first) | F.col(doc_id).isNull()).withColumn(nth, F.row_number().over(same))
     return numbered.where((F.col(nth) == 1) | F.col(doc_id).isNull()).select(*[keyed[c] for c in docs.columns])

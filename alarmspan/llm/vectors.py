@@ -59,8 +59,9 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["values"], np.float64).reshape(-1, row["dim"])
 
 
-def meet(queries: DataFrame, blocks: DataFrame, best_of: Callable, most: int, descending: bool, label: str) -> DataFrame:
-    """query_id, rank, vec_id, score: ``best_of(queries, ids, values...)`` over every block, the ``most`` best kept.
+def meet(queries: DataFrame, blocks: DataFrame, best_of: Callable, most: int, descending: bool, label: str, kind: str = "double") -> DataFrame:
+    """query_id, rank, vec_id, score: ``best_of(queries, ids, values...)`` over every block, the ``most`` best of every query row
+    kept, whether or not its id comes again; ``kind`` is the type of a score.
 
     Query blocks and vector blocks are laid on a grid: a cell holds one query block and a stripe of vector blocks (every
     S-th, so each stripe runs in the blocks' order), which bounds its memory; cells keep the best of their stripe, and a
@@ -74,7 +75,7 @@ def meet(queries: DataFrame, blocks: DataFrame, best_of: Callable, most: int, de
                     .join(x_names.groupBy("dim").agg(F.max("nth").alias("last_x")), "dim"))
     stripes = F.floor(F.col("last_x") / per_stripe).cast("int") + 1
     q = queries.join(q_names, ["dim", "block"]).join(sides, "dim").select(
-        "dim", "ids", "values", F.col("nth").alias("q"), F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe"))
+        "dim", "ids", "values", "block", F.col("nth").alias("q"), F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe"))
     x = blocks.join(x_names, ["dim", "block"]).join(sides, "dim").select(
         "dim", "ids", "values", "block", (F.col("nth") % stripes).alias("stripe"),
         F.explode(F.sequence(F.lit(0), F.col("last_q"))).alias("q"))
@@ -84,23 +85,23 @@ def meet(queries: DataFrame, blocks: DataFrame, best_of: Callable, most: int, de
         if len(left) and len(right):
             parts = [unpack(r) for _, r in right.sort_values("block").iterrows()]
             for _, r in left.iterrows():
-                found.append(best_of(*unpack(r), parts))
-        columns = ["query_id", "vec_id", "score"]
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series([], dtype="float64" if c == "score" else "int64") for c in columns})
+                found.append(best_of(*unpack(r), parts).assign(block=r["block"]))
+        columns = ["query_id", "place", "vec_id", "score", "block"]
+        return pd.concat(found)[columns] if found else pd.DataFrame({c: pd.Series([], dtype="int64") for c in columns})
 
     keys = ["dim", "q", "stripe"]
-    cells = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double")
+    cells = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(cell, f"query_id long, place long, vec_id long, score {kind}, block long")
     order = F.col("score").desc() if descending else F.col("score").asc()
-    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id")))
+    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy("block", "place").orderBy(order, "vec_id")))
     return ranked.where(F.col("rank") <= most).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 class Best:
     """The best rows seen for each query: smallest keys first, ties to the smaller id."""
 
-    def __init__(self, n: int, most: int):
+    def __init__(self, n: int, most: int, kind: type = np.float64):
         self.most = most
-        self.keys = [np.empty(0)] * n
+        self.keys = [np.empty(0, kind)] * n
         self.ids = [np.empty(0, np.int64)] * n
         self.bound = np.full(n, np.inf)
 
@@ -114,7 +115,8 @@ class Best:
         if len(order) == self.most:
             self.bound[query] = self.keys[query][-1]
 
-    def frame(self, query_ids: np.ndarray, sign: float) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": np.repeat(query_ids, [len(x) for x in self.ids]),
+    def frame(self, query_ids: np.ndarray, sign: int) -> pd.DataFrame:
+        found = [len(x) for x in self.ids]
+        return pd.DataFrame({"query_id": np.repeat(query_ids, found), "place": np.repeat(np.arange(len(found)), found),
                              "vec_id": np.concatenate(self.ids) if len(self.ids) else np.empty(0, np.int64),
                              "score": sign * np.concatenate(self.keys) if len(self.keys) else np.empty(0)})
