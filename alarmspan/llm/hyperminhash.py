@@ -193,6 +193,8 @@ def links_of_cell(nodes: np.ndarray, registers: np.ndarray, sets: list[bytes], c
     Sketches first: rows whose estimates put them far below ``least`` (six deviations) of all others are left out.  Then all
     intersections of the others at once, as a product of their membership matrices, and the exact comparison.
     """
+    if not len(left) or not len(right):
+        return np.zeros((0, 2), np.int64)
     sizes = np.array([len(s) // 8 for s in sets])
     j, used = estimates(registers[left], registers[right], sizes[left], sizes[right], c)
     likely = (j >= least - 6 * np.sqrt(least * (1 - least) / used)) & (left[:, None] != right[None, :])
