@@ -475,3 +475,31 @@ def test_fold_matches_crc(spark):
 
 
 del F
+
+
+PARA = "<p>" + "These are words of a paragraph that goes on for quite a while. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("page, n", [
+    (f'<article class="post comments-open">{PARA}{PARA}</article>', 2),
+    (f'<main class="with-sidebar">{PARA}{PARA}</main>', 2),
+    (f'<div class="layout no-sidebar"><article>{PARA}{PARA}</article></div>', 2),
+    (f'<div id="wrap" class="has-header"><nav>a b</nav><article>{PARA}{PARA}</article></div>', 2),
+    (f'<form id="aspnetForm"><nav>home</nav><article>{PARA}{PARA}</article></form>', 2),
+    (f'<html><head><title>never closed<body><article>{PARA}{PARA}</article></body>', 2),
+    (f'<div class="comment layout"><div>{PARA}{PARA}</div></div>', 2),
+    (f'<article>{PARA}<ul><li><a href=x>one two</a><li><a href=y>three four</a><li><a href=z>five six</a></ul>{PARA}</article>', 5),
+    # Reader comments stay out, though they hold most of the words and are marked as articles themselves.
+    (f'<article>{PARA}</article><section id="comments"><article class="comment">{PARA}{PARA}{PARA}</article></section>', 1)])
+def test_names_do_not_lose_the_page(page, n):
+    text, blocks = html_text.main_text(page)
+    assert blocks == n and text.count("These are words") == 4 * page.count("<article>" + PARA) if n == 1 else blocks == n
+
+
+def test_helper_names_are_free(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4), (2, "a b c", 1, 2, 3, 4)],
+                                 "doc_id long, text string, _f_doc int, _f_row int, _w_id int, _w_key int")
+    assert line_dedup.drop_repeated_lines(docs, 2).select(*docs.columns).count() == 2
+    assert [r["doc_id"] for r in simhash.first_of_groups(docs).collect()] == [1]
+    pages = spark.createDataFrame([(1, "<p>" + "word " * 40, 5)], "page_id long, html string, _read int")
+    assert html_text.extract_text(pages).first()["_read"] == 5

@@ -1,6 +1,8 @@
 """Vector searches against brute force, and on awkward rows."""
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,22 @@ def test_neighbours_awkward(spark):
 
 
 del F
+
+
+def test_query_rows_that_repeat_get_their_list_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    twice = spark.createDataFrame([rows[3], rows[3], rows[4]], df.schema)
+    for got, once in ((exact_topk.largest_products(df, twice, 7), exact_topk.largest_products(df, df.where("vec_id = 3"), 7)),
+                      (ann.nearest(df, twice, 7), ann.nearest(df, df.where("vec_id = 3"), 7))):
+        got, want = got.where("query_id = 3").collect(), sorted(map(tuple, once.collect()))
+        assert sorted(map(tuple, got)) == sorted(want * 2) and len(want) == 7
+
+
+def test_large_products_are_exact_and_larger_ones_take_no_part(spark):
+    rows = [(1, [3e7, 1.0]), (2, [3e7, 2.0]), (3, [1e17, 0.0]), (4, [1e300, 1.0]), (5, [-2e7, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in exact_topk.largest_products(df, df, 9).collect()}
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows if i in (1, 2, 5)}
+    assert got == {(a, b): sum(x * y for x, y in zip(whole[a], whole[b])) for a in whole for b in whole if a != b}
