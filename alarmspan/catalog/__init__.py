@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lead_time", "preparation", "windows", "assets", "models", "streams")
+MODULES = ("lead_time", "preparation", "windows", "assets", "models", "streams", "files")
 
 
 def load_catalog():

@@ -120,6 +120,43 @@ def per_halo_chunk(rows: DataFrame, params: DataFrame, keys: Sequence[str], comp
     return spread(chunked, *group).groupBy(*group).cogroup(spread(wanted, *right).groupBy(*right)).applyInPandas(scored, schema)
 
 
+def emitted_by_series(rows: DataFrame, keys: Sequence[str], emit: Callable[[pd.DataFrame, dict | None], pd.DataFrame], schema: str,
+                      state: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS, ship_bytes: int = SHIP_BYTES) -> DataFrame:
+    """``emit(some rows of a series, its state row)`` for all rows: its columns behind the keys, in the order of ``schema``.
+
+    Rows are taken where they are, in no order.  A state table below ``ship_bytes`` travels to the tasks; with a larger one,
+    batches of a series' rows meet its row, dealt by a hash of the row so that no series is gathered.
+    """
+    stateful = state is not None
+    ships = not stateful or stored_bytes(state) <= ship_bytes
+    shipped = rows.sparkSession.sparkContext.broadcast(
+        {tuple(r[k] for k in keys): r.asDict() for r in state.collect()}) if stateful and ships else None
+    names = [f.strip().split()[0].strip("`") for f in schema.split(", ")]
+
+    def keyed(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        return found.assign(**dict(zip(keys, key)))[names]
+
+    if ships:
+        def in_place(batches):
+            for batch in batches:
+                for key, some in batch.groupby(list(keys), sort=False):
+                    own = shipped.value.get(key) if stateful else None
+                    if own is not None or not stateful:
+                        yield keyed(key, emit(some, own))
+        return rows.mapInPandas(in_place, schema)
+
+    def meet(some: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(own):
+            return pd.DataFrame(columns=names)
+        return keyed(tuple(some[k].iloc[0] for k in keys), emit(some, own.iloc[0].to_dict()))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_chunks"))
+    dealt = rows.join(sizes, list(keys)).withColumn("_chunk", F.pmod(F.xxhash64(*rows.columns), F.col("_chunks"))).drop("_chunks")
+    wanted = sizes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_chunk")).join(state, list(keys))
+    right = [f"_key{i}" for i in range(len(keys) + 1)]
+    wanted = wanted.withColumnsRenamed(dict(zip([*keys, "_chunk"], right)))
+    return spread(dealt, *keys, "_chunk").groupBy(*keys, "_chunk").cogroup(spread(wanted, *right).groupBy(*right)).applyInPandas(meet, schema)
+
+
 def summed_by_series(rows: DataFrame, keys: Sequence[str], partial: Callable[[np.ndarray, dict | None], np.ndarray], feature: str,
                      state: DataFrame | None = None, before: int = 0, chunk_rows: int = CHUNK_ROWS,
                      ship_bytes: int = SHIP_BYTES) -> DataFrame:

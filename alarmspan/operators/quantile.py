@@ -1,10 +1,16 @@
 """Exact percentiles with linear interpolation between order statistics."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alarmspan.detectors.chunks import emitted_by_series
 from alarmspan.layout import Layout
+from alarmspan.session import cut_lineage
 
 _CELLS_PER_OCTAVE = 65_536
 
@@ -69,6 +75,91 @@ def quantile_table(df: DataFrame, lay: Layout, value: Column, ranks: dict[str, f
         F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in ranks])
 
 
+# Columns whose percentiles are worth a pass of histograms instead of one sort or one aggregate a column; bits a pass fixes.
+WIDE_COLUMNS, DIGIT = 64, 16
+_DIGITS_DDL = "column int, prefix long, digit int, n long"
+
+
+def sortable(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned 64-bit numbers in the same order; both zeros are one."""
+    bits = np.ascontiguousarray(values + 0.0, np.float64).view(np.uint64)
+    negative = bits >> np.uint64(63) == 1
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
+
+
+def unsorted(keys: np.ndarray) -> np.ndarray:
+    positive = keys >> np.uint64(63) == 1
+    return np.where(positive, keys & np.uint64((1 << 63) - 1), ~keys).view(np.float64)
+
+
+def column_quantiles(df: DataFrame, lay: Layout, cols: Sequence[str], ranks: Sequence[float]) -> DataFrame:
+    """Exact percentiles of many columns at once: one row per series and column position (keys, column, quantiles).
+
+    Radix selection.  The wanted order statistics of a column share their leading bits with ever fewer values: a pass
+    counts, for all columns together, the next 16 bits of the values that still match, and four passes leave the values
+    themselves.  A task holds counts by digit and never values, series or columns as a whole; what leaves it are the digits
+    that occur.  The digits fixed so far travel as a table, a row per series.  Nulls and NaN take no part; a column without
+    a value gives null.  Percentiles lie between order statistics in proportion, as elsewhere.
+    """
+    keys = list(lay.keys)
+    rows = df.select(*keys, F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+    width = len(cols)
+
+    def digits(shift: int):
+        def count(part: pd.DataFrame, own: dict | None) -> pd.DataFrame:
+            x = np.array(part["_v"].tolist(), dtype=float).reshape(-1, width)
+            found = []
+            targets: dict[int, list[int]] = {}
+            if own is not None:
+                for c, p in zip(own["columns"], own["prefixes"]):
+                    targets.setdefault(int(c), []).append(int(p))
+            for c in range(width):
+                values = sortable(x[~np.isnan(x[:, c]), c])
+                lead = values >> np.uint64(shift + DIGIT) if shift + DIGIT < 64 else np.zeros(len(values), np.uint64)
+                for prefix in targets.get(c, [] if own is not None else [0]):
+                    some = values[lead == np.uint64(prefix)] >> np.uint64(shift) & np.uint64((1 << DIGIT) - 1)
+                    digit, n = np.unique(some, return_counts=True)
+                    found.append(pd.DataFrame({"column": c, "prefix": prefix, "digit": digit.astype(np.int64), "n": n}))
+            return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("column", "prefix", "digit", "n")})
+        return count
+
+    def fixed(counts: DataFrame, wanted: DataFrame | None) -> DataFrame:
+        """Wanted order statistics with one more digit fixed: (keys, column, name, prefix, place among those that match)."""
+        by = [*keys, "column", "prefix"]
+        upto = Window.partitionBy(*by).orderBy("digit")
+        counts = counts.groupBy(*by, "digit").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto))
+        if wanted is None:
+            total = counts.groupBy(*by).agg(F.max("upto").alias("total"))
+            names = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(ranks)]))
+            at = total.select(*by, "total", names.alias("r")).withColumn("at", F.col("r.p") * (F.col("total") - 1))
+            ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.floor("at").alias("place")), F.struct(F.lit(1).alias("end"), F.ceil("at").alias("place"))))
+            wanted = at.select(*by, F.col("r.i").alias("i"), (F.col("at") - F.floor("at")).alias("share"), ends.alias("e")) \
+                       .select(*by, "i", "share", "e.end", "e.place")
+        met = wanted.join(counts, by).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+        return met.select(*keys, "column", "i", "share", "end", (F.col("place") - (F.col("upto") - F.col("n"))).alias("place"),
+                          (F.shiftleft("prefix", DIGIT) + F.col("digit")).alias("prefix"))
+
+    wanted = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        state = None
+        if wanted is not None:
+            state = wanted.select(*keys, "column", "prefix").distinct().groupBy(*keys).agg(
+                F.collect_list(F.struct("column", "prefix")).alias("t")).select(
+                *keys, F.transform("t", lambda t: t["column"]).alias("columns"), F.transform("t", lambda t: t["prefix"]).alias("prefixes"))
+            state = cut_lineage(state, "digits")
+        wanted = cut_lineage(fixed(emitted_by_series(rows, keys, digits(shift), f"{head}, {_DIGITS_DDL}", state), wanted), "order-statistics")
+
+    @F.pandas_udf("double")
+    def value(prefix: pd.Series) -> pd.Series:
+        return pd.Series(unsorted(prefix.to_numpy(np.int64).view(np.uint64)))
+    ends = wanted.withColumn("x", value("prefix")).groupBy(*keys, "column", "i").agg(
+        F.max(F.when(F.col("end") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("x"))).alias("b"), F.any_value("share").alias("t"))
+    between = F.when(F.col("t") == 0, F.col("a")).otherwise((1 - F.col("t")) * F.col("a") + F.col("t") * F.col("b"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", between.alias("x")))), lambda s: s["x"])
+    return ends.groupBy(*keys, "column").agg(listed.alias("quantiles"))
+
+
 def with_quantiles(df: DataFrame, lay: Layout, value: Column, ranks: dict[str, float]) -> DataFrame:
     """Add the percentile columns to every row of the series (null where the series has no value)."""
     keys = list(lay.keys)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from alarmspan.layout import Layout
 from alarmspan.operators.ordered import with_totals
-from alarmspan.operators.quantile import quantile_table
+from alarmspan.operators.quantile import WIDE_COLUMNS, column_quantiles, quantile_table
 
 KINDS = ("robust", "standard", "minmax")
 
@@ -29,6 +29,11 @@ def fit_scaler(df: DataFrame, lay: Layout, cols: list[str], kind: str = "robust"
         return rows.groupBy(*keys).agg(
             *[F.min(c).cast("double").alias(f"{c}__center") for c in cols],
             *[_unit_if_zero((F.max(c) - F.min(c)).cast("double")).alias(f"{c}__scale") for c in cols])
+    if len(cols) > WIDE_COLUMNS:
+        table = column_quantiles(rows, lay, cols, (.25, .5, .75)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("column", "quantiles"))).alias("_q"))
+        return table.select(
+            *keys, *[F.try_element_at("_q", F.lit(i))[1].alias(f"{c}__center") for i, c in enumerate(cols)],
+            *[_unit_if_zero(F.try_element_at("_q", F.lit(i))[2] - F.try_element_at("_q", F.lit(i))[0]).alias(f"{c}__scale") for i, c in enumerate(cols)])
     if lay.whole:
         quartiles = rows.groupBy(*keys).agg(
             *[F.percentile(c, F.array(F.lit(.25), F.lit(.5), F.lit(.75))).alias(f"_q_{c}") for c in cols])

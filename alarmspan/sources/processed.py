@@ -11,6 +11,7 @@ from alarmspan.layout import Layout
 from alarmspan.operators.clean import clip_spikes, fill_missing, numeric_columns
 from alarmspan.operators.ordered import settle, with_position
 from alarmspan.operators.resample import resample_mean
+from alarmspan.session import cut_lineage
 from alarmspan.sources.waveform import path_exists
 
 
@@ -46,19 +47,41 @@ def preprocess(df: DataFrame, lay: Layout, runs: DataFrame | None = None, freq_m
                .withColumn("hours_to_failure", hours_to_failure(F.col("ts"), F.col("failure_time"))).drop("failure_time")
 
 
+def source_marks(source: DataFrame, options: str) -> DataFrame:
+    """What a series' processed rows depend on: rows, first and last time, a hash of all its rows, and the options."""
+    rows = F.bit_xor(F.xxhash64(*sorted(source.columns)))
+    return source.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), rows.alias("rows")) \
+                 .withColumn("options", F.lit(options))
+
+
 def read_or_build(spark: SparkSession, source: DataFrame, root: str, runs: DataFrame | None = None,
                   freq_minutes: float = 10.0, **options) -> DataFrame:
-    """Processed rows of every series in ``source``; only series without a stored partition are built."""
-    path = table_path(root, freq_minutes)
-    wanted = source.select(F.col("series_id").cast("string").alias("series_id")).distinct()
-    missing = source.withColumn("series_id", F.col("series_id").cast("string"))
-    if path_exists(spark, path):
-        stored = load_processed(spark, root, freq_minutes).select("series_id").distinct()
-        missing = missing.join(stored, "series_id", "left_anti")
-    if not missing.isEmpty():
-        lay = Layout.measure(missing)
-        save_processed(preprocess(missing, lay, runs, freq_minutes, **options), root, freq_minutes)
-    return load_processed(spark, root, freq_minutes).join(wanted, "series_id", "left_semi")
+    """Processed rows of every series in ``source``; only what is missing or out of date is built.
+
+    A manifest beside the table keeps the marks of the rows each series was built from.  A series whose rows have changed
+    since (some came later, or were replaced), or that was built with other options, is built anew in place of its old
+    partition.  The manifest is written after the table, so that a build that broke off is done again.
+    """
+    marks = ["n", "first", "last", "rows", "options"]
+    table, manifest = table_path(root, freq_minutes), f"{root.rstrip('/')}/manifest/freq={freq_minutes:g}min"
+    source = source.withColumn("series_id", F.col("series_id").cast("string"))
+    now = source_marks(source, repr(sorted(options.items())) + ("" if runs is None else " with failure times"))
+    stale = now
+    if path_exists(spark, manifest):
+        built = spark.read.parquet(manifest)
+        latest = built.groupBy("series_id").agg(F.max_by(F.struct(*marks), "version").alias("built"))
+        known = latest.select("series_id", *[F.col(f"built.{m}").alias(m) for m in marks])
+        stale = now.join(known, ["series_id", *marks], "left_anti")
+        version = built.agg(F.max("version")).first()[0] + 1
+    else:
+        version = 1
+    stale = cut_lineage(stale, "stale-series")
+    if not stale.isEmpty():
+        rows = source.join(stale.select("series_id"), "series_id", "left_semi")
+        spread = preprocess(rows, Layout.measure(rows), runs, freq_minutes, **options).repartition("series_id", F.to_date("ts"))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series_id").parquet(table)
+        stale.withColumn("version", F.lit(version)).write.mode("append").parquet(manifest)
+    return load_processed(spark, root, freq_minutes).join(now.select("series_id"), "series_id", "left_semi")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

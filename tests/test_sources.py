@@ -100,6 +100,24 @@ def test_processed_tables_are_reused(spark, tmp_path):
     assert spark.read.option("header", True).csv(out).count() == 400
 
 
+def test_processed_tables_follow_their_source(spark, tmp_path):
+    root, df = str(tmp_path / "processed"), series(spark)
+    half = df.where("series_id = 'b' OR ts < TIMESTAMP '2024-01-02'")
+    build = lambda rows, **how: {r["series_id"]: r["count"] for r in processed.read_or_build(
+        spark, rows, root, None, 20.0, **how).groupBy("series_id").count().collect()}
+    versions = lambda: spark.read.parquet(f"{root}/manifest/freq=20min").groupBy("version").count().orderBy("version").collect()
+    early = build(half)
+    assert early["a"] < build(df)["a"] == 200 and early["b"] == 200
+    assert [tuple(r) for r in versions()] == [(1, 2), (2, 1)]   # only the series with later rows
+    changed = df.withColumn("x", F.when(F.col("ts") == F.lit("2024-01-01 00:00:00").cast("timestamp"), 3.25).otherwise(F.col("x")))
+    build(df)
+    assert len(versions()) == 2                                  # nothing is out of date
+    build(changed)
+    assert len(versions()) == 3                                  # a value was replaced
+    build(changed, z=3.0)
+    assert [r["count"] for r in versions()][-1] == 2             # other options
+
+
 CFG = ExperimentConfig(models=ModelConfig(methods=("three_sigma", "ewma")))
 
 
