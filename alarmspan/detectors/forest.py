@@ -25,24 +25,53 @@ def expected_depth(n) -> np.ndarray:
     return np.where(n > 2, 2.0 * (np.log(big - 1.0) + _EULER) - 2.0 * (big - 1.0) / big, np.where(n == 2, 1.0, 0.0))
 
 
+def prime_below(n: int) -> int:
+    """The largest prime up to ``n`` (at least 2)."""
+    def prime(m: int) -> bool:
+        if m < 4:
+            return m > 1
+        if m % 2 == 0:
+            return False
+        d, r = m - 1, 0
+        while d % 2 == 0:
+            d, r = d // 2, r + 1
+        for a in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37):  # decides every 64-bit number
+            if a % m == 0:
+                continue
+            x = pow(a, d, m)
+            if x in (1, m - 1):
+                continue
+            for _ in range(r - 1):
+                x = x * x % m
+                if x == m - 1:
+                    break
+            else:
+                return False
+        return True
+    while not prime(n):
+        n -= 1
+    return n
+
+
 def draw_rows(train: DataFrame, lay: Layout, n_trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` distinct training rows per (series, tree), drawn without replacement by seeded hashes.
+    """``sample`` distinct training rows per (series, tree), or all of them where there are no more.
 
-    Candidates number at most four times the sample, so a draw costs the same for a series of any length; the rows
-    are then fetched by an equi-join on position.
+    Draw i of a tree is (a * i + b) modulo the largest prime up to the series' length, moved on by c modulo the length:
+    different draws of a tree are different rows, and any row can come.  a, b and c are hashes of the series, the tree and
+    the seed.  So a draw is worked out by itself: as many rows as are drawn, nothing to sort out, for a series of any length.
     """
     keys = list(lay.keys)
-    sizes = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    pool = F.least(F.col("_n"), F.lit(4 * sample).cast("long"))
-    tries = (sizes.select(*keys, "_n", pool.alias("_pool"), F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-             .select(*keys, "_n", "_pool", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pool") - 1)).alias("_i")))
-    mixed = F.xxhash64(F.lit(seed), F.col("tree"), F.col("_i"), *keys)
-    pos = F.when(F.col("_n") == F.col("_pool"), F.col("_i")).otherwise(F.pmod(mixed, F.col("_n")))
-    chosen = tries.select(*keys, "tree", pos.alias("pos"), F.xxhash64(F.lit(seed + 1), F.col("tree"), F.col("_i"), *keys).alias("_rank")) \
-        .groupBy(*keys, "tree", "pos").agg(F.min("_rank").alias("_rank"))
-    order = Window.partitionBy(*keys, "tree").orderBy("_rank", "pos")
-    chosen = chosen.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).drop("_rank", "_k")
-    return train.join(chosen, [*keys, "pos"])
+    prime = F.pandas_udf(lambda n: n.map(lambda x: prime_below(max(2, int(x)))), "long")
+    sizes = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_p", prime("_n"))
+    part = lambda i: F.xxhash64(F.lit(seed), F.lit(i), F.col("tree"), *keys)
+    trees = sizes.select(*keys, "_n", "_p", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")).withColumns(
+        {"_a": F.pmod(part(1), F.col("_p") - 1) + 1, "_b": F.pmod(part(2), F.col("_p")), "_c": F.pmod(part(3), F.col("_n"))})
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n"), F.lit(sample).cast("long")) - 1))
+    drawn = trees.withColumn("_i", i)
+    # i is below the sample size, so the product stays within 64 bits up to 2^53 rows.
+    pos = F.when(F.col("_n") <= sample, F.col("_i")).otherwise(
+        ((F.col("_a") * F.col("_i") + F.col("_b")) % F.col("_p") + F.col("_c")) % F.col("_n"))
+    return train.join(drawn.select(*keys, "tree", pos.alias("pos")), [*keys, "pos"])
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:
@@ -107,21 +136,32 @@ def _arrays(row) -> tuple[np.ndarray, ...]:
             np.asarray(row["right"], dtype=int), np.asarray(row["cover"], dtype=float), np.asarray(row["depth"], dtype=float))
 
 
-def _mean_depth(x: np.ndarray, trees: pd.DataFrame) -> np.ndarray:
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for _, tree in trees.iterrows():
-        feature, cuts, left, right, cover, depth = _arrays(tree)
-        node = np.zeros(len(x), dtype=int)
-        while True:
-            f = feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            below = x[rows, np.where(inner, f, 0)] <= cuts[node]
-            node = np.where(inner, np.where(below, left[node], right[node]), node)
-        total += depth[node] + expected_depth(cover[node])
-    return total / len(trees)
+def packed_forest(trees: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """All trees' nodes in one set of arrays: roots, feature, cut, the children below and above, path length, levels.
+
+    A leaf is its own child, so rows that have arrived stay where they are.
+    """
+    sizes = np.array([len(f) for f in trees["feature"]])
+    roots = np.cumsum(sizes) - sizes
+    joined = lambda name, kind: np.concatenate([np.asarray(v, dtype=kind) for v in trees[name]])
+    feature, cut, depth, cover = joined("feature", int), joined("cut", float), joined("depth", float), joined("cover", float)
+    own, first = np.arange(len(feature)), np.repeat(roots, sizes)
+    leaf = feature < 0
+    below, above = (np.where(leaf, own, joined(side, int) + first) for side in ("left", "right"))
+    return roots, np.where(leaf, 0, feature), cut, below, above, depth + expected_depth(cover), int(depth.max(initial=0))
+
+
+def _mean_depth(x: np.ndarray, trees: pd.DataFrame, block: int = 1024) -> np.ndarray:
+    roots, feature, cut, below, above, length, levels = packed_forest(trees)
+    out = np.empty(len(x))
+    for start in range(0, len(x), block):
+        part = x[start:start + block]
+        rows = np.arange(len(part))
+        node = np.repeat(roots[:, None], len(part), axis=1)
+        for _ in range(levels):
+            node = np.where(part[rows, feature[node]] <= cut[node], below[node], above[node])
+        out[start:start + block] = length[node].mean(axis=0)
+    return out
 
 
 def isolation_forest(features: str = "features", n_estimators: int = 200, random_state: int = 42, max_samples: int = 256,

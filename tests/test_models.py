@@ -95,6 +95,35 @@ def test_forest_draws_are_distinct_and_bounded(spark):
     assert all(r["count"] == 100 for r in small)
 
 
+def test_draws_reach_every_row_alike(spark):
+    df = spark.range(1009 + 4).select(F.lit("a").alias("series_id"), F.col("id").alias("pos"))  # not a prime
+    drawn = forest.draw_rows(df, LAY, 400, 64, 7)
+    assert drawn.groupBy("tree").agg(F.count_distinct("pos").alias("d")).where("d != 64").count() == 0
+    times = {r["pos"]: r["count"] for r in drawn.groupBy("pos").count().collect()}
+    assert len(times) == 1013 and max(times.values()) < 60 and abs(np.mean([times[p] for p in range(1009, 1013)]) - 400 * 64 / 1013) < 12
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_largest_primes():
+    assert [forest.prime_below(n) for n in (2, 3, 4, 10, 97, 100, 7919, 2 ** 31, 2 ** 61)] == [2, 3, 3, 7, 97, 97, 7919, 2 ** 31 - 1, 2 ** 61 - 1]
+
+
+def test_packed_forest_scores_like_its_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    x[7, 2] = np.nan
+    grown = [forest._grow(x[rng.choice(300, 64, replace=False)], np.random.default_rng(i), 6) for i in range(9)]
+
+    def depth(row, t, node=0):
+        while t["feature"][node] >= 0:
+            node = t["left"][node] if row[t["feature"][node]] <= t["cut"][node] else t["right"][node]
+        return t["depth"][node] + float(forest.expected_depth(t["cover"][node]))
+    want = [np.mean([depth(r, t) for t in grown]) for r in x]
+    import pandas as pd
+    assert np.allclose(forest._mean_depth(x, pd.DataFrame(grown), block=70), want)
+
+
 def test_attribution_is_exact(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 4))
