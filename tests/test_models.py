@@ -159,6 +159,22 @@ def test_attribution_sums_to_path_length(cloud):
     assert top.count() == 120 and top.where("rank > 3").count() == 0
 
 
+def test_one_class_model_reports_its_gap(spark):
+    """The gap bounds the distance to the best boundary, found here with far more passes; an offset changes nothing."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3))
+    make = lambda m: spark.createDataFrame([("a", i, [float(v) for v in r]) for i, r in enumerate(m)],
+                                           "series_id string, pos bigint, features array<double>")
+    few = rff.one_class_svm(nu=0.2, dim=32, passes=12, tolerance=0.05).fit(make(x), LAY).first()
+    many = rff.one_class_svm(nu=0.2, dim=32, passes=25, tolerance=1e-4).fit(make(x), LAY).first()
+    size = lambda r: float(np.dot(r["w"], r["w"]))
+    assert many["gap"] <= few["gap"] and size(many) <= size(few) * (1 + 1e-9)
+    # |w|^2 of any iterate is above the least one by twice its gap at most.
+    assert size(few) * (1 - 2 * few["gap"]) <= size(many) * (1 + 1e-9)
+    far = make(x + 1e7).groupBy("series_id").agg(rff.cell_variance("features").alias("v")).first()["v"]
+    assert np.isclose(far, x.var(), rtol=1e-6)
+
+
 def test_one_class_boundary(cloud):
     df, _ = cloud
     scored = rff.one_class_svm(nu=0.1, passes=4).score_splits(df, LAY).cache()
