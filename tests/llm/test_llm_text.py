@@ -503,3 +503,15 @@ def test_helper_names_are_free(spark):
     assert [r["doc_id"] for r in simhash.first_of_groups(docs).collect()] == [1]
     pages = spark.createDataFrame([(1, "<p>" + "word " * 40, 5)], "page_id long, html string, _read int")
     assert html_text.extract_text(pages).first()["_read"] == 5
+
+
+def test_training_bounds_hold_for_rows_that_repeat(spark):
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], f"text {i % 3}", "en") for i in range(2000)] + [(i, "word " * i, "en") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] * 2, "doc_id long, toxic int")
+    sample = lambda **how: toxicity.training_sample(docs, labels, "doc_id", "text", "lang", "toxic", **how).collect()
+    assert len(sample(longest=10 ** 6)) == len(ids) + 3
+    few = sample(sample_docs=50, longest=700)
+    assert len(few) == 50 and max(len(r["text"]) for r in few) <= 700
+    assert sum(len(r["text"]) for r in sample(sample_chars=5_000, longest=10 ** 6)) <= 5_000
