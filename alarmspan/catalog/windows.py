@@ -109,6 +109,32 @@ def ablation_groups(spark, sf):
     return out.select("group", "series_id", "w", F.size("features").alias("n_features"), r6(total, 4).alias("total"))
 
 
+_KURT = {n: e for c in CH for n, e in sql_stats(c, c, PREFIXES[:7]).items() if n.startswith("kurt_")}
+
+
+@query("feature_subset", v.with_ctes(*FILLED, sql_windows("p", 10, 5), sql_centred(CH), f"ft AS (SELECT series_id, w, {', '.join(f'{e} AS {n}' for n, e in _KURT.items())} FROM wc GROUP BY 1, 2)",
+    tail=f"SELECT series_id, w, {len(_KURT)} AS n_features, {', '.join(f'{sql_r6(n)} AS {n}' for n in _KURT)} FROM ft"))
+def feature_subset(spark, sf):
+    """Numeric columns of the feature table with one prefix."""
+    df, lay = filled_panel(spark, sf)
+    full = features.rolling_features(df, lay, CH, 10, 0.5)
+    names = clean.columns_with_prefix(clean.numeric_columns(full, ("series_id", "w")), "kurt_")
+    return full.select("series_id", "w", F.lit(len(names)).alias("n_features"), *[r6(c).alias(c) for c in names])
+
+
+@query("feature_sequences", v.with_ctes(*READ, tail=f"""SELECT series_id, {sql_stamp('ts')} AS ts, 10::INTEGER AS n_values, {sql_r6('x[1]')} AS oldest, {sql_r6('x[5]')} AS newest,
+ {sql_r6('list_sum(x) + list_sum(list_transform(x, lambda y: abs(y)))')} AS total
+FROM (SELECT *, list(value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS x FROM p) WHERE pos >= 4"""))
+def feature_sequences(spark, sf):
+    """Design rows (the reading and its size) side by side, five at a time: oldest first."""
+    df, lay = _positioned(spark, sf)
+    rows = features.design_matrix(df.withColumn("size", F.abs("value")), ["value", "size"])
+    out = features.sequences(rows, lay, 5)
+    total = F.aggregate("sequence", F.lit(0.0), lambda acc, x: acc + x)
+    return out.select("series_id", stamp("ts").alias("ts"), F.size("sequence").alias("n_values"), r6(F.get("sequence", F.lit(0))).alias("oldest"),
+                      r6(F.get("sequence", F.lit(8))).alias("newest"), r6(total).alias("total"))
+
+
 _SCALES = (5, 10, 20)
 _CORE = ("rms", "kurt", "crest")
 

@@ -36,16 +36,6 @@ def asof_nearest(left: DataFrame, right: DataFrame, lay: Layout, cols: list[str]
     return out.select(*keys, ts, *[F.col("_l")[c].alias(c) for c in kept], *[F.col("_best")[c].alias(c) for c in cols])
 
 
-def aligned_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of a wide table where both channels are present."""
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-
-
-def aligned_long(df: DataFrame, other: DataFrame, lay: Layout) -> DataFrame:
-    """Inner join of two tables on series and timestamp."""
-    return df.join(other, [*lay.keys, lay.order])
-
-
 def union_logs(first: DataFrame, second: DataFrame, phases: tuple[str, str] = ("operating", "post_shutdown")) -> DataFrame:
     """Both logs tagged with their phase; columns missing on one side become null."""
     return (first.withColumn("phase", F.lit(phases[0]))
