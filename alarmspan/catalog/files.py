@@ -88,7 +88,8 @@ def turbine_log(spark, sf):
         _write_log(rows, f"{root}/{name}", {c: c for c in _SENSORS}, logs.TIME_COLUMN)
     last = hours.where(F.col("hour") < failure).agg(F.max("hour").cast("string")).first()[0]
     rows, gap = logs.turbine_log(spark, f"{root}/before", f"{root}/after", last)
-    return rows.join(gap).select(stamp("ts").alias("ts"), "split", *[r6(c).alias(c) for c in _SENSORS], r6("gap_seconds").alias("gap_seconds"))
+    seconds = F.lit(gap.first()["gap_seconds"])
+    return rows.select(stamp("ts").alias("ts"), "split", *[r6(c).alias(c) for c in _SENSORS], r6(seconds).alias("gap_seconds"))
 
 
 @query("tolerant_log", v.with_ctes(_SQL_HOURLY, tail=f"SELECT {sql_stamp('ts')} AS ts, {', '.join(f'{sql_r6(c)} AS {c}' for c in _SENSORS)} FROM h"))

@@ -15,6 +15,10 @@ from alarmspan.layout import Layout
 from alarmspan.operators.ordered import settle, trailing_moments, with_position, with_totals
 
 
+# Pairs of a lag up to which its moments are summed on their own.
+FEW_PAIRS = 512
+
+
 def channel_pairs(df: DataFrame, lay: Layout, channels: Sequence[str]) -> DataFrame:
     """Rows where both channels of a pair are present: (keys, ts, chan_a, chan_b, a, b).  The fan-out is the pair count."""
     cells = F.explode(F.array(*[
@@ -111,8 +115,14 @@ def lag_moments(a: np.ndarray, b: np.ndarray, start: int, end: int, lags: np.nda
         mean_x, mean_y = np.where(n > 0, sum_x / n, 0.0), np.where(n > 0, sum_y / n, 0.0)
     # A transform leaves rounding where the exact product is zero.
     crossed = np.where((sum_xx == 0) | (sum_yy == 0), 0.0, crossed)
-    return (n, first_a + mean_x, first_b + mean_y, np.maximum(sum_xx - n * mean_x ** 2, 0.0), np.maximum(sum_yy - n * mean_y ** 2, 0.0),
-            crossed - n * mean_x * mean_y)
+    out = np.stack([n, first_a + mean_x, first_b + mean_y, np.maximum(sum_xx - n * mean_x ** 2, 0.0), np.maximum(sum_yy - n * mean_y ** 2, 0.0),
+                    crossed - n * mean_x * mean_y])
+    # Few pairs, as at the ends of a series: what their sums share with the rest of the chunk would drown them.
+    for k in np.flatnonzero((n > 0) & (n <= FEW_PAIRS)):
+        u, w = x[low[k]:high[k]], y[first_y[k]:first_y[k] + int(n[k])]
+        u_off, w_off = u - u.mean(), w - w.mean()
+        out[1:, k] = first_a + u.mean(), first_b + w.mean(), u_off @ u_off, w_off @ w_off, u_off @ w_off
+    return tuple(out)
 
 
 def lead_lag(table: DataFrame, lay: Layout) -> DataFrame:

@@ -45,7 +45,8 @@ def test_entry(spark):
 
 
 PYTHON_QUERIES = {"pair_p_values", "hotelling_t2", "t2_limits", "isolation_forest", "one_class_rff", "sequence_error",
-                  "forest_attribution", "bootstrap_forest", "model_comparison", "health_alert", "event_summary"}
+                  "forest_attribution", "bootstrap_forest", "model_comparison", "health_alert", "event_summary",
+                  "lagged_ccf", "lead_lag", "influence_summary"}  # lags by convolution
 STREAMS = {"stream_resample", "stream_features", "stream_alarm"}
 
 
