@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def measured(spark: SparkSession, sf_dir: str, view: str, df: DataFrame, order: str = "ts") -> Layout:
-    """Layout of a view, measured once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, view)
+    """Layout of a view, measured once per session and state of the folder: a table that has grown is measured again."""
+    key = (spark.sparkContext.applicationId, sf_dir, view, hash(tuple(sorted(df.inputFiles()))))
     if key not in _LAYOUTS:
         _LAYOUTS[key] = Layout.measure(df, order=order)
     return _LAYOUTS[key]

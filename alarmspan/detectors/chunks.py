@@ -1,6 +1,6 @@
 """Row chunks of one series meet that series' model parameters: the shape of every model score in Python.
 
-Written parameter tables below ``SHIP_BYTES`` travel to the tasks as one broadcast and rows are scored where they are,
+Written parameter tables below ``SHIP_BYTES`` (and four times that unpacked) travel to the tasks as one broadcast and rows are scored where they are,
 without an exchange.  Beyond that, a chunk is a bounded run of rows, so a series of any length is many groups, and
 parameters are copied to the chunks that need them through a join on the series.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alarmspan.layout import row_bytes
 from alarmspan.session import cut_lineage
 
 CHUNK_ROWS = 16_384
@@ -34,10 +35,10 @@ def with_chunk(df: DataFrame, rows: int = CHUNK_ROWS, pos: str = "pos") -> DataF
     return df.withColumn("_chunk", F.floor(F.col(pos) / F.lit(rows)))
 
 
-def stored_bytes(table: DataFrame) -> int:
-    """Size of a table as the planner knows it: the real file size for a table just written, an overestimate for
-    anything derived."""
-    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def fits(table: DataFrame, most: int) -> bool:
+    """Whether a written table is at most ``most`` bytes, packed as it lies there and unpacked as tasks would hold it."""
+    packed = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return packed <= most and (table.agg(F.sum(row_bytes(table))).first()[0] or 0) <= 4 * most
 
 
 def per_chunk(rows: DataFrame, params: DataFrame, keys: Sequence[str], compute: Callable[[pd.DataFrame, pd.DataFrame], dict],
@@ -60,7 +61,7 @@ def per_chunk(rows: DataFrame, params: DataFrame, keys: Sequence[str], compute:
             return out.iloc[:0].assign(**{n: None for n in outputs})
         return out.assign(**compute(left, right))
 
-    if stored_bytes(params) <= ship_bytes:
+    if fits(params, ship_bytes):
         by_series = {k: g for k, g in params.toPandas().groupby(shared)}
         shipped = rows.sparkSession.sparkContext.broadcast(by_series)
 
@@ -107,7 +108,7 @@ def per_halo_chunk(rows: DataFrame, params: DataFrame, keys: Sequence[str], comp
         out = left[[f.name for f in kept]].assign(**compute(left, right))
         return out[left["pos"] // chunk_rows == left["_chunk"]]
 
-    if stored_bytes(params) <= SHIP_BYTES:
+    if fits(params, SHIP_BYTES):
         shipped = rows.sparkSession.sparkContext.broadcast({k: g for k, g in params.toPandas().groupby(shared)})
 
         def alone(left: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +129,7 @@ def emitted_by_series(rows: DataFrame, keys: Sequence[str], emit: Callable[[pd.D
     batches of a series' rows meet its row, dealt by a hash of the row so that no series is gathered.
     """
     stateful = state is not None
-    ships = not stateful or stored_bytes(state) <= ship_bytes
+    ships = not stateful or fits(state, ship_bytes)
     shipped = rows.sparkSession.sparkContext.broadcast(
         {tuple(r[k] for k in keys): r.asDict() for r in state.collect()}) if stateful and ships else None
     names = [f.strip().split()[0].strip("`") for f in schema.split(", ")]
@@ -172,7 +173,7 @@ def summed_by_series(rows: DataFrame, keys: Sequence[str], partial: Callable[[np
     schema = T.StructType([T.StructField(k, fields[k].dataType) for k in keys]
                           + [T.StructField("_part", T.LongType()), T.StructField("vector", T.BinaryType())])
     stateful = state is not None
-    ships = not stateful or stored_bytes(state) <= ship_bytes
+    ships = not stateful or fits(state, ship_bytes)
     shipped = rows.sparkSession.sparkContext.broadcast(
         {tuple(r[k] for k in shared): r.asDict() for r in state.collect()}) if stateful and ships else None
 

@@ -9,12 +9,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY_US = 86_400_000_000
 SECOND_US = 1_000_000
 DEFAULT_BLOCK_ROWS = 500_000
+# A block's rows unpacked: wide rows make shorter blocks.
+BLOCK_BYTES = 1 << 30
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes unpacked."""
+    def cell(name: str, kind) -> Column:
+        c = F.col(f"`{name}`")
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        return F.lit(8)
+    return sum((cell(f.name, f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -39,12 +54,15 @@ class Layout:
                 block_rows: int = DEFAULT_BLOCK_ROWS) -> "Layout":
         """Count rows per series (map-side combined, one row returned) and pick a time cell that bounds a task.
 
-        Only when a series exceeds ``block_rows`` are time cells needed to number its rows.  The cell is narrowed
+        A block holds ``block_rows`` rows, fewer where the widest row would bring it above ``BLOCK_BYTES``.
+        Only when a series exceeds it are time cells needed to number its rows.  The cell is narrowed
         until the fullest cell fits; at one second it is bounded by the microsecond resolution of the unique
         timestamps, so the loop ends.
         """
-        longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        lay = Layout(tuple(keys), order, int(longest), block_rows)
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.max(row_bytes(df)).alias("width"))
+        longest, width = counts.agg(F.max("count"), F.max("width")).first()
+        block_rows = min(block_rows, max(1, BLOCK_BYTES // (width or 1)))
+        lay = Layout(tuple(keys), order, int(longest or 0), block_rows)
         while not lay.whole:
             cell = F.floor(F.unix_micros(F.col(order)) / F.lit(lay.cell_us))
             fullest = df.groupBy(*keys, cell.alias("cell")).count().agg(F.max("count")).first()[0]

@@ -135,3 +135,21 @@ def test_smoothing_in_closed_form_skips_gaps():
                 x = v if x is None else 0.2 * v + 0.8 * x
             want.append(np.nan if x is None else x)
         assert np.allclose(smoothed(np.where(known, values, 0.0), known, 0.2, start), want, equal_nan=True)
+
+
+def test_wide_rows_make_shorter_blocks(spark, monkeypatch):
+    from alarmspan import layout
+    monkeypatch.setattr(layout, "BLOCK_BYTES", 100_000)
+    df = spark.range(500).select(F.lit("a").alias("series_id"), F.timestamp_seconds("id").alias("ts"),
+                                 F.array_repeat(F.lit(1.0), 400).alias("features"))
+    lay = layout.Layout.measure(df)
+    assert lay.max_rows == 500 and lay.block_rows == 100_000 // (400 * 8 + 16 + 8 + 17) and not lay.whole
+    assert layout.Layout.measure(df.drop("features")).whole
+
+
+def test_parameters_are_shipped_by_their_unpacked_size(spark, tmp_path):
+    from alarmspan.detectors import chunks
+    path = str(tmp_path / "flat")
+    spark.range(1000).select(F.array_repeat(F.lit(1.0), 1000).alias("values")).write.parquet(path)  # packs to next to nothing
+    table = spark.read.parquet(path)
+    assert not chunks.fits(table, 1 << 20) and chunks.fits(table, 1 << 24)
