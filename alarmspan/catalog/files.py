@@ -13,13 +13,13 @@ from alarmspan.sources import logs, processed, waveform
 
 
 def write_snapshots(spark, sf: str) -> str:
-    """One delimited text file per machine and six hours: the value, and its distance from 50.
+    """One delimited text file per machine and day: the value, and its distance from 50.
 
     Spark names the files it writes; each is moved to the name that holds its time, as a recorder would have called it.
     """
     root = scratch_path(spark, "snapshots")
     df, _ = v.machine_log(spark, sf)
-    slot = F.date_format(F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 21_600) * 21_600), "yyyy.MM.dd.HH.mm.ss")
+    slot = F.date_format(F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 86_400) * 86_400), "yyyy.MM.dd.HH.mm.ss")
     lines = df.select(F.concat(F.lit("run"), F.col("series_id").cast("string")).alias("run"), slot.alias("snap"),
                       F.concat_ws("\t", F.col("value").cast("string"), (F.col("value") - 50).cast("string")).alias("line"))
     lines.repartition("run", "snap").write.partitionBy("run", "snap").text(f"{root}/written")
@@ -36,7 +36,7 @@ def write_snapshots(spark, sf: str) -> str:
     return f"{root}/runs"
 
 
-_SNAP = "make_timestamp(epoch_us(ts) - epoch_us(ts) % 21600000000)"
+_SNAP = "make_timestamp(epoch_us(ts) - epoch_us(ts) % 86400000000)"
 
 
 @query("waveform_snapshots", f"""
