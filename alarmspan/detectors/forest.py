@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alarmspan.detectors.base import Detector, register_detector
-from alarmspan.detectors.chunks import matrix_of, per_chunk, spread
+from alarmspan.detectors.chunks import matrix_of, per_chunk, spread, with_chunk
 from alarmspan.layout import Layout
 from alarmspan.session import cut_lineage
 
@@ -131,11 +131,6 @@ def fit_forest(train: DataFrame, lay: Layout, n_trees: int = 200, sample: int =
     return spread(bundled, *keys, "_bundle").groupBy(*keys, "_bundle").applyInPandas(grow, schema)
 
 
-def _arrays(row) -> tuple[np.ndarray, ...]:
-    return (np.asarray(row["feature"], dtype=int), np.asarray(row["cut"], dtype=float), np.asarray(row["left"], dtype=int),
-            np.asarray(row["right"], dtype=int), np.asarray(row["cover"], dtype=float), np.asarray(row["depth"], dtype=float))
-
-
 def packed_forest(trees: pd.DataFrame) -> tuple[np.ndarray, ...]:
     """All trees' nodes in one set of arrays: roots, feature, cut, the children below and above, path length, levels.
 
@@ -180,69 +175,124 @@ def isolation_forest(features: str = "features", n_estimators: int = 200, random
     return Detector("Isolation Forest", "isolation_forest", fit, score)
 
 
-def _leaf_paths(tree) -> tuple[np.ndarray, ...]:
-    """Per leaf and distinct feature on its path: feature id, value interval (lo, hi] that stays on the path, and the
-    share of training cover that follows the path at that feature's splits."""
-    feature, cuts, left, right, cover, depth = _arrays(tree)
-    leaves, stack = [], [(0, {})]
-    while stack:
-        node, path = stack.pop()
-        f = feature[node]
-        if f < 0:
-            leaves.append((depth[node] + float(expected_depth(cover[node])), path))
-            continue
-        lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, interval in ((left[node], (lo, min(hi, cuts[node]))), (right[node], (max(lo, cuts[node]), hi))):
-            stack.append((child, {**path, f: (*interval, share * cover[child] / cover[node])}))
-    width = max(1, max(len(p) for _, p in leaves))
-    ids = np.full((len(leaves), width), -1)
-    lo, hi, share = np.full(ids.shape, -np.inf), np.full(ids.shape, np.inf), np.ones(ids.shape)
-    for i, (_, path) in enumerate(leaves):
-        for j, (f, (a, b, z)) in enumerate(path.items()):
-            ids[i, j], lo[i, j], hi[i, j], share[i, j] = f, a, b, z
-    return np.array([v for v, _ in leaves]), ids, lo, hi, share
-
-
-def tree_contributions(x: np.ndarray, tree) -> np.ndarray:
-    """Path-dependent Shapley values of one tree's path length for each row of ``x``.
-
-    A leaf of value v whose path has features with pass flags o and cover shares z contributes to feature j
-    v (o_j - z_j) times the integral over t in [0, 1] of prod_(i != j) (o_i t + z_i (1 - t)): the Shapley weights are
-    that integral's coefficients, and Gauss-Legendre nodes integrate the polynomial exactly.
+def path_tables(trees: pd.DataFrame) -> dict:
+    """What attributions need of some trees, level by level over all of them, so that children stand behind parents.
+
+    Per node: the split that leads to it (``feature``, ``cut``, ``low``: the side at or below the cut; -1 at roots), its
+    ``parent``, the node on its path where the same feature decided last (``above``; the root where none did), the share of
+    training cover that follows its path at that feature's splits, and at leaves the path length.
     """
-    value, ids, lo, hi, share = _leaf_paths(tree)
-    width = ids.shape[1]
-    nodes, weights = np.polynomial.legendre.leggauss(width // 2 + 1)
-    nodes, weights = 0.5 * (nodes + 1.0), 0.5 * weights
-    v = x[:, np.where(ids >= 0, ids, 0)]
-    passed = np.where(ids >= 0, (v > lo) & (v <= hi), True).astype(float)
-    out = np.zeros_like(x)
-    gain = np.zeros_like(passed)
-    for t, w in zip(nodes, weights):
-        factor = passed * t + share * (1.0 - t)
-        full = factor.prod(axis=2, keepdims=True)
-        gain += w * full / factor
-    effect = value[None, :, None] * (passed - share) * gain
-    for f in np.unique(ids[ids >= 0]):
-        out[:, f] = effect[:, ids == f].sum(axis=1)
-    return out
+    nodes: list[tuple] = []  # level, tree, own id in the tree, feature, cut, low, parent key, above key, share, value
+    degree = 1
+    for t, tree in enumerate(trees.to_dict("records")):
+        feature, cut, cover = tree["feature"], tree["cut"], tree["cover"]
+        todo = [(0, 0, -1, 0.0, False, None, 0, 1.0, {})]
+        while todo:
+            node, level, f, c, low, parent, above, share, last = todo.pop()
+            own = feature[node]
+            value = 0.0 if own >= 0 else tree["depth"][node] + float(expected_depth(cover[node]))
+            nodes.append((level, t, node, f, c, low, node if parent is None else parent, above, share, value))
+            degree = max(degree, len(last))
+            if own < 0:
+                continue
+            before, passed = last.get(own, (0, 1.0))
+            for child, side in ((tree["left"][node], True), (tree["right"][node], False)):
+                z = passed * cover[child] / cover[node]
+                todo.append((child, level + 1, own, cut[node], side, node, before, z, {**last, own: (child, z)}))
+    nodes.sort()
+    place = {(n[1], n[2]): i for i, n in enumerate(nodes)}
+    levels = np.searchsorted([n[0] for n in nodes], range(nodes[-1][0] + 2)).tolist() if nodes else [0]
+    _, tree_of, _, feature, cut, low, parent, above, share, value = (list(c) for c in zip(*nodes))
+    at = lambda ids: [place[t, i] for t, i in zip(tree_of, ids)]
+    return {"trees": len(trees), "degree": degree, "levels": levels, "feature": feature, "cut": cut, "low": low,
+            "parent": at(parent), "above": at(above), "share": share, "value": value}
+
+
+def path_contributions(x: np.ndarray, paths: dict, block: int = 64) -> tuple[np.ndarray, np.ndarray, float]:
+    """(Path-dependent Shapley values of the path length, path length, its mean over the training cover), each summed over
+    the trees of ``path_tables``.
+
+    A leaf of value v whose path has features with pass flags o and cover shares z gives feature j
+    v (o_j - z_j) times the integral over t in [0, 1] of prod_(i != j) (o_i t + z_i (1 - t)), exact at a few
+    Gauss-Legendre nodes.  One sweep down carries the products to the nodes and one up adds v times the product over the
+    leaves below each, so the work is linear in the nodes: what a split gives its feature, leaves below it included, is the
+    sum at its child times (o - z) / (o t + z (1 - t)), less the same at the split of that feature before it.
+    """
+    feature, cut, low, parent, above, share, value = (
+        np.asarray(paths[c]) for c in ("feature", "cut", "low", "parent", "above", "share", "value"))
+    levels = [slice(a, b) for a, b in zip(paths["levels"][:-1], paths["levels"][1:])]
+    t, weight = np.polynomial.legendre.leggauss(int(paths["degree"]) // 2 + 1)
+    t, weight = 0.5 * (t + 1.0), 0.5 * weight
+    inner = levels[0].stop
+    order = inner + np.argsort(feature[inner:], kind="stable")
+    named, starts = np.unique(feature[order], return_index=True)
+    out, length = np.zeros(x.shape), np.zeros(len(x))
+    for first in range(0, len(x), block):
+        part = x[first:first + block].T
+        passed = np.ones((len(feature), part.shape[1]), dtype=bool)
+        passed[inner:] = (part[feature[inner:]] <= cut[inner:, None]) == low[inner:, None]
+        reached = passed.copy()
+        factor = np.ones((*passed.shape, len(t)))
+        product = np.ones_like(factor)
+        for level in levels[1:]:
+            reached[level] &= reached[parent[level]]
+            passed[level] &= passed[above[level]]
+            factor[level] = passed[level, :, None] * t + share[level, None, None] * (1.0 - t)
+            product[level] = product[parent[level]] * factor[level] / factor[above[level]]
+        product *= value[:, None, None]
+        for level in reversed(levels[1:]):
+            for side in (True, False):  # a parent has one child on each side
+                mine = level.start + np.flatnonzero(low[level] == side)
+                product[parent[mine]] += product[mine]
+        gain = (passed - share[:, None])[:, :, None] / factor
+        effect = ((gain - gain[above]) * product) @ weight
+        if len(order):
+            out[first:first + block, named] = np.add.reduceat(effect[order], starts, axis=0).T
+        length[first:first + block] = value @ reached
+    cover = np.ones(len(feature))
+    for level in levels[1:]:
+        cover[level] = cover[parent[level]] * share[level] / share[above[level]]
+    return out, length, float(cover @ value)
+
+
+def tree_contributions(x: np.ndarray, tree: dict) -> np.ndarray:
+    """Path-dependent Shapley values of one tree's path length for each row of ``x``."""
+    return path_contributions(x, path_tables(pd.DataFrame([tree])))[0]
+
+
+def forest_paths(forest: DataFrame, lay: Layout) -> DataFrame:
+    """``path_tables`` of a forest, a few trees a row, made where the trees lie."""
+    keys = [k for k in lay.keys if k in forest.columns]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in forest.schema.fields if f.name in keys)
+    schema = (f"{head}, trees int, degree int, levels array<int>, feature array<int>, cut array<double>, low array<boolean>, "
+              "parent array<int>, above array<int>, share array<double>, value array<double>")
+    bundled = forest.withColumn("_bundle", F.floor(F.col("tree") / F.lit(_TREES_PER_GROUP)))
+    return bundled.groupBy(*keys, "_bundle").applyInPandas(
+        lambda pdf: pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **path_tables(pdf.sort_values("tree"))}]), schema)
 
 
 def forest_attribution(rows: DataFrame, forest: DataFrame, lay: Layout, features: str = "features",
-                       chunk_rows: int = 256) -> DataFrame:
+                       chunk_rows: int = 4096, spread_rows: int = 256) -> DataFrame:
     """Contribution of every feature to each row's mean path length (negative: pushes towards isolation), as an array
-    beside ``base``, the mean path length over the training cover."""
-    def compute(chunk: pd.DataFrame, trees: pd.DataFrame) -> dict:
+    beside ``base``, the mean path length over the training cover; contributions and base add up to ``path_length``.
+
+    Path tables are made once per forest and written.  Below the shipping bound they travel to the tasks once and rows,
+    dealt ``spread_rows`` at a time since little data is much work here, meet them in place; above it they meet chunks of
+    ``chunk_rows`` rows, which outweigh them.
+    """
+    paths = cut_lineage(forest_paths(forest, lay), "forest-paths")
+
+    def compute(chunk: pd.DataFrame, bundles: pd.DataFrame) -> dict:
         x = matrix_of(chunk[features])
-        total, base = np.zeros_like(x), 0.0
-        for _, tree in trees.iterrows():
-            total += tree_contributions(x, tree)
-            value, _, _, _, share = _leaf_paths(tree)
-            base += float((value * share.prod(axis=1)).sum())
-        return {"contributions": list(total / len(trees)), "base": base / len(trees), "path_length": _mean_depth(x, trees)}
-
-    return per_chunk(rows, forest, lay.keys, compute, {"contributions": "array<double>", "base": "double", "path_length": "double"},
-                     drop=(features,), chunk_rows=chunk_rows, ship_bytes=0)  # much work per byte: spread by chunk
+        total, length, base, trees = np.zeros(x.shape), np.zeros(len(x)), 0.0, int(bundles["trees"].sum())
+        for bundle in bundles.to_dict("records"):
+            part, path, mean = path_contributions(x, bundle)
+            total, length, base = total + part, length + path, base + mean
+        return {"contributions": list(total / trees), "base": base / trees, "path_length": length / trees}
+
+    dealt = spread(with_chunk(rows, spread_rows), *lay.keys, "_chunk").drop("_chunk")
+    return per_chunk(dealt, paths, lay.keys, compute, {"contributions": "array<double>", "base": "double", "path_length": "double"},
+                     drop=(features,), chunk_rows=chunk_rows)
 
 
 def sample_rows(df: DataFrame, lay: Layout, size: int, seed: int = 42) -> DataFrame:

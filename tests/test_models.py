@@ -129,7 +129,7 @@ def test_attribution_is_exact(spark):
     x = rng.normal(size=(40, 4))
     grown = forest._grow(x, np.random.default_rng(5), 6)
     got = forest.tree_contributions(x[:6], grown)
-    feature, cut, left, right, cover, depth = forest._arrays(grown)
+    feature, cut, left, right, cover, depth = (grown[c] for c in ("feature", "cut", "left", "right", "cover", "depth"))
     from itertools import combinations
     from math import factorial
 
@@ -148,13 +148,34 @@ def test_attribution_is_exact(spark):
             assert got[i, j] == pytest.approx(want, abs=1e-9)
 
 
-def test_attribution_sums_to_path_length(cloud):
+def test_attributions_of_many_trees_are_the_trees_sums():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 5))
+    x[3, 1] = np.nan  # goes above every cut, as in scoring
+    grown = [forest._grow(x[rng.choice(np.arange(4, 200), 64, replace=False)], np.random.default_rng(i), 6) for i in range(7)]
+    grown.append(forest._grow(x[5:6], np.random.default_rng(1), 1))  # a tree that is one leaf
+    import pandas as pd
+    total, length, base = forest.path_contributions(x, forest.path_tables(pd.DataFrame(grown)), block=64)
+    assert np.allclose(total, sum(forest.tree_contributions(x, t) for t in grown))
+    assert np.allclose(length / len(grown), forest._mean_depth(x, pd.DataFrame(grown)))
+    assert np.allclose(total.sum(axis=1) + base, length)
+    alone, _, at = forest.path_contributions(x, forest.path_tables(pd.DataFrame(grown[-1:])))
+    assert not alone.any() and at == 0.0
+
+
+def test_attribution_sums_to_path_length(cloud, monkeypatch):
     df, _ = cloud
     trees = forest.isolation_forest(n_estimators=15).fit(df.where("split = 'train'").withColumn("pos", F.col("split_pos")), LAY)
     rows = forest.sample_rows(df.where("split = 'test'"), LAY, 20)
     out = forest.forest_attribution(rows, trees, LAY, chunk_rows=8).toPandas()
     assert len(out) == 40
     assert np.allclose(out.contributions.map(sum) + out.base, out.path_length)
+    # Path tables too large to ship meet chunks of rows: the same values.
+    per_chunk, shipped = forest.per_chunk, out.sort_values(["series_id", "ts"])
+    with monkeypatch.context() as patch:
+        patch.setattr(forest, "per_chunk", lambda *a, **k: per_chunk(*a, **{**k, "ship_bytes": 0}))
+        met = forest.forest_attribution(rows, trees, LAY, chunk_rows=8).toPandas().sort_values(["series_id", "ts"])
+    assert np.allclose(np.vstack(met.contributions), np.vstack(shipped.contributions), atol=1e-12)
     top = forest.top_contributions(forest.forest_attribution(rows, trees, LAY), LAY, [f"x{i}" for i in range(6)], top=3)
     assert top.count() == 120 and top.where("rank > 3").count() == 0
 
