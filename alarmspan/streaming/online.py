@@ -3,12 +3,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from alarmspan.functions.stats import EPS
 from alarmspan.operators.features import BUILDERS, PREFIX
@@ -73,59 +74,189 @@ def smoothed(values: np.ndarray, known: np.ndarray, lam: float, start: float | N
     return np.where(known, out, held)
 
 
+@dataclass(frozen=True)
+class AlarmRule:
+    """Smoothing weight, width of the moving limit in deviations, and scores above the limit in a row that make an alarm."""
+    lam: float = 0.2
+    k: float = 3.0
+    persistence: int = 3
+
+    def fold(self, rows: np.ndarray, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        """Output rows of some rows in time order (``_ROW``) after ``state`` (``_STATE``), and the state after them.
+
+        A score that is missing leaves mean and variance as they are and ends a run.
+        """
+        n, seen, mean, var, run, start, _ = state
+        s, known = rows["score"], np.isfinite(rows["score"])
+        means = smoothed(np.where(known, s, 0.0), known, self.lam, mean if seen else None)
+        squares = np.where(known, (s - means) ** 2, 0.0)
+        if not seen and known.any():
+            squares[np.argmax(known)] = 0.0
+        variances = smoothed(squares, known, self.lam, var if seen else None)
+        hit, at = known & (s > rows["limit"]), np.arange(len(s))
+        last_miss = np.maximum.accumulate(np.where(hit, -1, at))
+        runs = np.where(hit, at - last_miss + np.where(last_miss < 0, run, 0), 0)
+        begun = rows["us"][np.minimum(last_miss + 1, len(s) - 1)]
+        if run:
+            begun = np.where(last_miss < 0, start, begun)
+        factor = math.sqrt(self.lam / (2.0 - self.lam))
+        out = pd.DataFrame({
+            "row": n + 1 + at, "us": rows["us"], "score": s, "ewma_mean": means, "ewma_var": variances,
+            "dynamic_limit": means + self.k * (np.sqrt(variances) + EPS) * factor, "run": runs,
+            "run_start_us": pd.Series(begun, dtype="Int64").where(pd.Series(hit)), "alarm": runs >= max(1, self.persistence)})
+        if known.any() or seen:
+            seen, mean, var = True, float(means[-1]), float(variances[-1])
+        return out, (int(n + len(s)), bool(seen), mean, var, int(runs[-1]), int(begun[-1]), int(rows["us"][-1]))
+
+
+_ROW = np.dtype([("us", "<i8"), ("score", "<f8"), ("limit", "<f8")])
+_STATE = "n bigint, seen boolean, mean double, var double, run bigint, start bigint, last bigint"
+_FRESH = (0, False, 0.0, 0.0, 0, 0, 0)
+_FOLDED = ("row bigint, us bigint, score double, ewma_mean double, ewma_var double, dynamic_limit double, run bigint, "
+           "run_start_us bigint, alarm boolean")
+
+
+def in_order(rows: np.ndarray) -> np.ndarray:
+    """By time; rows of one time by score (missing last), then limit, so that arrival decides nothing."""
+    return rows[np.lexsort((rows["limit"], rows["score"], rows["us"]))]
+
+
+def packed_rows(pdf: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(pdf), dtype=_ROW)
+    for name in _ROW.names:
+        out[name] = pdf[name].to_numpy(dtype=_ROW[name])
+    return out
+
+
+class OrderedAlarm(StatefulProcessor):
+    """Rows wait in the bucket of their event time until the watermark has passed its end; then the bucket is put in order
+    and folded into the series' state.
+
+    A trigger's batches are stored as they come, one entry per bucket and batch, and a timer per open bucket opens it, so a
+    task holds one batch or one bucket of one series.  A series that stays silent for ``forget_us`` is forgotten.
+    """
+    def __init__(self, key: str, rule: AlarmRule, bucket_us: int, forget_us: int | None):
+        self.key, self.rule, self.bucket_us, self.forget_us = key, rule, bucket_us, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", _STATE)
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "body binary")
+        self.parts = handle.getMapState("parts", "bucket bigint", "n bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            packed = packed_rows(pdf)
+            bucket_of = packed["us"] // self.bucket_us
+            for bucket in np.unique(bucket_of).tolist():
+                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                if not n:
+                    self.handle.registerTimer((bucket + 1) * self.bucket_us // 1000)
+                self.waiting.updateValue((bucket, n), (packed[bucket_of == bucket].tobytes(),))
+                self.parts.updateValue((bucket,), (n + 1,))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        state = self.state.get() if self.state.exists() else None
+        state = _FRESH if state is None else tuple(state)
+        due = sorted(b for (b,) in self.parts.keys() if (b + 1) * self.bucket_us <= now)
+        for bucket in due:
+            bodies = []
+            for part in range(self.parts.getValue((bucket,))[0]):
+                bodies.append(bytes(self.waiting.getValue((bucket, part))[0]))
+                self.waiting.removeKey((bucket, part))
+            self.parts.removeKey((bucket,))
+            out, state = self.rule.fold(in_order(np.frombuffer(b"".join(bodies), dtype=_ROW)), state)
+            out.insert(0, self.key, key[0])
+            yield out
+        if due:
+            self.state.update(state)
+            if self.forget_us is not None:
+                self.handle.registerTimer(-(-(state[-1] + self.forget_us) // 1000))
+        elif self.forget_us is not None and state[0] and state[-1] + self.forget_us <= now:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def alarm_input(rows: DataFrame, score: str, limit: str, key: str, ts: str) -> DataFrame:
+    """(key, ts, us, score, limit) of the rows that have a time; times as microseconds, which no session zone moves."""
+    return rows.where(F.col(ts).isNotNull()).select(
+        key, ts, F.unix_micros(F.col(ts)).alias("us"), F.col(score).cast("double").alias("score"),
+        F.col(limit).cast("double").alias("limit"))
+
+
+def alarm_output(folded: DataFrame, score: str, key: str, ts: str) -> DataFrame:
+    return folded.select(key, F.timestamp_micros("us").alias(ts), F.col("score").alias(score), "ewma_mean", "ewma_var", "dynamic_limit",
+                         "run", F.timestamp_micros("run_start_us").alias("run_start"), "alarm", "row")
+
+
 def online_alarm(stream: DataFrame, score: str = "score", limit: str = "threshold", lam: float = 0.2, k: float = 3.0,
-                 persistence: int = 3, key: str = "series_id", ts: str = "ts") -> DataFrame:
+                 persistence: int = 3, key: str = "series_id", ts: str = "ts", delay: str = "1 hour",
+                 bucket_seconds: int = 3600, forget_seconds: int | None = None) -> DataFrame:
     """Per row: smoothed mean and variance, the moving limit, and an alarm that fires at the ``persistence``-th
     consecutive score above ``limit`` (it cannot look ahead, so it fires persistence - 1 rows after the run began).
 
-    State per series is five numbers whatever the length of the stream.
+    Rows count in the order of their times, whatever trigger brings them: a row may come up to ``delay`` after later ones,
+    and comes out once the watermark has passed its bucket of ``bucket_seconds``.  Later rows than that, and rows without a
+    time, are dropped.  ``row`` numbers a series' rows.  State per series is seven numbers and the rows of open buckets.
+    When a stream has ended, ``close_alarm`` gives the rows still waiting.
     """
-    factor = math.sqrt(lam / (2.0 - lam))
-    kind = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    output = (f"{key} {kind[key]}, {ts} timestamp, {score} double, ewma_mean double, ewma_var double, dynamic_limit double, "
-              "run bigint, run_start timestamp, alarm boolean")
-    state_type = "seen bigint, mean double, var double, run bigint, run_start timestamp"
-
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, mean, var, run, start = state.get if state.exists else (0, 0.0, 0.0, 0, None)
-        pdf = pd.concat(list(batches)).sort_values(ts)
-        s, limits = pdf[score].to_numpy(dtype=float), pdf[limit].to_numpy(dtype=float)
-        known = np.isfinite(s)
-        # A score that is missing leaves mean and variance as they are.
-        first = seen == 0
-        means = smoothed(np.where(known, s, 0.0), known, lam, None if first else mean)
-        squares = np.where(known, (s - means) ** 2, 0.0)
-        if first and known.any():
-            squares[np.argmax(known)] = 0.0
-        variances = smoothed(squares, known, lam, None if first else var)
-        hit = known & (s > limits)
-        at = np.arange(len(s))
-        last_miss = np.maximum.accumulate(np.where(hit, -1, at)) if len(s) else at
-        runs = np.where(hit, at - last_miss + np.where(last_miss < 0, run, 0), 0)
-        begun = pdf[ts].to_numpy()[np.minimum(last_miss + 1, len(s) - 1)]
-        if run and start is not None:
-            begun = np.where(last_miss < 0, np.datetime64(pd.Timestamp(start)), begun)
-        starts = pd.Series(begun).where(hit)
-        out = pd.DataFrame({key: group[0], ts: pdf[ts].to_numpy(), score: s, "ewma_mean": means, "ewma_var": variances,
-                            "dynamic_limit": means + k * (np.sqrt(variances) + EPS) * factor, "run": runs,
-                            "run_start": starts.to_numpy(), "alarm": runs >= max(1, persistence)})
-        end = None if not runs[-1] else pd.Timestamp(starts.iloc[-1]).to_pydatetime()
-        if seen or known.any():
-            mean, var = float(means[-1]), float(variances[-1])
-        state.update((seen + int(known.sum()), mean, var, int(runs[-1]), end))
-        yield out
-
-    rows = stream.select(key, ts, F.col(score).cast("double").alias(score), F.col(limit).cast("double").alias(limit))
-    return rows.groupBy(key).applyInPandasWithState(step, output, state_type, "append", GroupStateTimeout.NoTimeout)
+    rows = alarm_input(stream.withWatermark(ts, delay), score, limit, key, ts)
+    kind = stream.schema[key].dataType.simpleString()
+    processor = OrderedAlarm(key, AlarmRule(lam, k, persistence), bucket_seconds * 1_000_000,
+                             None if forget_seconds is None else forget_seconds * 1_000_000)
+    folded = rows.groupBy(key).transformWithStateInPandas(processor, f"`{key}` {kind}, {_FOLDED}", "append", "eventTime")
+    return alarm_output(folded, score, key, ts)
+
+
+def close_alarm(rows: DataFrame, emitted: DataFrame, score: str = "score", limit: str = "threshold", lam: float = 0.2,
+                k: float = 3.0, persistence: int = 3, key: str = "series_id", ts: str = "ts", bucket_seconds: int = 3600) -> DataFrame:
+    """The rows that ``online_alarm`` over the same input left waiting when it ended: those in buckets after each series' last
+    one that came out, folded on from its last row, which holds the whole state."""
+    bucket = lambda us: F.floor(us / F.lit(bucket_seconds * 1_000_000))
+    last = emitted.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(
+        F.col("row").alias("n"), "ewma_mean", "ewma_var", "run", F.unix_micros("run_start").alias("start"),
+        F.unix_micros(F.col(ts)).alias("last")), "row").alias("_last"))
+    asked = alarm_input(rows, score, limit, key, ts)
+    waiting = (asked.join(last, asked[key].eqNullSafe(F.col("_key")), "left")
+                    .where(F.col("_last").isNull() | (bucket(F.col("us")) > bucket(F.col("_last.last"))))
+                    .select(key, "us", "score", "limit", *[F.col(f"_last.{c}").alias(c) for c in ("n", "ewma_mean", "ewma_var", "run", "start", "last")]))
+    kind, rule = rows.schema[key].dataType.simpleString(), AlarmRule(lam, k, persistence)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, state = pdf.iloc[0], _FRESH
+        if not pd.isna(first["n"]):
+            seen = not pd.isna(first["ewma_mean"])
+            state = (int(first["n"]), seen, float(first["ewma_mean"]) if seen else 0.0, float(first["ewma_var"]) if seen else 0.0,
+                     int(first["run"]), 0 if pd.isna(first["start"]) else int(first["start"]), int(first["last"]))
+        out, _ = rule.fold(in_order(packed_rows(pdf)), state)
+        out.insert(0, key, first[key])
+        return out
+    return alarm_output(waiting.groupBy(key).applyInPandas(fold, f"`{key}` {kind}, {_FOLDED}"), score, key, ts)
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a Parquet table in the shared folder and read it back."""
+    """Process everything available into a Parquet table in the shared folder and read it back.
+
+    State lives in a store that keeps several named states and timers; the session's own setting is put back.
+    """
     spark = stream.sparkSession
     out, marks = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
-    query = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-             .option("checkpointLocation", marks).trigger(availableNow=True).start())
-    query.awaitTermination()
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        query = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+                 .option("checkpointLocation", marks).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
     return spark.read.schema(stream.schema).parquet(out)
 
 

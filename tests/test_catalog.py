@@ -80,7 +80,10 @@ def test_stream_in_many_batches_equals_one(spark, tmp_path):
         rows = online.file_stream(spark, folder, "*.parquet", per_batch)
         stream = rows.select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"),
                              F.col("value").alias("score"), F.lit(15.0).alias("threshold"))
-        alarm = online.run_available(online.online_alarm(stream), "t-alarm").orderBy("series_id", "ts").toPandas()
+        alarm = online.run_available(online.online_alarm(stream), "t-alarm")
+        alarm = alarm.unionByName(online.close_alarm(spark.read.parquet(f"{folder}/*.parquet").select(
+            F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"),
+            F.lit(15.0).alias("threshold")), alarm)).orderBy("series_id", "row").toPandas()
         grid = online.run_available(online.stream_resample(stream, ["score"], "6 hours", "1 hour"), "t-grid")
         return alarm, grid.orderBy("series_id", "ts").toPandas()
     (a1, g1), (a4, g4) = run(None), run(1)
