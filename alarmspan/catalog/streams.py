@@ -58,7 +58,7 @@ def stream_alarm(spark, sf):
     df, lay = v.readings(spark, sf)
     limits = quantile_table(df, lay, F.col("value"), {"threshold": 0.6})
     stream = event_stream(spark, sf).join(limits, "series_id").withColumnRenamed("value", "score")
-    out = online.run_available(online.online_alarm(stream, bucket_seconds=86_400), "stream-alarm")
+    out = online.run_available(online.online_alarm(stream), "stream-alarm")
     stored = stored_events(spark, sf).join(limits, "series_id").withColumnRenamed("value", "score")
-    rest = online.close_alarm(stored, out, bucket_seconds=86_400)
+    rest = online.close_alarm(stored, out)
     return out.unionByName(rest).select("series_id", stamp("ts").alias("ts"), r6("ewma_mean").alias("ewma_mean"), r6("dynamic_limit").alias("dynamic_limit"), "run", "alarm")

@@ -76,16 +76,30 @@ def smoothed(values: np.ndarray, known: np.ndarray, lam: float, start: float | N
 
 @dataclass(frozen=True)
 class AlarmRule:
-    """Smoothing weight, width of the moving limit in deviations, and scores above the limit in a row that make an alarm."""
+    """Smoothing weight, width of the moving limit in deviations, scores above the limit in a row that make an alarm, and
+    the silence in microseconds after which a series begins anew."""
     lam: float = 0.2
     k: float = 3.0
     persistence: int = 3
+    forget_us: int | None = None
 
     def fold(self, rows: np.ndarray, state: tuple) -> tuple[pd.DataFrame, tuple]:
         """Output rows of some rows in time order (``_ROW``) after ``state`` (``_STATE``), and the state after them.
 
         A score that is missing leaves mean and variance as they are and ends a run.
         """
+        if self.forget_us is None:
+            return self._fold(rows, state)
+        before = np.concatenate([[state[-1] if state[0] else rows["us"][0]], rows["us"][:-1]])
+        made = []
+        for part in np.split(rows, np.flatnonzero(rows["us"] - before > self.forget_us)):
+            if len(part):
+                fresh = state[0] and part["us"][0] - state[-1] > self.forget_us
+                out, state = self._fold(part, _FRESH if fresh else state)
+                made.append(out)
+        return pd.concat(made, ignore_index=True), state
+
+    def _fold(self, rows: np.ndarray, state: tuple) -> tuple[pd.DataFrame, tuple]:
         n, seen, mean, var, run, start, _ = state
         s, known = rows["score"], np.isfinite(rows["score"])
         means = smoothed(np.where(known, s, 0.0), known, self.lam, mean if seen else None)
@@ -128,54 +142,83 @@ def packed_rows(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
+_PIECE = np.dtype([("first", "<i8"), ("id", "<i8")])
+
+
 class OrderedAlarm(StatefulProcessor):
-    """Rows wait in the bucket of their event time until the watermark has passed its end; then the bucket is put in order
-    and folded into the series' state.
+    """Rows wait in pieces, each a stretch of one batch in time order, until the watermark has passed them; then they are
+    merged in order and folded into the series' state.
 
-    A trigger's batches are stored as they come, one entry per bucket and batch, and a timer per open bucket opens it, so a
-    task holds one batch or one bucket of one series.  A series that stays silent for ``forget_us`` is forgotten.
+    A timer stands at a series' earliest waiting row.  When it fires, pieces are read by their first times and rows leave
+    as soon as no unread piece can hold an earlier one, so a task holds one batch, or the pieces that overlap in time.
+    The state of a series that stays silent for longer than the rule remembers is removed.
     """
-    def __init__(self, key: str, rule: AlarmRule, bucket_us: int, forget_us: int | None):
-        self.key, self.rule, self.bucket_us, self.forget_us = key, rule, bucket_us, forget_us
+    piece_rows = 8192
+
+    def __init__(self, key: str, rule: AlarmRule):
+        self.key, self.rule, self.piece_rows = key, rule, self.piece_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", _STATE)
-        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "body binary")
-        self.parts = handle.getMapState("parts", "bucket bigint", "n bigint")
+        self.index = handle.getValueState("index", "pieces binary, next_id bigint")
+        self.waiting = handle.getMapState("waiting", "id bigint", "body binary")
+
+    def pieces(self) -> tuple[np.ndarray, int]:
+        found = self.index.get()
+        return (np.empty(0, _PIECE), 0) if found is None else (np.frombuffer(bytes(found[0]), _PIECE), found[1])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, at = self.pieces()
+        added = []
         for pdf in rows:
-            packed = packed_rows(pdf)
-            bucket_of = packed["us"] // self.bucket_us
-            for bucket in np.unique(bucket_of).tolist():
-                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
-                if not n:
-                    self.handle.registerTimer((bucket + 1) * self.bucket_us // 1000)
-                self.waiting.updateValue((bucket, n), (packed[bucket_of == bucket].tobytes(),))
-                self.parts.updateValue((bucket,), (n + 1,))
+            packed = in_order(packed_rows(pdf))
+            for start in range(0, len(packed), self.piece_rows):
+                self.waiting.updateValue((at,), (packed[start:start + self.piece_rows].tobytes(),))
+                added.append((int(packed["us"][start]), at))
+                at += 1
+        if added:
+            if not len(held) or min(added)[0] < held["first"].min():
+                self.handle.registerTimer(min(added)[0] // 1000 + 1)
+            self.index.update((np.concatenate([held, np.array(added, _PIECE)]).tobytes(), at))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        state = self.state.get() if self.state.exists() else None
-        state = _FRESH if state is None else tuple(state)
-        due = sorted(b for (b,) in self.parts.keys() if (b + 1) * self.bucket_us <= now)
-        for bucket in due:
-            bodies = []
-            for part in range(self.parts.getValue((bucket,))[0]):
-                bodies.append(bytes(self.waiting.getValue((bucket, part))[0]))
-                self.waiting.removeKey((bucket, part))
-            self.parts.removeKey((bucket,))
-            out, state = self.rule.fold(in_order(np.frombuffer(b"".join(bodies), dtype=_ROW)), state)
-            out.insert(0, self.key, key[0])
-            yield out
-        if due:
-            self.state.update(state)
-            if self.forget_us is not None:
-                self.handle.registerTimer(-(-(state[-1] + self.forget_us) // 1000))
-        elif self.forget_us is not None and state[0] and state[-1] + self.forget_us <= now:
-            self.state.clear()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held, at = self.pieces()
+        held = held[np.argsort(held["first"], kind="stable")]
+        state, due = self.state.get(), int(np.searchsorted(held["first"], now, side="right"))
+        if not due:
+            if state is not None and self.rule.forget_us is not None:
+                end = state[-1] + self.rule.forget_us
+                if end < now and (not len(held) or end < held["first"][0]):
+                    self.state.clear()
+            return
+        state, pool = _FRESH if state is None else tuple(state), np.empty(0, _ROW)
+        for i in range(due):
+            ident = (int(held["id"][i]),)
+            pool = in_order(np.concatenate([pool, np.frombuffer(bytes(self.waiting.getValue(ident)[0]), _ROW)]))
+            self.waiting.removeKey(ident)
+            # Later pieces may start at the same time as the next one does.
+            final = now + 1 if i + 1 == due else min(now + 1, int(held["first"][i + 1]))
+            n = int(np.searchsorted(pool["us"], final))
+            if n and (n >= self.piece_rows or i + 1 == due):
+                out, state = self.rule.fold(pool[:n], state)
+                pool = pool[n:]
+                out.insert(0, self.key, key[0])
+                yield out
+        held = held[due:]
+        if len(pool):
+            self.waiting.updateValue((at,), (pool.tobytes(),))
+            held, at = np.concatenate([np.array([(int(pool["us"][0]), at)], _PIECE), held]), at + 1
+        self.state.update(state)
+        if len(held):
+            self.index.update((held.tobytes(), at))
+            self.handle.registerTimer(int(held["first"].min()) // 1000 + 1)
+        else:
+            self.index.clear()
+        if self.rule.forget_us is not None:
+            self.handle.registerTimer((state[-1] + self.rule.forget_us) // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -195,36 +238,36 @@ def alarm_output(folded: DataFrame, score: str, key: str, ts: str) -> DataFrame:
 
 def online_alarm(stream: DataFrame, score: str = "score", limit: str = "threshold", lam: float = 0.2, k: float = 3.0,
                  persistence: int = 3, key: str = "series_id", ts: str = "ts", delay: str = "1 hour",
-                 bucket_seconds: int = 3600, forget_seconds: int | None = None) -> DataFrame:
+                 forget_seconds: int | None = None) -> DataFrame:
     """Per row: smoothed mean and variance, the moving limit, and an alarm that fires at the ``persistence``-th
     consecutive score above ``limit`` (it cannot look ahead, so it fires persistence - 1 rows after the run began).
 
     Rows count in the order of their times, whatever trigger brings them: a row may come up to ``delay`` after later ones,
-    and comes out once the watermark has passed its bucket of ``bucket_seconds``.  Later rows than that, and rows without a
-    time, are dropped.  ``row`` numbers a series' rows.  State per series is seven numbers and the rows of open buckets.
+    and comes out once the watermark has passed it.  Later rows than that, and rows without a time, are dropped.  ``row``
+    numbers a series' rows.  State per series is seven numbers and the rows that wait; a series begins anew
+    after more than ``forget_seconds`` without a row.
     When a stream has ended, ``close_alarm`` gives the rows still waiting.
     """
     rows = alarm_input(stream.withWatermark(ts, delay), score, limit, key, ts)
     kind = stream.schema[key].dataType.simpleString()
-    processor = OrderedAlarm(key, AlarmRule(lam, k, persistence), bucket_seconds * 1_000_000,
-                             None if forget_seconds is None else forget_seconds * 1_000_000)
+    processor = OrderedAlarm(key, AlarmRule(lam, k, persistence, None if forget_seconds is None else forget_seconds * 1_000_000))
     folded = rows.groupBy(key).transformWithStateInPandas(processor, f"`{key}` {kind}, {_FOLDED}", "append", "eventTime")
     return alarm_output(folded, score, key, ts)
 
 
 def close_alarm(rows: DataFrame, emitted: DataFrame, score: str = "score", limit: str = "threshold", lam: float = 0.2,
-                k: float = 3.0, persistence: int = 3, key: str = "series_id", ts: str = "ts", bucket_seconds: int = 3600) -> DataFrame:
-    """The rows that ``online_alarm`` over the same input left waiting when it ended: those in buckets after each series' last
-    one that came out, folded on from its last row, which holds the whole state."""
-    bucket = lambda us: F.floor(us / F.lit(bucket_seconds * 1_000_000))
+                k: float = 3.0, persistence: int = 3, key: str = "series_id", ts: str = "ts", forget_seconds: int | None = None) -> DataFrame:
+    """The rows that ``online_alarm`` over the same input left waiting when it ended: those later than each series' last one
+    that came out, folded on from that row, which holds the whole state."""
     last = emitted.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(
         F.col("row").alias("n"), "ewma_mean", "ewma_var", "run", F.unix_micros("run_start").alias("start"),
-        F.unix_micros(F.col(ts)).alias("last")), "row").alias("_last"))
+        F.unix_micros(F.col(ts)).alias("last")), F.struct(ts, "row")).alias("_last"))
     asked = alarm_input(rows, score, limit, key, ts)
     waiting = (asked.join(last, asked[key].eqNullSafe(F.col("_key")), "left")
-                    .where(F.col("_last").isNull() | (bucket(F.col("us")) > bucket(F.col("_last.last"))))
+                    .where(F.col("_last").isNull() | (F.col("us") > F.col("_last.last")))
                     .select(key, "us", "score", "limit", *[F.col(f"_last.{c}").alias(c) for c in ("n", "ewma_mean", "ewma_var", "run", "start", "last")]))
-    kind, rule = rows.schema[key].dataType.simpleString(), AlarmRule(lam, k, persistence)
+    kind = rows.schema[key].dataType.simpleString()
+    rule = AlarmRule(lam, k, persistence, None if forget_seconds is None else forget_seconds * 1_000_000)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         first, state = pdf.iloc[0], _FRESH

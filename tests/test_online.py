@@ -55,7 +55,7 @@ def late(spark, tmp_path_factory):
     write_files(spark, folder, [arrived.iloc[i:i + 75] for i in range(0, len(arrived), 75)])
     assert (arrived.ts.iloc[75:150].min() < arrived.ts.iloc[:75].max())
     stream = online.file_stream(spark, folder, "*.parquet", 1)
-    return pdf, spark.read.parquet(f"{folder}/*.parquet"), online.run_available(online.online_alarm(stream, bucket_seconds=900), "t-late")
+    return pdf, spark.read.parquet(f"{folder}/*.parquet"), online.run_available(online.online_alarm(stream), "t-late")
 
 
 def same(got, want):
@@ -70,11 +70,24 @@ def same(got, want):
 
 def test_rows_late_across_triggers_give_the_batch_result(late):
     pdf, stored, out = late
-    rest = online.close_alarm(stored, out, bucket_seconds=900)
+    rest = online.close_alarm(stored, out)
     assert out.count() > 500 and rest.count() > 0 and out.count() + rest.count() == len(pdf)
     same(out.unionByName(rest).toPandas(), wanted(pdf))
 
 
+def test_small_pieces_merge_to_the_same_rows(spark, late, tmp_path, monkeypatch):
+    """A trigger's rows in many pieces, some of which lie partly behind the watermark."""
+    monkeypatch.setattr(online.OrderedAlarm, "piece_rows", 7)
+    pdf, stored, _ = late
+    write_files(spark, str(tmp_path / "in"), [pdf.iloc[i::3] for i in range(3)])
+    stream = online.file_stream(spark, str(tmp_path / "in"), "*.parquet", 2)
+    out = online.run_available(online.online_alarm(stream, delay="2 days"), "t-pieces")
+    early = online.run_available(online.online_alarm(online.file_stream(spark, str(tmp_path / "in"), "*.parquet"), delay="5 hours"), "t-early")
+    assert out.count() == 0 and 400 < early.count() < len(pdf)
+    for got in (out, early):
+        same(got.unionByName(online.close_alarm(stored, got)).toPandas(), wanted(pdf))
+
+
 def test_closing_alone_is_the_batch_result(late):
     pdf, stored, out = late
     same(online.close_alarm(stored, out.limit(0)).toPandas(), wanted(pdf))
@@ -97,4 +110,7 @@ def test_a_silent_series_is_forgotten_and_later_rows_dropped(spark, tmp_path):
     assert a.row.tolist() == [1, 1] and a.run.tolist() == [1, 1]  # begun anew; the row of hour 2 came after the watermark
     assert 9.0 not in out.score.tolist()
     b = out[out.series_id == "b"].sort_values("ts")
-    assert b.row.tolist()[:2] == [1, 2]
+    assert b.row.tolist() == [1, 2, 3, 1]
+    stored = spark.read.parquet(f"{tmp_path}/in/*.parquet").where("score < 9")
+    whole = online.close_alarm(stored, spark.createDataFrame(out).limit(0), forget_seconds=20 * 3600).toPandas()
+    assert whole.sort_values(["series_id", "ts"]).row.tolist() == [1, 1, 1, 2, 3, 1, 1]
