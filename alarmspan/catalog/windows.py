@@ -10,9 +10,10 @@ from alarmspan.catalog import views as v
 from alarmspan.catalog.registry import query, r6, sql_r6, sql_stamp, stamp
 from alarmspan.config import ExperimentConfig, ModelConfig, SamplingConfig
 from alarmspan.functions.timeparse import hours_to_failure
-from alarmspan.operators import asof, clean, features
+from alarmspan.detectors.base import build_detectors
+from alarmspan.operators import asof, clean, features, uncertainty
 from alarmspan.operators.ordered import settle, with_position
-from alarmspan.plans import pipeline, sweeps
+from alarmspan.plans import evaluate, pipeline, sweeps
 from alarmspan.session import cut_lineage
 
 CH = list(v.CHANNELS)
@@ -288,7 +289,18 @@ sw AS (SELECT {RK}, method, round(effective_interval_min, 2) AS effective_interv
     f"{sql_r6('far_pct', 2)} AS far_pct, {sql_stamp('fat')} AS fat, valid_alarm, n_test_windows FROM sw"))
 def sampling_sweep(spark, sf):
     df, lay = v.machine_log(spark, sf)
-    out = sweeps.sampling_sweep(df, lay, ["value"])
+    return _sweep_columns(sweeps.sampling_sweep(df, lay, ["value"]))
+
+
+@query("model_sweep")
+def model_sweep(spark, sf):
+    """The sweep with every configured method; its closed-form rows are those of ``sampling_sweep``."""
+    df, lay = v.machine_log(spark, sf)
+    cfg = ModelConfig()
+    return _sweep_columns(sweeps.sampling_sweep(df, lay, ["value"], methods=cfg.methods, options=cfg.params))
+
+
+def _sweep_columns(out):
     return out.select("series_id", "mode", "factor", "method", r6("effective_interval_min", 2).alias("effective_interval_min"),
                       r6("vlt_hours", 2).alias("vlt_hours"), r6("vlt_norm", 4).alias("vlt_norm"),
                       r6("available_lead_hours", 2).alias("available_lead_hours"), r6("far_pct", 2).alias("far_pct"),
@@ -351,3 +363,38 @@ def scale_comparison(spark, sf):
     runs = df.groupBy("series_id").agg(F.any_value("failure_time").alias("failure_time"))
     out = pipeline.scale_metrics(df.drop("failure_time"), lay, ["value"], runs, _WINDOW_SCALES, _CLOSED)
     return out.select("scale", *_summary(out))
+
+
+def _experiment(spark, sf):
+    df, lay = v.machine_log(spark, sf)
+    return df.drop("failure_time"), lay, df.groupBy("series_id").agg(F.any_value("failure_time").alias("failure_time"))
+
+
+@query("model_experiment")
+def model_experiment(spark, sf):
+    """Every configured method on the windows of ``experiment_metrics``."""
+    df, lay, runs = _experiment(spark, sf)
+    rows, _ = pipeline.feature_pipeline(df, lay, ["value"], window=30)
+    out = pipeline.compare_methods(rows, lay, runs, ExperimentConfig())
+    return out.select(*_summary(out), r6("threshold", 4).alias("threshold"))
+
+
+@query("model_scales")
+def model_scales(spark, sf):
+    """Every configured method at the scales of ``scale_comparison``."""
+    df, lay, runs = _experiment(spark, sf)
+    out = pipeline.scale_metrics(df, lay, ["value"], runs, _WINDOW_SCALES)
+    return out.select("scale", *_summary(out))
+
+
+@query("conformal_forest")
+def conformal_forest(spark, sf):
+    """Forest scores to conformal p-values, persistent alarms below 0.05, and their lead and false-alarm rate."""
+    df, lay, runs = _experiment(spark, sf)
+    rows, _ = pipeline.feature_pipeline(df, lay, ["value"], window=30)
+    cfg = ModelConfig()
+    detector, = build_detectors(("isolation_forest",), "features", cfg.params)
+    rows = settle(rows, lay, "features")
+    p_values = uncertainty.conformal_pvalues(uncertainty.conformal_calibrate(detector, rows, lay), lay)
+    out = evaluate.conformal_metrics(p_values.join(runs, "series_id"), lay, 0.05).withColumn("method", F.lit("conformal_forest"))
+    return out.select(*_summary(out), r6("threshold", 4).alias("threshold"))

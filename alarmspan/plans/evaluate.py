@@ -17,6 +17,7 @@ from alarmspan.operators.ordered import ewma, settle, with_totals
 from alarmspan.operators.quantile import quantile_table, with_quantiles
 from alarmspan.operators.split import normal_end_row, temporal_split
 from alarmspan.operators.thresholds import compute_threshold
+from alarmspan.operators.uncertainty import conformal_alarm
 
 log = logging.getLogger(__name__)
 
@@ -107,6 +108,14 @@ def evaluate_scores(scored: DataFrame, lay: Layout, cfg: ThresholdConfig = Thres
     return metrics_table(alarms, lay, extra)
 
 
+def conformal_metrics(p_values: DataFrame, lay: Layout, alpha: float = 0.05, persistence: int = ThresholdConfig().persistence,
+                      normal_fraction: float = SplitConfig().normal_period_fraction) -> DataFrame:
+    """Lead time and false-alarm rate of alarms on test rows whose ``p_value`` stays below ``alpha``."""
+    test = with_totals(p_values, lay, {"normal_end": F.max(F.when(normal_end_row(normal_fraction), F.col(lay.order)))})
+    alarms = conformal_alarm(test.withColumn("threshold", F.lit(float(alpha))), lay, alpha, persistence)
+    return metrics_table(alarms, lay)
+
+
 def summary(metrics_df: DataFrame) -> DataFrame:
     """Reported form: rounded figures, best lead first."""
     return (metrics_df.withColumns({"vlt_hours": F.round("vlt_hours", 2), "far_pct": F.round("far_pct", 2),

@@ -46,6 +46,7 @@ def test_entry(spark):
 
 PYTHON_QUERIES = {"pair_p_values", "hotelling_t2", "t2_limits", "isolation_forest", "one_class_rff", "sequence_error",
                   "forest_attribution", "bootstrap_forest", "model_comparison", "health_alert", "event_summary",
+                  "model_sweep", "model_experiment", "model_scales", "conformal_forest",
                   "lagged_ccf", "lead_lag", "influence_summary"}  # lags by convolution
 STREAMS = {"stream_resample", "stream_features", "stream_alarm"}
 
@@ -92,3 +93,24 @@ def test_stream_in_many_batches_equals_one(spark, tmp_path):
     pd.testing.assert_frame_equal(g1, g4)
     fired = a1[a1.alarm & (a1.run == 3)]
     assert len(fired) and (fired.run_start < fired.ts).all()
+
+
+@pytest.mark.parametrize("models, closed, keys", [
+    ("model_experiment", "experiment_metrics", ["series_id", "method"]),
+    ("model_sweep", "sampling_sweep", ["series_id", "mode", "factor", "method"])])
+def test_all_methods_hold_the_closed_form_rows(spark, models, closed, keys):
+    """The query over all methods gives the rows that SQL confirms for two of them, and as many for each other method."""
+    import pandas as pd
+    from alarmspan.config import ModelConfig
+    every = QUERIES[models](spark, SF).toPandas().sort_values(keys)
+    two = QUERIES[closed](spark, SF).toPandas().sort_values(keys)
+    assert len(two) and set(every.method) == set(ModelConfig().methods)
+    pd.testing.assert_frame_equal(every[every.method.isin(two.method)].reset_index(drop=True), two.reset_index(drop=True))
+    assert every.groupby("method").size().nunique() == 1 and every.far_pct.between(0, 100).all()
+    assert ((every.vlt_hours > 0) | ~every.valid_alarm).all()
+
+
+def test_conformal_forest_alarms_on_small_p_values(spark):
+    out = QUERIES["conformal_forest"](spark, SF).toPandas()
+    assert out.series_id.is_unique and (out.threshold == 0.05).all() and out.far_pct.between(0, 100).all()
+    assert (out.valid_alarm == (out.vlt_hours > 0)).all() and out[out.valid_alarm].fat.notna().all()
