@@ -515,3 +515,22 @@ def test_training_bounds_hold_for_rows_that_repeat(spark):
     few = sample(sample_docs=50, longest=700)
     assert len(few) == 50 and max(len(r["text"]) for r in few) <= 700
     assert sum(len(r["text"]) for r in sample(sample_chars=5_000, longest=10 ** 6)) <= 5_000
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 60)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 60_000)
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words, 20)) + (f" vile{i % 9}" if i % 4 == 0 else ""), "en") for i in range(500)]
+    long_id = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame(rows + [(long_id, "harmless " * 20_000 + "onlyhere", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, *_ in rows] + [(long_id, 1)], "doc_id long, toxic int")
+    read = toxicity.labelled_rows(docs, labels, "doc_id", "text", "lang", "toxic").collect()
+    outside = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(read) == len(outside) + 1 and max(len(r["text"]) for r in read) > 160_000 and len({r["shard"] for r in read}) > 4
+    net = toxicity.fit_on(docs, labels)
+    again = toxicity.fit_on(docs.repartition(5), labels)
+    assert np.allclose(net.embedding, again.embedding, atol=1e-5)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, net).collect()}
+    assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i, *_ in rows]) > 0.97
