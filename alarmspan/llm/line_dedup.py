@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,41 +13,89 @@ from pyspark.sql import functions as F
 from alarmspan.llm.common import renamed
 from alarmspan.session import cut_lineage
 
-_PRINTS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32()),
-                     ("at", pa.int32()), ("line_hash", pa.int64()), ("window_hash", pa.int64())])
+# A line with words: its number and its 128-bit digest.  A window: its first and last line, counted from a stretch's start.
+_LINE = np.dtype([("line", "<i4"), ("digest", "V16")])
+_SPAN = np.dtype([("start", "<i4"), ("end", "<i4")])
+_PRINTS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("line_hash", pa.int64()),
+                     ("before", pa.int32()), ("lines", pa.binary()), ("spans", pa.binary())])
 
 
-def windows(text: str | None, least_words: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(first line, last line, line of the smallest hash, that hash, hash of the window) per line that opens a window.
-
-    A window is the shortest run of lines from there with ``least_words`` words.  Lines without words take no part, but
-    lie inside a window that spans them.  The window's smallest line hash (the first, on a tie) is its fingerprint: it
-    depends on the window alone, so two places that share a window share its fingerprint, wherever they stand.
-    """
+def worded_lines(text: str | None) -> tuple[list[int], list[bytes], list[int]]:
+    """Numbers, digests and word counts of the lines that have words."""
     import xxhash
     lines = [(i, line, len(line.split())) for i, line in enumerate((text or "").encode().split(b"\n"))]
     lines = [x for x in lines if x[2]]
-    hashes = [xxhash.xxh64_intdigest(line, 7) >> 1 for _, line, _ in lines]
+    return [x[0] for x in lines], [xxhash.xxh3_128_digest(x[1], 7) for x in lines], [x[2] for x in lines]
+
+
+def smallest_lines(hashes: list[int], words: list[int], least_words: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, place of the smallest hash, the first on a tie) of every window, as indices of lines with words."""
     smallest: deque[int] = deque()  # rising hashes of the current window
-    end = words = 0
-    for start in range(len(lines)):
-        while end < len(lines) and words < least_words:
+    end = held = 0
+    for start in range(len(hashes)):
+        while end < len(hashes) and held < least_words:
             while smallest and hashes[smallest[-1]] > hashes[end]:
                 smallest.pop()
             smallest.append(end)
-            words += lines[end][2]
+            held += words[end]
             end += 1
-        if words < least_words:
+        if held < least_words:
             return
-        whole = xxhash.xxh64_intdigest(b"\n".join([lines[k][1] for k in range(start, end)]), 8) >> 1
-        yield lines[start][0], lines[end - 1][0], lines[smallest[0]][0], hashes[smallest[0]], whole
-        words -= lines[start][2]
+        yield start, end - 1, smallest[0]
+        held -= words[start]
         if smallest[0] == start:
             smallest.popleft()
 
 
+def line_hashes(digests: list[bytes]) -> list[int]:
+    return [int.from_bytes(d[:8], "little") >> 1 for d in digests]
+
+
+def windows(text: str | None, least_words: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(first line, last line, line of the smallest hash, that hash, the window's digest) per line that opens a window.
+
+    A window is the shortest run of lines from there with ``least_words`` words.  Lines without words take no part, but
+    lie inside a window that spans them.  The window's smallest line hash (the first, on a tie) is its fingerprint: it
+    depends on the window alone, so two places that share a window share its fingerprint, wherever they stand.
+    """
+    numbers, digests, words = worded_lines(text)
+    hashes = line_hashes(digests)
+    for start, end, at in smallest_lines(hashes, words, least_words):
+        yield numbers[start], numbers[end], numbers[at], hashes[at], window_digest(b"".join(digests[start:end + 1]))
+
+
+def window_digest(digests: bytes) -> bytes:
+    import xxhash
+    return xxhash.xxh3_128_digest(digests, 8)
+
+
+def selected(text: str | None, least_words: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """The text's fingerprints, each place once: (line, its hash, lines before it in its stretch, stretch, windows).
+
+    The stretch is what the windows that select the line span together, fewer than twice ``least_words`` lines.
+    """
+    numbers, digests, words = worded_lines(text)
+    hashes = line_hashes(digests)
+    held: list[tuple[int, int]] = []
+
+    def place(at: int) -> tuple[int, int, int, bytes, bytes]:
+        a, b = held[0][0], held[-1][1] + 1
+        lines = np.array(list(zip(numbers[a:b], digests[a:b])), _LINE)
+        return numbers[at], hashes[at], at - a, lines.tobytes(), (np.array(held, np.int32) - a).astype("<i4").tobytes()
+
+    last = -1
+    for start, end, at in smallest_lines(hashes, words, least_words):
+        if held and at != last:
+            yield place(last)
+            held = []
+        held.append((start, end))
+        last = at
+    if held:
+        yield place(last)
+
+
 def fingerprints(docs: DataFrame, least_words: int) -> DataFrame:
-    """Fingerprints of ``docs`` (doc, row, text): one row per window."""
+    """Fingerprints of ``docs`` (doc, row, text): one row per place that some window selects."""
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
@@ -57,29 +106,71 @@ def fingerprints(docs: DataFrame, least_words: int) -> DataFrame:
 
         for received in batches:
             for doc, row, text in zip(received.column(0).to_pylist(), received.column(1).to_pylist(), received.column(2)):
-                rows += [(doc, row, first, last, at, h, w) for first, last, at, h, w in windows(text.as_py(), least_words)]
-                if len(rows) >= 50_000:
-                    yield batch()
+                for found in selected(text.as_py(), least_words):
+                    rows.append((doc, row, *found))
+                    if len(rows) >= 20_000:
+                        yield batch()
         if rows:
             yield batch()
-    return docs.mapInArrow(select, "doc long, row long, first int, last int, at int, line_hash long, window_hash long")
+    return docs.mapInArrow(select, "doc long, row long, at int, line_hash long, before int, lines binary, spans binary")
+
+
+def extended(before: int, lines: bytes, spans: bytes, other_before: int, others: bytes) -> tuple[tuple[int, int] | None, list]:
+    """A match grown line by line, both ways, as far as the two stretches agree: its (first, last) line in whole windows, and
+    (first, last, digest) of the windows that it does not hold.
+
+    A stretch holds every window that selects its fingerprint.  Where a match goes on beyond it, the next fingerprint does,
+    since the windows overlap.
+    """
+    mine, theirs = np.frombuffer(lines, _LINE), np.frombuffer(others, _LINE)
+    digests, held = mine["digest"].tolist(), theirs["digest"].tolist()
+    low = high = 0
+    while low < min(before, other_before) and digests[before - low - 1] == held[other_before - low - 1]:
+        low += 1
+    while high < min(len(mine) - before, len(theirs) - other_before) and digests[before + high] == held[other_before + high]:
+        high += 1
+    low, high = before - low, before + high - 1
+    inside, rest = [], []
+    for start, end in np.frombuffer(spans, _SPAN).tolist():
+        first, last = int(mine["line"][start]), int(mine["line"][end])
+        if low <= start and end <= high:
+            inside.append((first, last))
+        else:
+            rest.append((first, last, window_digest(b"".join(digests[start:end + 1]))))
+    return (inside[0][0], inside[-1][1]) if inside else None, rest
 
 
 def repeated_runs(docs: DataFrame, least_words: int) -> DataFrame:
     """(doc, row, runs): runs of lines (first, last) of ``docs`` (doc, row, text) that stood earlier in the same words.
 
-    A fingerprint is joined to the earliest place of the same line hash in the same window; a later place matches there.
-    Matches grow both ways through the windows before and after, which overlap: whatever a match could be extended by is
-    itself in a window that stood earlier, so the union of matched windows is the extended run.  Joining each place to the
-    earliest only keeps the join linear however often a passage comes; hot passages are one row on one side, and the
-    other side can be split.
+    Places of a fingerprint are joined to its earliest place, and each match is extended both ways with the lines compared.
+    Joining each place to the earliest only keeps the join linear however often a line comes; a hot line is one row on one
+    side, and the other side can be split.  A line that is common in other surroundings may have repeats which do not
+    agree with its earliest place: windows that no match holds are compared among themselves, so none is lost.  That is
+    whole: of equal windows, either all agree with the fingerprint's earliest place, or none does.
     """
     prints = cut_lineage(fingerprints(docs, least_words), "line-prints")
-    place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "row", "first")
-    earliest = (prints.groupBy("line_hash", "window_hash").agg(F.min(place).alias("origin"), F.max(place).alias("latest"))
-                      .where("origin != latest").drop("latest"))
-    later = prints.join(earliest, ["line_hash", "window_hash"]).where(place > F.col("origin"))
-    return later.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "row", "at")
+    earliest = (prints.groupBy("line_hash").agg(F.min(F.struct(place.alias("place"), "before", "lines")).alias("origin"),
+                                                F.max(place).alias("latest"))
+                      .where("origin.place != latest").drop("latest"))
+    pairs = prints.join(earliest, "line_hash").where(place > F.col("origin.place"))
+
+    @F.pandas_udf("first int, last int, rest array<struct<first int, last int, window binary>>")
+    def extend(before: pd.Series, lines: pd.Series, spans: pd.Series, other: pd.Series, others: pd.Series) -> pd.DataFrame:
+        made = [extended(*x) for x in zip(before, lines, spans, other, others)]
+        return pd.DataFrame({
+            "first": pd.Series([m and m[0] for m, _ in made], dtype="Int32"), "last": pd.Series([m and m[1] for m, _ in made], dtype="Int32"),
+            "rest": [[{"first": a, "last": b, "window": w} for a, b, w in rest] for _, rest in made]})
+
+    grown = pairs.select("doc", "row", "at", "line_hash", extend("before", "lines", "spans", "origin.before", "origin.lines").alias("m"))
+    grown = cut_lineage(grown.select("doc", "row", "at", "line_hash", "m.*"), "line-matches")
+    rest = grown.select("doc", "row", "at", "line_hash", F.explode("rest").alias("w")).select("doc", "row", "at", "line_hash", "w.*")
+    first_of = (rest.groupBy("line_hash", "window").agg(F.min(place).alias("origin"), F.max(place).alias("latest"))
+                    .where("origin != latest").drop("latest"))
+    others = rest.join(first_of, ["line_hash", "window"]).where(place > F.col("origin")).select("doc", "row", "first", "last")
+    found = grown.where("first IS NOT NULL").select("doc", "row", "first", "last").unionByName(others)
+    return found.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def drop_repeated_lines(docs: DataFrame, least_words: int = 50, doc_id: str = "doc_id", text: str = "text",
@@ -88,7 +179,7 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = 50, doc_id: str = "d
 
     Earlier means a smaller doc_id (null last; rows of one doc_id in the order of a hash of their text), or further up in
     the same text.  Every line of a later place goes, with lines without words inside it; of equal lines the earliest
-    always stays.  Lines are compared byte by byte.  Identical rows (same doc_id and text) are one place and keep the same
+    always stays.  Lines are equal in all bytes (told by 128-bit digests).  Identical rows (same doc_id and text) are one place and keep the same
     lines.  Null texts stay null; empty texts, and texts all of whose lines go, are empty; an empty table gives no rows.
     Columns are those of ``docs`` with the new text and, if there is such a column, its length in characters; after them
     n_lines (before) and n_removed under free names (see ``added_columns``).

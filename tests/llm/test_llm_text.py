@@ -285,6 +285,32 @@ def test_every_repeated_run_is_fingerprinted():
             assert any(at in inside for _, _, at, h, w in line_dedup.windows(a, 10) if (h, w) in prints[1])
 
 
+def test_fingerprints_are_selected_places_and_matches_grow(spark):
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 10 ** 6, 6)) for _ in range(600)]
+    docs = spark.createDataFrame([(i, i, "\n".join(lines[i * 60:i * 60 + 60])) for i in range(10)], "doc long, row long, text string")
+    prints = line_dedup.fingerprints(docs, 50).collect()
+    # Windows of nine lines select about two places in ten, each once, whichever windows share it.
+    assert len({(p["doc"], p["at"]) for p in prints}) == len(prints) < 0.35 * sum(len(range(60 - 8)) for _ in range(10))
+    ones = [p for p in line_dedup.selected("a b\nc d\n\ne f\ng h", 4)]
+    places = [p for p in line_dedup.selected("x y\na b\nc d\n\ne f\nz", 4) if p[1] in {q[1] for q in ones}]
+    runs = [line_dedup.extended(*p[2:], *q[2:4])[0] for p in places for q in ones if p[1] == q[1]]
+    assert (min(r[0] for r in runs if r), max(r[1] for r in runs if r)) == (1, 4)
+
+
+def test_line_dedup_finds_repeats_around_a_common_line(spark):
+    # The common line is many windows' smallest; its earliest place stands in other surroundings than the repeats.
+    rng = np.random.default_rng(4)
+    common = [" ".join(f"c{k}" for _ in range(3)) for k in range(3)]
+    some = [" ".join(f"w{x}" for x in rng.integers(0, 10 ** 6, 3)) for _ in range(400)]
+    rows = [(i, "\n".join(x for k in rng.integers(0, 400, 8) for x in (some[k], common[k % 3]))) for i in range(60)]
+    rows += [(100 + i, "\n".join([*rows[i][1].split("\n")[3:-2], some[i], *rows[i + 1][1].split("\n")[2:9]])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (6, 12):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(df, least).collect()}
+        assert [got[d] for d, _ in rows] == slow_line_dedup(rows, least)
+
+
 # Mixing -------------------------------------------------------------------------------------------------------------
 
 def test_exponent_meets_targets(spark):
