@@ -560,3 +560,18 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert np.allclose(net.embedding, again.embedding, atol=1e-5)
     got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, net).collect()}
     assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i, *_ in rows]) > 0.97
+
+
+def test_labelled_texts_cross_one_exchange(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(300)] + [(None, "no id", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 2)] + [(4, 1), (None, 1)], "doc_id int, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = toxicity.labelled_rows(docs, labels, "doc_id", "text", "lang", "toxic")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted((r["text"], r["label"]) for r in found.collect()) == sorted(
+        (f"text {i}", float(i == 4)) for i in range(0, 300, 2) if zlib.crc32(str(i).encode()) % 5)
