@@ -39,15 +39,26 @@ class Layout:
     max_rows: int | None = None
     block_rows: int = DEFAULT_BLOCK_ROWS
     cell_us: int = DAY_US
+    rows: int | None = None
 
     @property
     def whole(self) -> bool:
         """True when every series has been measured to fit one task."""
         return self.max_rows is not None and self.max_rows <= self.block_rows
 
+    @property
+    def tasks(self) -> int | None:
+        """How many tasks whole series have to be dealt to, so that one holds about half of ``block_rows`` rows however many
+        series there are; None where the default does.  Tasks are else merged by the size of compressed exchanges, which
+        says little about sorted rows and lets a task grow with the table."""
+        if not self.whole or self.rows is None or self.rows <= 4 * self.block_rows:
+            return None
+        return -(-2 * self.rows // self.block_rows)
+
     def by(self, *extra: str) -> "Layout":
-        """Same layout with more key columns (method, percentile, split ...); groups only get smaller."""
-        return replace(self, keys=self.keys + tuple(k for k in extra if k not in self.keys))
+        """Same layout with more key columns (method, percentile, split ...); groups only get smaller.  How many rows they
+        have together is not known: a column may be one of a fan-out."""
+        return replace(self, keys=self.keys + tuple(k for k in extra if k not in self.keys), rows=None)
 
     @staticmethod
     def measure(df: DataFrame, keys: tuple[str, ...] = ("series_id",), order: str = "ts",
@@ -60,9 +71,9 @@ class Layout:
         timestamps, so the loop ends.
         """
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.max(row_bytes(df)).alias("width"))
-        longest, width = counts.agg(F.max("count"), F.max("width")).first()
+        longest, width, rows = counts.agg(F.max("count"), F.max("width"), F.sum("count")).first()
         block_rows = min(block_rows, max(1, BLOCK_BYTES // (width or 1)))
-        lay = Layout(tuple(keys), order, int(longest or 0), block_rows)
+        lay = Layout(tuple(keys), order, int(longest or 0), block_rows, rows=int(rows or 0))
         while not lay.whole:
             cell = F.floor(F.unix_micros(F.col(order)) / F.lit(lay.cell_us))
             fullest = df.groupBy(*keys, cell.alias("cell")).count().agg(F.max("count")).first()[0]

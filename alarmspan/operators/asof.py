@@ -24,7 +24,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, lay: Layout, cols: list[str]
                     F.lit(1).alias("_side"))
     b = right.select(*keys, ts, payload.alias("_r"), F.lit(0).alias("_side"))
     both = a.unionByName(b, allowMissingColumns=True)
-    merged = lay if lay.max_rows is None else replace(lay, max_rows=2 * lay.max_rows)
+    merged = lay if lay.max_rows is None else replace(lay, max_rows=2 * lay.max_rows, rows=lay.rows and 2 * lay.rows)
     both = settle(with_position(both, merged, "_pos", "_n", tie=["_side"]), merged, "asof")
     both = carry(both, merged, {"_prev": F.col("_r")}, {"_next": F.col("_r")}, "_pos").where("_side = 1")
     now = F.unix_micros(F.col(ts))

@@ -24,6 +24,7 @@ def with_position(df: DataFrame, lay: Layout, pos: str = "pos", n: str = "n", ti
     keys = list(lay.keys)
     if lay.whole:
         by_time = Window.partitionBy(*keys).orderBy(lay.order, *tie)
+        df = df if lay.tasks is None else df.repartition(lay.tasks, *keys)
         return (df.withColumn(pos, (F.row_number().over(by_time) - 1).cast("long"))
                   .withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
     cell = F.floor(F.unix_micros(F.col(lay.order)) / F.lit(lay.cell_us))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from alarmspan.layout import Layout
 from alarmspan.operators.alarms import alarm_episodes, alarm_signal
 from alarmspan.operators.features import rolling_features
+from alarmspan.operators.ordered import with_position
 from alarmspan.operators.quantile import quantile_table
 from alarmspan.operators.thresholds import dynamic_threshold, evt_threshold
 from alarmspan.operators.uncertainty import weighted_moments_interval
@@ -153,3 +154,14 @@ def test_parameters_are_shipped_by_their_unpacked_size(spark, tmp_path):
     spark.range(1000).select(F.array_repeat(F.lit(1.0), 1000).alias("values")).write.parquet(path)  # packs to next to nothing
     table = spark.read.parquet(path)
     assert not chunks.fits(table, 1 << 20) and chunks.fits(table, 1 << 24)
+
+
+def test_whole_series_are_dealt_by_rows(spark):
+    rows = [(s, float(s * 1_000 + t)) for s in range(100) for t in range(10)]
+    df = spark.createDataFrame(rows, "series_id long, value double").withColumn("ts", F.timestamp_seconds("value"))
+    lay = Layout.measure(df, block_rows=50)
+    assert lay.whole and lay.rows == 1000 and lay.tasks == 40 and lay.by("method").tasks is None
+    assert Layout.measure(df).tasks is None
+    many, few = with_position(df, lay), with_position(df, Layout.measure(df))
+    assert many.rdd.getNumPartitions() == 40
+    assert sorted(many.collect()) == sorted(few.collect())
