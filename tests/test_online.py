@@ -114,3 +114,39 @@ def test_a_silent_series_is_forgotten_and_later_rows_dropped(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/in/*.parquet").where("score < 9")
     whole = online.close_alarm(stored, spark.createDataFrame(out).limit(0), forget_seconds=20 * 3600).toPandas()
     assert whole.sort_values(["series_id", "ts"]).row.tolist() == [1, 1, 1, 2, 3, 1, 1]
+
+
+def test_a_short_series_costs_one_reading_and_one_writing_a_trigger():
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def getMapState(self, name, key, value):
+            return None  # pieces are not touched
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 3
+
+    rows = pd.DataFrame({"us": [4000, 1000, 2000], "score": [3.0, 1.0, 2.0], "limit": [0.5] * 3})
+    alarm = online.OrderedAlarm("series_id", online.AlarmRule())
+    alarm.init(Handle())
+    assert not list(alarm.handleInputRows((1,), iter([rows]), Times())) and sorted(calls) == ["get", "timer", "update"]
+    out = pd.concat(alarm.handleExpiredTimer((1,), Times(), None))
+    assert out["us"].tolist() == [1000, 2000] and sorted(calls[3:]) == ["get", "timer", "update"]
