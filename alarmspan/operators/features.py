@@ -38,6 +38,10 @@ BUILDERS: dict[str, FeatureFn] = {
 # Features that windows merge from the moments of their panes.
 MERGED = frozenset(PREFIX)
 
+# Without whole series: rows of a stretch of windows merged in one task, and the least pane whose moments are less to hand
+# on, once to meet and once to every window, than its rows.
+_STRETCH_ROWS, _WIDE_PANE = 65_536, 10
+
 # Beyond this many channels one aggregate expression per channel pair would exceed generated-code limits.
 _PAIR_EXPRESSIONS = 12
 
@@ -120,7 +124,9 @@ def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window
     """One row per window, stamped with its centre row's timestamp (and ``hours_to_failure`` when present).
 
     A row is aggregated once, into its pane of gcd(window, step) rows; a window is the merge of its panes' moments, so
-    only panes (rows / gcd of them) are handed to every window they lie in.  Needs ``pos`` and ``n``.  ``window``, ``step``
+    only panes (rows / gcd of them) are handed to every window they lie in.  Unless series are whole or panes long, rows are
+    dealt once to stretches of windows, which make and merge their panes themselves; only rows where two stretches meet are
+    copied.  Needs ``pos`` and ``n``.  ``window``, ``step``
     and ``pane`` may be columns that are constant per series, so that several sampling rates share one job.  A registered
     feature of one's own has no moments to merge and is aggregated over the rows of each window.
 
@@ -149,12 +155,21 @@ def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window
         if few:
             aggs[f"_f{i}"] = F.count(stats.finite(F.col(c))) == F.count(F.lit(1))
     aggs |= {f"_c{i}_{j}": F.covar_pop(stats.finite(F.col(channels[i])), stats.finite(F.col(channels[j]))) for i, j in pairs}
-    panes = rows.groupBy(*keys, F.floor(F.col("pos") / F.col("_pane")).alias("_p")).agg(*[c.alias(k) for k, c in aggs.items()])
+    group, dealt = keys, rows
+    if not lay.whole and not (isinstance(pane, int) and pane >= _WIDE_PANE):
+        aggs["_per"] = F.any_value("_per")
+        group, dealt = [*keys, "_s"], in_stretches(rows, lay).repartition(*keys, "_s")
+    panes = dealt.groupBy(*group, F.floor(F.col("pos") / F.col("_pane")).alias("_p")).agg(*[c.alias(k) for k, c in aggs.items()])
 
     first = F.greatest(F.lit(0).cast("long"), F.ceil(((F.col("_p") + 1) * F.col("_pane") - F.col("_win")) / F.col("_stp")))
     last = F.least(F.floor(F.col("_p") * F.col("_pane") / F.col("_stp")), F.floor((F.col("n") - F.col("_win")) / F.col("_stp")))
+    if "_s" in group:
+        first = F.greatest(first, F.col("_s") * F.col("_per"))
+        last = F.least(last, (F.col("_s") + 1) * F.col("_per") - 1)
     handed = panes.withColumn("w", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))))
-    whole = Window.partitionBy(*keys, "w")
+    whole = Window.partitionBy(*group, "w")
+    if "_s" in group:  # in one order whatever the exchange did: sums do not change from run to run
+        whole = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     handed = handed.withColumns({f"_m{i}": F.sum(F.when(F.col(f"_n{i}") > 0, F.col(f"_x{i}") * F.col(f"_n{i}"))).over(whole)
                                  / F.nullif(F.sum(f"_n{i}").over(whole), F.lit(0)) for i in range(len(channels))})
     handed = handed.withColumns({f"_d{i}": F.col(f"_x{i}") - F.col(f"_m{i}") for i in range(len(channels))})
@@ -172,7 +187,7 @@ def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window
         r = F.try_divide(shared, F.sqrt(merged[i].variance) * F.sqrt(merged[j].variance))
         out.append(F.when(F.every(F.col(f"_f{i}") & F.col(f"_f{j}")), F.coalesce(r, F.lit(0.0))).otherwise(F.lit(0.0))
                    .alias(pair_name(channels[i], channels[j])))
-    table = handed.groupBy(*keys, "w").agg(*out)
+    table = handed.groupBy(*group, "w").agg(*out).drop("_s")
     if crossing and not few:
         table = table.join(window_correlations(rows, lay, channels), [*keys, "w"])
     if own:
@@ -185,6 +200,16 @@ def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window
     return table
 
 
+def in_stretches(rows: DataFrame, lay: Layout) -> DataFrame:
+    """Rows once for every stretch ``_s`` of ``_per`` windows they lie in; needs ``pos``, ``n``, _win and _stp.  All rows of a
+    pane lie in the same stretches."""
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("pos") - F.col("_win") + 1) / F.col("_stp")))
+    last = F.least(F.floor(F.col("pos") / F.col("_stp")), F.floor((F.col("n") - F.col("_win")) / F.col("_stp")))
+    per = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(min(lay.block_rows, _STRETCH_ROWS)) / F.col("_stp")))
+    stretch = F.sequence(F.floor(first / F.col("_per")), F.floor(last / F.col("_per")))
+    return rows.withColumn("_per", per).withColumn("_s", F.explode(F.when(first <= last, stretch)))
+
+
 def window_correlations(rows: DataFrame, lay: Layout, channels: Sequence[str], windows: int = 64) -> DataFrame:
     """All channel-pair correlations of every window: (keys, w, one column a pair).
 

@@ -162,17 +162,21 @@ def carry(df: DataFrame, lay: Layout, previous: dict[str, Column] | None = None,
 def with_totals(df: DataFrame, lay: Layout, totals: dict[str, Column]) -> DataFrame:
     """Add whole-series aggregates to every row.
 
-    Whole layout: a window over the series, no extra exchange.  Otherwise an aggregate (map-side combined) joined back
-    by series and time cell: one copy of the totals per cell, so that a hot series is spread over its cells, and no
-    later step can take its rows for gathered by series.
+    Whole layout: a window over the series, no extra exchange.  Otherwise an aggregate (map-side combined), written, so that
+    its size is known before the rows are read again: the planner ships a small one to the rows where they are.  A larger
+    one is joined back by series and time cell: one copy of the totals per cell, so that a hot series is spread over its
+    cells, and no later step can take its rows for gathered by series.
     """
+    from alarmspan.session import cut_lineage, ships
     keys = list(lay.keys)
     if lay.whole:
         return df.withColumns({k: c.over(Window.partitionBy(*keys)) for k, c in totals.items()})
+    table = cut_lineage(df.groupBy(*keys).agg(*[c.alias(k) for k, c in totals.items()]), "totals")
+    if ships(table):
+        return df.join(table, keys)
     cell = F.coalesce(F.floor(F.unix_micros(F.col(lay.order)) / F.lit(lay.cell_us)), F.lit(0))
     celled = df.withColumn("_total_cell", cell)
-    copies = celled.select(*keys, "_total_cell").distinct().join(
-        df.groupBy(*keys).agg(*[c.alias(k) for k, c in totals.items()]), keys)
+    copies = celled.select(*keys, "_total_cell").distinct().join(table, keys)
     return celled.join(copies, [*keys, "_total_cell"]).drop("_total_cell")
 
 

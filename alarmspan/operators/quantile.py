@@ -55,6 +55,8 @@ def quantile_table(df: DataFrame, lay: Layout, value: Column, ranks: dict[str, f
     needed = targets.groupBy(*keys, "_cell").agg(
         F.any_value(F.col("_upto") - F.col("_c")).alias("_below"),
         F.collect_list(F.struct("_q.name", "_at", "_lo", "_hi")).alias("_wants"))
+    # Written: a few cells a key, which the planner then ships to the values instead of dealing those out once more.
+    needed = cut_lineage(needed, "wanted-cells")
     # Equal values collapse before the sort, so a value repeated through a third of all rows is one row here.
     distinct = values.join(needed.select(*keys, "_cell"), [*keys, "_cell"], "left_semi") \
                      .groupBy(*keys, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -166,4 +168,4 @@ def with_quantiles(df: DataFrame, lay: Layout, value: Column, ranks: dict[str, f
     if lay.whole:
         series = Window.partitionBy(*keys)
         return df.withColumns({name: F.percentile(value, F.lit(p)).over(series) for name, p in ranks.items()})
-    return df.join(quantile_table(df, lay, value, ranks), keys, "left")
+    return df.join(cut_lineage(quantile_table(df, lay, value, ranks), "quantiles"), keys, "left")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alarmspan.layout import Layout
-from alarmspan.operators.ordered import with_totals
+from alarmspan.operators.ordered import settle, with_totals
 from alarmspan.operators.quantile import WIDE_COLUMNS, column_quantiles, quantile_table
 
 KINDS = ("robust", "standard", "minmax")
@@ -46,9 +46,9 @@ def fit_scaler(df: DataFrame, lay: Layout, cols: list[str], kind: str = "robust"
         quartiles = table.groupBy(*keys).agg(*[
             F.max(F.when(F.col("column") == c, F.struct("q1", "q2", "q3"))).alias(f"_q_{c}") for c in cols])
         pick = lambda c: [F.col(f"_q_{c}")[q] for q in ("q1", "q2", "q3")]
-    return quartiles.select(
+    return settle(quartiles.select(
         *keys, *[pick(c)[1].alias(f"{c}__center") for c in cols],
-        *[_unit_if_zero(pick(c)[2] - pick(c)[0]).alias(f"{c}__scale") for c in cols])
+        *[_unit_if_zero(pick(c)[2] - pick(c)[0]).alias(f"{c}__scale") for c in cols]), lay, "scaler")
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, lay: Layout, cols: list[str]) -> DataFrame:

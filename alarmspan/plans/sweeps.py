@@ -40,10 +40,11 @@ def rate_table(df: DataFrame, lay: Layout, sampling: SamplingConfig = SamplingCo
 
 
 def at_every_rate(df: DataFrame, lay: Layout, rates: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows of each series at each rate: means over coarser bins, or every k-th row.
+    """Rows of each series at each rate, numbered (``pos``, ``n``): means over coarser bins, or every k-th row.
 
     The fan-out is the number of rates.  Aggregated bins combine before the exchange; factor 1 keeps the rows as they
-    are in both modes.  Needs ``pos``.
+    are in both modes.  Rows that are kept have their new number from the old one; only bins are numbered anew.  Needs
+    ``pos`` and ``n``.
     """
     keys = list(lay.keys)
     first = with_totals(df, lay, {"_first": F.min(lay.order)})
@@ -51,14 +52,16 @@ def at_every_rate(df: DataFrame, lay: Layout, rates: DataFrame, cols: list[str])
     spread = (first.join(options, keys).withColumn("_r", F.explode("_rates")).drop("_rates")
               .select("*", "_r.mode", "_r.factor", "_r.spacing_min"))
     kept = (F.col("factor") == 1) | ((F.col("mode") == "decimate") & (F.col("pos") % F.col("factor") == 0))
-    same = spread.where(kept).select(*keys, *RATE_KEYS, lay.order, "failure_time", *cols)
+    place = {"pos": F.floor(F.col("pos") / F.col("factor")), "n": F.ceil(F.col("n") / F.col("factor"))}
+    same = spread.where(kept).select(*keys, *RATE_KEYS, lay.order, "failure_time", *cols,
+                                     *[c.cast("long").alias(k) for k, c in place.items()])
     minutes = F.greatest(F.lit(1).cast("long"), F.bround(F.col("spacing_min") * F.col("factor")).cast("long"))
     coarse = (spread.where((F.col("factor") > 1) & (F.col("mode") == "aggregate"))
               .withColumn("_bin", bin_start(F.col(lay.order), F.col("_first"), minutes * MINUTE_US))
               .groupBy(*keys, *RATE_KEYS, F.col("_bin").alias(lay.order))
               .agg(F.any_value("failure_time").alias("failure_time"), *[F.avg(c).alias(c) for c in cols])
               .dropna("all", subset=cols))
-    return same.unionByName(coarse)
+    return same.unionByName(with_position(coarse, lay.by(*RATE_KEYS)))
 
 
 def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: SamplingConfig = SamplingConfig(),
@@ -74,24 +77,26 @@ def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: Sa
     placed = settle(with_position(df, lay), lay, "sweep-rows")
     rates = cut_lineage(rate_table(placed, lay, sampling, features, threshold), "rates")
     rated = lay.by(*RATE_KEYS)
-    rows = cut_lineage(with_position(at_every_rate(placed, lay, rates, channels), rated), "sweep-rates")
+    rows = cut_lineage(at_every_rate(placed, lay, rates, channels), "sweep-rates")
     spacing = median_spacing(rows, rated).withColumnRenamed("spacing_min", "effective_interval_min")
     counts = rates.select(*keys, *RATE_KEYS, "window_rows", "persistence_windows", "window_floored")
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("window_rows") * F.lit(1.0 - features.overlap)).cast("long"))
     sized = counts.withColumn("_step", step).withColumn("_gcd", common_divisor(F.col("window_rows"), F.col("_step")))
     windows = rolling_features(rows.join(sized, [*keys, *RATE_KEYS]), rated, channels, F.col("window_rows"), features.overlap,
                                features.feature_list, features.include_cross_channel, F.col("_step"),
-                               keep=("failure_time", "window_rows", "persistence_windows", "window_floored"), pane=F.col("_gcd"))
+                               keep=("failure_time", "window_rows", "persistence_windows", "window_floored", "n", "_step"), pane=F.col("_gcd"))
     cols = feature_columns(channels, features.feature_list, features.include_cross_channel)
-    tagged = cut_lineage(split_rows(with_position(windows, rated), split), "sweep-windows")
+    # Windows are numbered in time order as they are made.  Calibration rows enter no scale, fit, threshold or alarm here.
+    numbered = windows.withColumns({"pos": F.col("w"), "n": F.floor((F.col("n") - F.col("window_rows")) / F.col("_step")) + 1})
+    tagged = cut_lineage(split_rows(numbered, split).where("split <> 'cal'").drop("w", "pos", "n", "_step"), "sweep-windows")
     if scale:
         params = fit_scaler(tagged, rated, cols, "robust", F.col("split") == "train")
         tagged = apply_scaler(tagged, params, rated, cols)
     plain = [m for m in methods if m in CLOSED_FORM]
-    scored = closed_form_scores(tagged, rated, cols, plain) if plain else None
+    scored = closed_form_scores(tagged, rated, cols, plain).drop(*cols) if plain else None
     fitted = [m for m in methods if m not in CLOSED_FORM]
     if fitted:
-        rows = cut_lineage(design_matrix(tagged, cols), "sweep-features")
+        rows = cut_lineage(design_matrix(tagged, cols).drop(*cols), "sweep-features")
         modelled = model_scores(rows, rated, build_detectors(fitted, "features", options)).join(counts, [*keys, *RATE_KEYS])
         same = [c for c in modelled.columns if scored is None or c in scored.columns]
         scored = modelled if scored is None else scored.select(*same).unionByName(modelled.select(*same))
