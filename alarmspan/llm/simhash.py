@@ -85,7 +85,8 @@ def close_pairs(fingerprints: DataFrame, most: int = 4, segments: int = 3, colum
     """Pairs (a, b) of distinct fingerprints with 1 to ``most`` differing bits; a pair may come more than once.
 
     ``fingerprints``: one row for each.  A variant with wildcard bit i meets only those that differ at i (zeros join
-    ones), so that no pair is built that the exact signature already has.
+    ones), so that no pair is built that the exact signature already has.  The join is told to be sorted: the planner
+    sizes exploded rows by those before, so it would ship all variants of a table that is small enough itself.
     """
     masks = variant_masks(segments, most)
     array = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
@@ -98,7 +99,7 @@ def close_pairs(fingerprints: DataFrame, most: int = 4, segments: int = 3, colum
     zeros = signed.where("bit IS NULL OR bit = 0").select(F.col("f").alias("a"), "v", "rest", F.col("bit").alias("bit_a"))
     ones = signed.where("bit IS NULL OR bit = 1").select(F.col("f").alias("b"), "v", "rest")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most) & (F.col("bit_a").isNotNull() | (F.col("a") < F.col("b")))
-    return zeros.join(ones, ["v", "rest"]).where(near).select("a", "b")
+    return zeros.hint("merge").join(ones, ["v", "rest"]).where(near).select("a", "b")
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, most: int = 4,

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from alarmspan.llm import html_text, line_dedup, mixing, packing, secret_scan, simhash, token_counts, toxicity
 from alarmspan.llm.links import components
 from alarmspan.llm.tokens import encoder
+from alarmspan.session import cut_lineage
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -194,6 +195,20 @@ def test_every_close_pair_is_found(spark, segments):
     assert {frozenset(r) for r in got} == want
 
 
+def shipped(df) -> bool:
+    """Whether a join of ``df``, as run, sends one side to all tasks."""
+    df.collect()
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variants_of_a_small_table_are_not_shipped(spark):
+    prints = spark.range(2000).selectExpr("xxhash64(id) AS fingerprint")
+    nodes = cut_lineage(prints, "few-fingerprints")
+    assert shipped(nodes.join(cut_lineage(prints, "same"), "fingerprint"))
+    for segments in (3, 5):
+        assert not shipped(simhash.close_pairs(nodes, 4, segments))
+
+
 def test_longer_signatures_for_more_fingerprints():
     assert simhash.segments_for(10_000, 4) == 3 < simhash.segments_for(10 ** 9, 4) <= 8
 
