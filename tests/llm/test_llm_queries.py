@@ -8,9 +8,9 @@ import pytest
 import __spark_entry__
 import check_oracle
 import corpus_pipeline
-from alarmspan.llm import catalog
+from alarmspan.llm import catalog, simhash
 from alarmspan.session import cut_lineage
-from test_llm_text import check_packing, slow_groups, slow_line_dedup
+from test_llm_text import check_packing, shipped, slow_groups, slow_line_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +51,14 @@ def test_native_operator_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_the_near_copies_stage_ships_no_variants(spark, monkeypatch):
+    seen, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda pairs: seen.append(shipped(pairs)) or components(pairs))
+    docs = catalog.table(spark, SF, "documents")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert seen == [False] and 0 < kept.count() < docs.count()
+
+
 def test_pipeline_stages(spark):
     docs = catalog.table(spark, SF, "documents")
     columns, rows = docs.columns, docs
