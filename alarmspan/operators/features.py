@@ -42,6 +42,9 @@ MERGED = frozenset(PREFIX)
 # on, once to meet and once to every window, than its rows.
 _STRETCH_ROWS, _WIDE_PANE = 65_536, 10
 
+# Windows of up to so many rows may be computed from those rows, each handed to the windows it lies in.
+SHORT_ROWS = 64
+
 # Beyond this many channels one aggregate expression per channel pair would exceed generated-code limits.
 _PAIR_EXPRESSIONS = 12
 
@@ -118,9 +121,52 @@ def _pane_moments(i: int, channel: str) -> dict[str, Column]:
             f"_h{i}": F.max(x), f"_l{i}": F.min(x), f"_a{i}": F.avg(F.abs(x))}
 
 
+def _total(x: Column, of: Callable[[Column], Column] = lambda v: v) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda total, v: total + of(v))
+
+
+def short_windows(rows: DataFrame, lay: Layout, channels: Sequence[str], features: Sequence[str], stamps: Sequence[str],
+                  keep: Sequence[str], longest: int) -> DataFrame:
+    """Windows of at most ``longest`` rows from the rows themselves, in their order: sums row by row, moments of the
+    deviations from the window's mean.  Needs ``pos``, ``n``, _win and _stp.
+
+    A feature that hardly varies (the kurtosis of three rows, any shape of equal rows) is scaled by its rounding error, so
+    a result then hangs on every step of the arithmetic.  This is the plain one, and the same whatever the layout.
+    """
+    group, dealt = list(lay.keys), rows
+    if not lay.whole:
+        group, dealt = [*lay.keys, "_s"], in_stretches(rows, lay).repartition(*lay.keys, "_s")
+    back = Window.partitionBy(*group).orderBy("pos").rowsBetween(1 - longest, 0)
+    w = (F.col("pos") + 1 - F.col("_win")) / F.col("_stp")
+    ends = (w >= 0) & (w == F.floor(w))
+    if "_s" in group:
+        ends = ends & (F.floor(w / F.col("_per")) == F.col("_s"))
+    held = dealt.withColumn("_rows", F.collect_list(F.struct(*stamps, *channels)).over(back)).where(ends)
+    held = held.withColumns({"w": F.floor(w), "_rows": F.slice("_rows", -F.col("_win").cast("int"), F.col("_win").cast("int"))})
+    centre = F.col("_rows")[F.floor(F.col("_win") / 2).cast("int")]
+    eps, out = F.lit(stats.EPS), held.select(*lay.keys, "w", *[centre[c].alias(c) for c in stamps], *keep, "_rows")
+    for i, c in enumerate(channels):
+        x, d, n, mean, var, rms, size = (F.col(f"_{a}{i}") for a in ("x", "d", "n", "m", "v", "r", "a"))
+        out = out.withColumn(f"_x{i}", F.filter(F.transform("_rows", lambda r: r[c].cast("double")), lambda v: v.isNotNull()))
+        out = out.withColumn(f"_n{i}", F.nullif(F.size(x), F.lit(0)).cast("double"))
+        out = out.withColumns({f"_m{i}": _total(x) / n, f"_r{i}": F.sqrt(_total(x, lambda v: v * v) / n), f"_a{i}": _total(x, F.abs) / n})
+        out = out.withColumn(f"_d{i}", F.transform(x, lambda v: v - mean))
+        out = out.withColumn(f"_v{i}", _total(d, lambda v: v * v) / n)
+        flat, sd = F.array_max(x) == F.array_min(x), F.sqrt(var) + eps
+        power = lambda k: _total(d, lambda v: F.pow(v, F.lit(k))) / n / F.pow(sd, F.lit(k))
+        made = {"rms": rms, "variance": var, "mean_abs": size, "peak_to_peak": F.array_max(x) - F.array_min(x),
+                "kurtosis": F.when(flat, F.lit(-3.0)).otherwise(power(4.0) - 3.0),
+                "skewness": F.when(flat, F.lit(0.0)).otherwise(power(3.0)),
+                "crest_factor": F.array_max(F.transform(x, F.abs)) / (rms + eps), "shape_factor": (rms + eps) / (size + eps)}
+        out = out.withColumns({feature_name(PREFIX[f], c): F.when(n > 0, made[f]) for f in features})
+    names = [feature_name(PREFIX[f], c) for c in channels for f in features]
+    return out.select(*lay.keys, "w", *stamps, *keep, *names)
+
+
 def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window: Column | int = 30,
                      overlap: float = 0.5, features: Sequence[str] = ALL_FEATURES, cross_channel: bool = True,
-                     step: Column | int | None = None, keep: Sequence[str] = (), pane: Column | int | None = None) -> DataFrame:
+                     step: Column | int | None = None, keep: Sequence[str] = (), pane: Column | int | None = None,
+                     longest: int | None = None) -> DataFrame:
     """One row per window, stamped with its centre row's timestamp (and ``hours_to_failure`` when present).
 
     A row is aggregated once, into its pane of gcd(window, step) rows; a window is the merge of its panes' moments, so
@@ -132,6 +178,8 @@ def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window
 
     Pair correlations are over finite values: a null, NaN or infinity in either channel makes the window's correlation 0.
     Series shorter than one window give no rows; see :func:`short_series`.  ``keep`` lists columns constant per series.
+    ``longest``: no window has more rows; up to ``SHORT_ROWS``, and without pairs or features of one's own, windows are then
+    made by :func:`short_windows`.
     """
     keys = list(lay.keys)
     as_col = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("long")
@@ -148,6 +196,8 @@ def rolling_features(df: DataFrame, lay: Layout, channels: Sequence[str], window
     rows = df.withColumns(sizes).where(F.col("n") >= F.col("_win"))
     centre = F.col("pos") % F.col("_pane") == F.floor(F.col("_win") / 2) % F.col("_pane")
     stamps = [lay.order, *(["hours_to_failure"] if "hours_to_failure" in df.columns else [])]
+    if longest and longest <= SHORT_ROWS and not own and not crossing:
+        return short_windows(rows, lay, channels, features, stamps, keep, longest)
     aggs = {f"_at_{c}": F.max(F.when(centre, F.col(c))) for c in stamps}
     aggs |= {c: F.any_value(c) for c in dict.fromkeys([*keep, "n", *sizes])}
     for i, c in enumerate(channels):

@@ -71,8 +71,10 @@ def quantile_table(df: DataFrame, lay: Layout, value: Column, ranks: dict[str, f
               .agg(F.max(F.when(holds("_w._lo"), F.col("_v"))).alias("_a"),
                    F.max(F.when(holds("_w._hi"), F.col("_v"))).alias("_b"),
                    F.any_value(F.col("_w._at") - F.col("_w._lo")).alias("_t"))
-              .withColumn("_x", F.when(F.col("_t") == 0, F.col("_a"))
-                                 .otherwise((1 - F.col("_t")) * F.col("_a") + F.col("_t") * F.col("_b"))))
+              # Between equal order statistics there is nothing to weigh: a sum of parts of them may round away from them.
+              .withColumn("_x", F.when((F.col("_t") == 0) | (F.col("_a") == F.col("_b")), F.col("_a"))
+                                 .when(F.abs("_a") == float("inf"), (1 - F.col("_t")) * F.col("_a") + F.col("_t") * F.col("_b"))
+                                 .otherwise(F.col("_a") + F.col("_t") * (F.col("_b") - F.col("_a")))))
     return picked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in ranks])
 

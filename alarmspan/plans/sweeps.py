@@ -82,9 +82,10 @@ def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: Sa
     counts = rates.select(*keys, *RATE_KEYS, "window_rows", "persistence_windows", "window_floored")
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("window_rows") * F.lit(1.0 - features.overlap)).cast("long"))
     sized = counts.withColumn("_step", step).withColumn("_gcd", common_divisor(F.col("window_rows"), F.col("_step")))
+    longest = rates.agg(F.max("window_rows")).first()[0]
     windows = rolling_features(rows.join(sized, [*keys, *RATE_KEYS]), rated, channels, F.col("window_rows"), features.overlap,
                                features.feature_list, features.include_cross_channel, F.col("_step"),
-                               keep=("failure_time", "window_rows", "persistence_windows", "window_floored", "n", "_step"), pane=F.col("_gcd"))
+                               keep=("failure_time", "window_rows", "persistence_windows", "window_floored", "n", "_step"), pane=F.col("_gcd"), longest=longest)
     cols = feature_columns(channels, features.feature_list, features.include_cross_channel)
     # Windows are numbered in time order as they are made.  Calibration rows enter no scale, fit, threshold or alarm here.
     numbered = windows.withColumns({"pos": F.col("w"), "n": F.floor((F.col("n") - F.col("window_rows")) / F.col("_step")) + 1})
