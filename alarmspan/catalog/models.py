@@ -131,7 +131,7 @@ def model_comparison(spark, sf):
     df, lay = split_matrix(spark, sf)
     df = df.withColumn("failure_time", F.timestamp_seconds(F.lit(1_704_067_200 + 10_000_000)))
     cfg = ModelConfig()
-    scores = evaluate.model_scores(df, lay, build_detectors(cfg.methods, "features", cfg.params))
+    scores = evaluate.model_scores(df, lay, build_detectors(cfg.methods, "features", cfg.params, strict=True), strict=True)
     out = evaluate.summary(evaluate.evaluate_scores(scores, lay.by("method")))
     return out.select("series_id", "method", "threshold", stamp("fat").alias("fat"), "vlt_hours", "far_pct", "valid_alarm")
 

@@ -49,8 +49,8 @@ def register_detector(name: str, factory: Callable[..., Detector]) -> None:
     _FACTORIES[name] = factory
 
 
-def build_detectors(methods, features, params: dict | None = None) -> list[Detector]:
-    """Detectors by name; an unknown name is reported and skipped."""
+def build_detectors(methods, features, params: dict | None = None, strict: bool = False) -> list[Detector]:
+    """Detectors by name; an unknown name is reported and skipped, or (``strict``) an error."""
     import alarmspan.detectors.forest  # noqa: F401  registers its factory
     import alarmspan.detectors.pca  # noqa: F401
     import alarmspan.detectors.rff  # noqa: F401
@@ -58,6 +58,8 @@ def build_detectors(methods, features, params: dict | None = None) -> list[Detec
     made = []
     for name in methods:
         if name not in _FACTORIES:
+            if strict:
+                raise ValueError(f"unknown method {name!r}; choose among {sorted(_FACTORIES)}")
             log.warning("unknown method %r skipped", name)
             continue
         made.append(_FACTORIES[name](features, **((params or {}).get(name, {}))))

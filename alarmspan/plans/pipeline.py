@@ -63,7 +63,7 @@ def compare_methods(rows: DataFrame, lay: Layout, runs: DataFrame, cfg: Experime
     keep = [*lay.keys, lay.order, "pos", "n", "split", "split_pos", "split_n", "features"]
     known = rows.select(*keep).join(runs.select("series_id", "failure_time"), "series_id")
     known = settle(known, lay, "features")
-    scores = model_scores(known, lay, build_detectors(cfg.models.methods, "features", cfg.models.params))
+    scores = model_scores(known, lay, build_detectors(cfg.models.methods, "features", cfg.models.params, strict=True), strict=True)
     return evaluate_scores(scores, lay.by("method"), cfg.threshold, cfg.split.normal_period_fraction)
 
 

@@ -98,7 +98,7 @@ def sampling_sweep(df: DataFrame, lay: Layout, channels: list[str], sampling: Sa
     fitted = [m for m in methods if m not in CLOSED_FORM]
     if fitted:
         rows = cut_lineage(design_matrix(tagged, cols).drop(*cols), "sweep-features")
-        modelled = model_scores(rows, rated, build_detectors(fitted, "features", options)).join(counts, [*keys, *RATE_KEYS])
+        modelled = model_scores(rows, rated, build_detectors(fitted, "features", options, strict=True), strict=True).join(counts, [*keys, *RATE_KEYS])
         same = [c for c in modelled.columns if scored is None or c in scored.columns]
         scored = modelled if scored is None else scored.select(*same).unionByName(modelled.select(*same))
     result = evaluate_scores(scored, rated.by("method"), threshold, split.normal_period_fraction,

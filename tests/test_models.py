@@ -256,3 +256,25 @@ def test_failing_method_is_skipped(cloud):
         raise RuntimeError("no")
     out = evaluate.model_scores(df, LAY, [good, replace(good, short_name="bad", score=broken)])
     assert [r[0] for r in out.select("method").distinct().collect()] == ["three_sigma"]
+
+
+def test_a_failing_or_unknown_method_fails_whole_comparisons(cloud, spark, monkeypatch):
+    from alarmspan.config import ExperimentConfig, ModelConfig, SamplingConfig
+    from alarmspan.detectors import base
+    from alarmspan.plans import pipeline, sweeps
+
+    def broken(features, **params):
+        def fit(train, lay):
+            raise RuntimeError("no")
+        return base.Detector("broken", "broken", fit, None)
+    build_detectors((), "features")  # registers the others
+    monkeypatch.setitem(base._FACTORIES, "broken", broken)
+    df, _ = cloud
+    runs = df.select("series_id").distinct().withColumn("failure_time", F.timestamp_seconds(F.lit(10 ** 9)))
+    rows = spark.range(200).select(F.lit(1).cast("long").alias("series_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+                                   F.rand(3).alias("value"), F.timestamp_seconds(F.lit(12_000)).alias("failure_time"))
+    for name, err in (("broken", RuntimeError), ("nope", ValueError)):
+        with pytest.raises(err, match=name):
+            sweeps.sampling_sweep(rows, LAY, ["value"], SamplingConfig(factors=(1,), modes=("decimate",)), methods=("three_sigma", "hotelling_t2", name))
+        with pytest.raises(err, match=name):
+            pipeline.compare_methods(df, LAY, runs, ExperimentConfig(models=ModelConfig(methods=("three_sigma", name))))
